@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,14 +65,6 @@ def marking_words(sets: dict[str, list[str]], ratio: float) -> list[str]:
     return list(marks)
 
 
-def marks_pattern(marks: list[str]) -> str:
-    """A pattern that finds any of the marks at a word's start, grouped by first letter so that most positions fail at once."""
-    by: dict[str, list[str]] = {}
-    for m in marks:
-        by.setdefault(m[0], []).append(m[1:].replace(" ", r"[^\p{L}\p{N}]+"))
-    return r"\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in sorted(by.items())) + ")" if by else r"(?!)"
-
-
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per unit that matches: id, ``unit`` (line, paragraph or text), ``unit_no``, ``license``, ``dice``.
 
@@ -91,26 +84,34 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
         raise ValueError(f"more than {MOST_TEMPLATES} templates")
     sets = {k: v for k, v in sorted(sets.items()) if v}
     ratio = (2 - threshold) / threshold
-    marked = marks_pattern(marking_words(sets, ratio))
+    marks = marking_words(sets, ratio)
+
+    def has_mark(low: Column) -> Column:
+        """Whether a mark stands in the text: its words, and for a pair then nothing but other characters between them."""
+        each = [reduce(Column.__and__, [low.contains(w) for w in m.split()] + ([low.rlike(m.replace(" ", r"[^\p{L}\p{N}]+"))] if " " in m else [])) for m in marks]
+        return reduce(Column.__or__, each, F.lit(False))
 
     def unit(kind: str):
         return lambda x, i: F.struct(F.lit(kind).alias("unit"), i.cast("long").alias("unit_no"), x.alias("said"))
 
-    norm = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("said")).filter(F.lower("said").rlike(marked)).select("doc_id", normalised(F.col("said")).alias("norm"))
+    # The lambda's variable holds the text in lower case, made once for all marks.
+    norm = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("said")).filter(F.exists(F.array(F.lower("said")), has_mark)).select("doc_id", normalised(F.col("said")).alias("norm"))
     lines, paragraphs = F.split("norm", "\n"), F.split("norm", r"\n(?: ?\n)+")
     whole = F.when(F.size(paragraphs) > 1, F.array(F.col("norm"))).otherwise(F.array().cast("array<string>"))
     several = F.filter(F.transform(paragraphs, unit("paragraph")), lambda u: u["said"].contains("\n"))
     units = norm.select("doc_id", F.explode(F.concat(F.transform(lines, unit("line")), several, F.transform(whole, unit("text")))).alias("u")).select("doc_id", "u.*")
-    units = units.filter(F.col("said").rlike(marked)).withColumn("words", F.trim(F.regexp_replace("said", "[ \n]+", " ")))
-    sized = units.select("doc_id", "unit", "unit_no", _bigrams(F.split("words", " ")).alias("b")).withColumn("n", F.size("b"))
-    scores = [
-        F.when(
-            (F.col("n") >= len(v) / ratio) & (F.col("n") <= len(v) * ratio),
-            F.struct((2 * F.size(F.array_intersect("b", F.array(*map(F.lit, v)))) / (F.col("n") + len(v))).alias("dice"), F.lit(-i).alias("i")),
-        )
-        for i, v in enumerate(sets.values())
-    ]
-    best = F.array_max(F.filter(F.array(*scores), lambda s: s["dice"] >= threshold)) if sets else F.lit(None).cast("struct<dice:double,i:int>")
+    units = units.filter(has_mark(F.col("said"))).withColumn("words", F.trim(F.regexp_replace("said", "[ \n]+", " ")))
+
+    def best_of(grams: Column) -> Column:
+        n = F.size(grams)
+        scores = [
+            F.when(n.between(math.ceil(len(v) / ratio - 1e-9), math.floor(len(v) * ratio + 1e-9)), F.struct((2 * F.size(F.array_intersect(grams, F.array(*map(F.lit, v)))) / (n + len(v))).alias("dice"), F.lit(-i).alias("i")))
+            for i, v in enumerate(sets.values())
+        ]
+        return F.array_max(F.filter(F.array(*scores), lambda s: s["dice"] >= threshold))
+
+    # Again a lambda's variable, for bigrams that are built once and compared with all templates.
+    best = F.element_at(F.transform(F.array(_bigrams(F.split("words", " "))), best_of), 1) if sets else F.lit(None).cast("struct<dice:double,i:int>")
     names = F.array(*map(F.lit, sets)) if sets else F.array().cast("array<string>")
-    found = sized.select("doc_id", "unit", "unit_no", best.alias("best")).filter("best is not null")
+    found = units.select("doc_id", "unit", "unit_no", best.alias("best")).filter("best is not null")
     return found.select(F.col("doc_id").alias(id_col), "unit", "unit_no", F.element_at(names, 1 - F.col("best.i")).alias("license"), F.col("best.dice").alias("dice"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import cut_lineage, slices
 from .tokens import mix, text_bytes, words
 
 #: Words that a run of neighbouring repeated units must have to be removed.
@@ -93,14 +93,18 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     """
     last = F.lit((1 << 63) - 1)
     all_units = units(docs, id_col, text_col)
-    seen = (
+    # Written out, so that both sides of the join are dealt anew and AQE can split a common line.
+    shared = cut_lineage(
         all_units.filter("first").select("d1", "d2", F.coalesce("doc_id", last).alias("rank"))
         .groupBy("d1", "d2").agg(F.min("rank").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+        .filter("n > 1").drop("n")
     )
     # A unit is a repeat if another document has it first, or this one had it before.
+    own = F.coalesce("doc_id", last)
     again = (
-        all_units.join(seen, ["d1", "d2"])
-        .filter((F.coalesce("doc_id", last) != F.col("first_doc")) | ~F.col("first"))
+        all_units.join(shared, ["d1", "d2"], "left")
+        .withColumn("first_doc", F.coalesce("first_doc", own))
+        .filter((own != F.col("first_doc")) | ~F.col("first"))
         .select("doc_id", "unit_no", "start", "end", "words", "first_doc")
     )
     order = W.partitionBy("doc_id").orderBy("unit_no", "start")

@@ -6,6 +6,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,21 +20,24 @@ from .tokens import grams, words
 CHUNK_WORDS = 32
 #: Words whose rolling hash decides whether a chunk ends.
 WINDOW = 4
-#: Chunks and joins that a task remembers.
+#: Chunks and pieces that a worker remembers; when it knows so many pieces, new ones are forgotten after each batch.
 MOST_CHUNKS = 1 << 15
-MOST_JOINS = 1 << 16
-_HEAD, _TAIL = re.compile(r"\s*\S+"), re.compile(r"\S+$")
+MOST_PIECES = 1 << 19
+_PIECES = re.compile(r"\s*\S+|\s+")
 
 
 class Encoder:
     """Encodes texts as the tokenizer does, chunk by chunk.
 
     A text is cut at blanks after a run of words whose rolling hash has a fixed
-    pattern, so that a passage has the same chunks wherever it stands.  Each
-    distinct chunk is encoded once while it is remembered.  At each join, the
-    last word before and the first word after it are encoded together: where
-    that is not what the two give apart, the chunks are put together and encoded
-    anew, until all joins agree.
+    pattern, so that a passage has the same chunks wherever it stands, and a
+    chunk that is known is not encoded again.  A new chunk is made of pieces, a
+    word with the blanks before it, which are shared in the same way.  Joins of
+    chunks and of pieces are checked by encoding both sides together; where that
+    is not what they give apart, the two are put together and encoded anew, again
+    and again, until all joins agree.  What a pre-tokenizer does at a blank
+    depends on the characters next to it, so one check holds for all joins with
+    the same characters: the last one before, the blanks, and the first one after.
     """
 
     def __init__(self, path: str, chunk_words: int = CHUNK_WORDS):
@@ -45,7 +49,13 @@ class Encoder:
         self.tokenizer.no_padding()
         self.chunk_words = chunk_words
         self.chunks: dict[str, np.ndarray] = {}
-        self.joins: dict[tuple[str, str], bool] = {}
+        self.pieces: dict[str, int] = {}
+        # By piece: where its ids begin in ``tokens``, how many there are, and what of it matters for a join.
+        self.tokens, self.n_tokens = np.zeros(1 << 16, np.int32), 0
+        self.begin, self.count, self.tail, self.head = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.edges: dict[str, int] = {}
+        self.joins: dict[int, bool] = {}
+        self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
         self.encoded = self.reused = self.repaired = 0
 
     def _ids(self, text: str) -> list[int]:
@@ -58,11 +68,11 @@ class Encoder:
         ends = np.flatnonzero(h % np.uint64(self.chunk_words) == 0) + WINDOW - 1
         doc = w.doc[ends] if len(ends) else ends
         ends, doc = ends[(ends - w.at[doc]) >= WINDOW - 1], doc[(ends - w.at[doc]) >= WINDOW - 1]
-        # Cut only where one blank parts two words; lower-casing may move bytes, so cuts count words' blanks in the text itself.
+        # Cut where a blank follows; a text that lower-casing made longer or shorter is one chunk, as its offsets are not known.
         out = []
         for i, text in enumerate(texts.to_pylist()):
             text = text or ""
-            mine = w.end[ends[doc == i]] - w.offset[i] if False else w.end[ends[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")]] - w.offset[i]
+            mine = w.end[ends[np.searchsorted(doc, i) : np.searchsorted(doc, i, "right")]] - w.offset[i]
             data = text.encode()
             if len(data) != w.offset[i + 1] - w.offset[i]:
                 out.append([text] if text else [])
@@ -78,61 +88,110 @@ class Encoder:
         return out
 
     def _agrees(self, left: str, right: str) -> bool:
-        """Whether the words on both sides of a join are encoded together as they are apart."""
-        tail, head = _TAIL.search(left), _HEAD.match(right)
-        if not tail or not head:
-            return False
-        key = (tail[0], head[0])
-        known = self.joins.get(key)
-        if known is None:
-            if len(self.joins) >= MOST_JOINS:
-                self.joins.clear()
-            known = self.joins[key] = self._ids(key[0] + key[1]) == self._ids(key[0]) + self._ids(key[1])
-        return known
-
-    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """Whether two neighbouring pieces are encoded together as they are apart."""
+        return self._ids(left + right) == self._ids(left) + self._ids(right)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes pieces and files them under the next numbers."""
+        edges = self.edges
+        for k in range(0, len(new), 1024):
+            some = new[k : k + 1024]
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            count = np.array([len(x) for x in ids], np.int64)
+            flat = np.array([x for y in ids for x in y], np.int32)
+            at = np.arange(len(self.pieces), len(self.pieces) + len(some))
+            if at[-1] >= len(self.begin):
+                self.begin, self.count, self.tail, self.head = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.count, self.tail, self.head))
+            while self.n_tokens + len(flat) > len(self.tokens):
+                self.tokens = np.concatenate([self.tokens, np.zeros(len(self.tokens), np.int32)])
+            self.begin[at], self.count[at] = self.n_tokens + np.cumsum(count) - count, count
+            self.tail[at] = [edges.setdefault(p[-1], len(edges)) for p in some]
+            self.head[at] = [edges.setdefault(p[: len(p) - len(p.lstrip()) + 1], len(edges)) for p in some]
+            self.tokens[self.n_tokens : self.n_tokens + len(flat)] = flat
+            self.n_tokens += len(flat)
+            self.pieces.update(zip(some, at.tolist(), strict=True))
+        self.encoded += len(new)
+
+    def _repaired(self, pieces: list[str]) -> list[int]:
+        """The ids where some join does not agree: such pieces are put together until all do."""
+        parts, i = list(pieces), 1
+        while i < len(parts):
+            if self._agrees(parts[i - 1], parts[i]):
+                i += 1
+            else:
+                parts[i - 1 : i + 1] = [parts[i - 1] + parts[i]]
+                self.repaired += 1
+                i = max(1, i - 1)
+        return [x for p in parts for x in self._ids(p)]
+
+    def encode(self, texts: pa.Array) -> list[list[int]]:
+        """The ids of each text."""
         cut = self.cut(texts)
-        for parts in cut:
-            i = 1
-            while i < len(parts):
-                if self._agrees(parts[i - 1], parts[i]):
-                    i += 1
-                else:
-                    parts[i - 1 : i + 1] = [parts[i - 1] + parts[i]]
-                    self.repaired += 1
-                    i = max(1, i - 1)
         if len(self.chunks) >= MOST_CHUNKS:
             self.chunks.clear()
-        new = list({c: None for parts in cut for c in parts if c not in self.chunks})
-        here = {}
-        for k in range(0, len(new), 512):
-            some = new[k : k + 512]
-            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                here[c] = np.array(e.ids, np.int32)
-        self.encoded += len(new)
-        self.reused += sum(map(len, cut)) - len(new)
-        empty = np.zeros(0, np.int32)
-        out = [np.concatenate([empty, *[here[c] if c in here else self.chunks[c] for c in parts]]) for parts in cut]
-        room = MOST_CHUNKS - len(self.chunks)
-        self.chunks.update(list(here.items())[:room])
+        known, pieces, tokens = self.chunks, self.pieces, self.n_tokens
+        made = {c: _PIECES.findall(c) for c in dict.fromkeys(c for parts in cut for c in parts) if c not in known}
+        new = list(dict.fromkeys(p for ps in made.values() for p in ps if p not in pieces))
+        self._learn(new)
+        here = {c: np.array([pieces[p] for p in ps], np.int64) for c, ps in made.items()}
+        self.reused += sum(map(len, cut)) - len(made)
+        rows = [np.concatenate([here[c] if c in here else known[c] for c in parts]) if parts else np.zeros(0, np.int64) for parts in cut]
+        size = np.array([len(r) for r in rows])
+        piece = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+        owner = np.repeat(np.arange(len(rows)), size)
+        count = self.count[piece]
+        total = int(count.sum())
+        flat = self.tokens[np.arange(total) + np.repeat(self.begin[piece] - (np.cumsum(count) - count), count)].tolist()
+        ends = np.cumsum(np.bincount(owner, weights=count, minlength=len(rows)).astype(np.int64)).tolist()
+        out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        for i in self._disagreeing(piece, owner, cut):
+            out[i] = self._repaired(_PIECES.findall("".join(cut[i])))
+        if len(pieces) > MOST_PIECES:
+            for p in new:
+                del pieces[p]
+            self.n_tokens = tokens
+        else:
+            known.update(list(here.items())[: MOST_CHUNKS - len(known)])
         return out
 
-    def decode(self, ids: np.ndarray) -> str:
-        return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+    def _disagreeing(self, piece: np.ndarray, owner: np.ndarray, cut: list[list[str]]) -> list[int]:
+        """The texts with a join that does not agree; joins not met before are tried out."""
+        inside = np.flatnonzero(owner[1:] == owner[:-1])
+        key = self.tail[piece[inside]] << 32 | self.head[piece[inside + 1]]
+        distinct, first = np.unique(key, return_index=True)
+        wrong = []
+        for k, at in zip(distinct.tolist(), inside[first].tolist(), strict=True):
+            if k not in self.joins:
+                text = int(owner[at])
+                place = at - int(np.searchsorted(owner, text))
+                ps = _PIECES.findall("".join(cut[text]))
+                self.joins[k] = self._agrees(ps[place], ps[place + 1])
+            if not self.joins[k]:
+                wrong.append(k)
+        return sorted(set(owner[inside[np.isin(key, wrong)]].tolist())) if wrong else []
+
+    def decode(self, ids: list[int]) -> str:
+        return self.tokenizer.decode(ids, skip_special_tokens=False)
+
+
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each worker, so that what a task has learned serves the next."""
+    return Encoder(path)
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``ids`` (array<int>) of each row's whole text; null is empty and has no ids."""
-    return _mapped(docs, path, id_col, text_col, "id long, ids array<int>", lambda coder, all_ids: [pa.array([x.tolist() for x in all_ids], pa.list_(pa.int32()))])
+    return _mapped(docs, path, id_col, text_col, "id long, ids array<int>", lambda coder, all_ids: [pa.array(all_ids, pa.list_(pa.int32()))])
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """id and ``text`` of each row's ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(np.array(x or [], np.int32)) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([coder.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
@@ -140,15 +199,15 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by one space) and ``decoded_sha256`` of each row's whole text; null is empty.
 
-    Rows are worked on where they lie: nothing is shuffled, and what a task
-    remembers is bounded by MOST_CHUNKS and MOST_JOINS.
+    Rows are worked on where they lie: nothing is shuffled, and what a worker
+    remembers is bounded by MOST_CHUNKS and MOST_PIECES.
     """
 
-    def digests(coder: Encoder, all_ids: list[np.ndarray]) -> list[pa.Array]:
+    def digests(coder: Encoder, all_ids: list[list[int]]) -> list[pa.Array]:
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         return [
             pa.array([len(x) for x in all_ids], pa.int64()),
-            pa.array([sha(" ".join(map(str, x.tolist()))) for x in all_ids], pa.string()),
+            pa.array([sha(" ".join(map(coder.digits.__getitem__, x))) for x in all_ids], pa.string()),
             pa.array([sha(coder.decode(x)) for x in all_ids], pa.string()),
         ]
 
@@ -159,7 +218,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str,
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path)
+        coder = encoder(path)
         for b in slices(batches, "text", 1 << 20):
             yield pa.RecordBatch.from_arrays([b.column("id"), *columns(coder, coder.encode(b.column("text")))], names)
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from . import shape_queries, table_queries, text_queries  # noqa: F401  (importing registers them)
+from .base import QUERIES, SQL
+
+flagship = table_queries.flagship
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
-from ..operators import groups, joins, reports, sampling
+from ..operators import calls, groups, joins, reports, sampling
 from ..sources import io
 from .base import BOXES, COMPLETIONS, JUDGED, boxes, completions, judged, query, rounded, table
 from .text_queries import CLASSED, SCORED
@@ -93,6 +93,28 @@ def sk5_sk7_u8_write_once(spark, sf):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("""SELECT 'o' || CAST(vec_id AS STRING) AS object_id, CASE WHEN vec_id % 3 = 2 THEN NULL ELSE 8 END::INTEGER AS points, CASE WHEN vec_id % 3 < 2 THEN round(embedding[1]::DOUBLE, 4) END AS x FROM embeddings""")
+def sc7_sc8_sc9_point_files(spark, sf):
+    """Files with the wanted number of points, whole files that are cut to it, and ids without a file."""
+    e = table(spark, sf, "embeddings").withColumn("k", F.col("vec_id") % 3)
+    cloud = lambda n: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.array(F.element_at("embedding", 1), F.element_at("embedding", i + 2), F.element_at("embedding", i + 3)))
+    name = F.concat(F.lit("/in/o"), "vec_id", F.when(F.col("k") == 0, "_8.npy").otherwise(".npy"))
+    content = F.when(F.col("k") == 0, io.npy_bytes(cloud(8))).otherwise(io.npy_bytes(cloud(20)))
+    files = io.named_points(e.filter("k < 2").select(name.alias("path"), content.alias("content")))
+    got = io.points_of(e.select(F.concat(F.lit("o"), "vec_id").alias("object_id")), files, 8)
+    return got.select("object_id", F.when(F.col("points").isNotNull(), F.size("points")).alias("points"), F.round(F.col("points")[0][0].cast("double"), 4).alias("x"))
+
+
+@query("SELECT doc_id, upper(lang) AS reply FROM documents")
+def u5_u7_u8_calls(spark, sf):
+    return calls.called(table(spark, sf, "documents").select("doc_id", "lang"), "lang", calls.retried(str.upper), workers=4).select("doc_id", "reply")
+
+
+@query("SELECT user_id, event_type AS vote FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")
+def u9_vote(spark, sf):
+    return table(spark, sf, "events").groupBy("user_id").agg(F.mode("event_type", deterministic=True).alias("vote"))
+
+
 # --- projections and filters
 
 

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import io
-import posixpath
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType
 
 from ..operators import sampling
 
@@ -97,22 +97,44 @@ def categories(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("index").cast("long"), F.trim("name").alias("name"))
 
 
-def point_files(spark: SparkSession, folder: str, colour: bool = True) -> DataFrame:
-    """(object_id, points array<array<float>>) of ``.npy`` files named ``{object_id}_{n}.npy`` or ``{object_id}.npy``."""
+@F.pandas_udf(ArrayType(ArrayType(FloatType())))
+def npy_points(content: pd.Series) -> pd.Series:
+    """The rows of ``.npy`` files; null if one does not parse."""
+    import numpy as np
 
-    def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
+    def one(c):
+        try:
+            return np.load(io.BytesIO(c), allow_pickle=False).astype("float32").tolist()
+        except (TypeError, ValueError, EOFError):
+            return None
 
-        for b in batches:
-            rows = []
-            for path, content in zip(b["path"], b["content"], strict=True):
-                a = np.load(io.BytesIO(content), allow_pickle=False).astype("float32")
-                rows.append((posixpath.basename(path)[:-4], (a if colour else a[:, :3]).tolist()))
-            yield pd.DataFrame(rows, columns=["name", "points"])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content")
-    named = files.mapInPandas(load, "name string, points array<array<float>>")
-    return named.select(F.regexp_replace("name", r"_\d+\z", "").alias("object_id"), F.try_element_at(F.regexp_extract_all("name", F.lit(r"_(\d+)\z"), F.lit(1)), F.lit(1)).cast("int").alias("n"), "points")
+    return content.map(one)
+
+
+@F.pandas_udf(BinaryType())
+def npy_bytes(points: pd.Series) -> pd.Series:
+    """Rows as ``.npy`` files of 32-bit floats."""
+    import numpy as np
+
+    def one(p):
+        out = io.BytesIO()
+        np.save(out, np.stack([np.asarray(r, "float32") for r in p]) if len(p) else np.zeros((0, 3), "float32"))
+        return out.getvalue()
+
+    return points.map(lambda p: None if p is None else one(p))
+
+
+def named_points(files: DataFrame, colour: bool = True) -> DataFrame:
+    """(object_id, n, points) of files (path, content) named ``{object_id}_{n}.npy`` or ``{object_id}.npy``; without ``colour`` three channels stay."""
+    points = npy_points("content")
+    name = F.regexp_extract("path", r"([^/]*)\.npy\z", 1)
+    n = F.try_element_at(F.regexp_extract_all(name, F.lit(r"_(\d+)\z"), F.lit(1)), F.lit(1)).cast("int")
+    return files.select(F.regexp_replace(name, r"_\d+\z", "").alias("object_id"), n.alias("n"), (points if colour else F.transform(points, lambda p: F.slice(p, 1, 3))).alias("points"))
+
+
+def point_files(spark: SparkSession, folder: str, colour: bool = True) -> DataFrame:
+    """``named_points`` of a folder."""
+    return named_points(spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(folder).select("path", "content"), colour)
 
 
 def points_of(ids: DataFrame, files: DataFrame, n: int) -> DataFrame:

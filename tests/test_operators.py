@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import groups, joins, reports, sampling, trees
+from millrace.operators import calls, groups, joins, reports, sampling, trees
 from millrace.sources import io
 from millrace.streaming import metrics
 
@@ -128,3 +128,23 @@ def test_stream_of_metrics(spark, small, tmp_path):
         assert spark.table("flushed").agg(F.sum("n")).first()[0] == spark.read.parquet(f"{small}/events.parquet").count()
     finally:
         q.stop()
+
+
+def test_retries_pause_longer_each_time():
+    pauses, seen = [], []
+
+    def flaky(x):
+        seen.append(x)
+        if len(seen) < 4:
+            raise OSError("busy")
+        return x
+
+    assert calls.retried(flaky, jitter=False, sleep=pauses.append)("a") == "a" and pauses == [1, 2, 4]
+    seen.clear()
+    with pytest.raises(OSError, match="busy"):
+        calls.retried(flaky, attempts=2, sleep=lambda _: None)("a")
+
+
+def test_a_call_that_fails_gives_null(spark):
+    df = spark.createDataFrame([("1",), ("x",)], "a string")
+    assert {r["a"]: r["reply"] for r in calls.called(df, "a", lambda x: str(int(x) + 1)).collect()} == {"1": "2", "x": None}

@@ -15,7 +15,7 @@ from .tokens import mix, seeds, words
 #: Hash space of the features.
 BITS = 20
 #: Labelled rows that the weights are learned from, about; they are chosen by a hash of their id.
-ROWS = 12000
+ROWS = 8000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
 #: Distances between the two words of a pair: 1 is a bigram, more a skip-gram.
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "y")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text"):
             value, at = text_features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.int32()))], ["id", "y", "x"])
 

@@ -22,7 +22,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
     for _ in range(MOST_ROUNDS):
         near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("near"))
-        better = labels.join(near, labels["node"] == near["u"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        # Written out, so that both sides of the next join are dealt anew and AQE can split a root that many nodes share.
+        better = cut_lineage(labels.join(near, labels["node"] == near["u"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
         jump = better.select(F.col("node").alias("of"), F.col("root").alias("far"))
         new = cut_lineage(better.join(jump, better["root"] == jump["of"]).select("node", "old", F.least("root", "far").alias("root")))
         labels = new.select("node", "root")

@@ -6,14 +6,13 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import kept, slices
 from .tokens import grams, words
 
 #: Words in a chunk, about.
@@ -21,8 +20,8 @@ CHUNK_WORDS = 32
 #: Words whose rolling hash decides whether a chunk ends.
 WINDOW = 4
 #: Chunks and pieces that a worker remembers; when it knows so many pieces, new ones are forgotten after each batch.
-MOST_CHUNKS = 1 << 15
-MOST_PIECES = 1 << 19
+MOST_CHUNKS = 1 << 14
+MOST_PIECES = 3 << 17
 _PIECES = re.compile(r"\s*\S+|\s+")
 
 
@@ -52,7 +51,7 @@ class Encoder:
         self.pieces: dict[str, int] = {}
         # By piece: where its ids begin in ``tokens``, how many there are, and what of it matters for a join.
         self.tokens, self.n_tokens = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.count, self.tail, self.head = (np.zeros(1 << 16, np.int64) for _ in range(4))
+        self.begin, self.count, self.tail, self.head = (np.zeros(1 << 16, np.int32) for _ in range(4))
         self.edges: dict[str, int] = {}
         self.joins: dict[int, bool] = {}
         self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
@@ -101,7 +100,7 @@ class Encoder:
             flat = np.array([x for y in ids for x in y], np.int32)
             at = np.arange(len(self.pieces), len(self.pieces) + len(some))
             if at[-1] >= len(self.begin):
-                self.begin, self.count, self.tail, self.head = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.begin, self.count, self.tail, self.head))
+                self.begin, self.count, self.tail, self.head = (np.concatenate([x, np.zeros(len(x), np.int32)]) for x in (self.begin, self.count, self.tail, self.head))
             while self.n_tokens + len(flat) > len(self.tokens):
                 self.tokens = np.concatenate([self.tokens, np.zeros(len(self.tokens), np.int32)])
             self.begin[at], self.count[at] = self.n_tokens + np.cumsum(count) - count, count
@@ -139,7 +138,7 @@ class Encoder:
         size = np.array([len(r) for r in rows])
         piece = np.concatenate(rows) if rows else np.zeros(0, np.int64)
         owner = np.repeat(np.arange(len(rows)), size)
-        count = self.count[piece]
+        count = self.count[piece].astype(np.int64)
         total = int(count.sum())
         flat = self.tokens[np.arange(total) + np.repeat(self.begin[piece] - (np.cumsum(count) - count), count)].tolist()
         ends = np.cumsum(np.bincount(owner, weights=count, minlength=len(rows)).astype(np.int64)).tolist()
@@ -157,7 +156,7 @@ class Encoder:
     def _disagreeing(self, piece: np.ndarray, owner: np.ndarray, cut: list[list[str]]) -> list[int]:
         """The texts with a join that does not agree; joins not met before are tried out."""
         inside = np.flatnonzero(owner[1:] == owner[:-1])
-        key = self.tail[piece[inside]] << 32 | self.head[piece[inside + 1]]
+        key = self.tail[piece[inside]].astype(np.int64) << 32 | self.head[piece[inside + 1]]
         distinct, first = np.unique(key, return_index=True)
         wrong = []
         for k, at in zip(distinct.tolist(), inside[first].tolist(), strict=True):
@@ -174,10 +173,9 @@ class Encoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
     """One encoder for each worker, so that what a task has learned serves the next."""
-    return Encoder(path)
+    return kept(("encoder", path), lambda: Encoder(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -219,7 +217,7 @@ def _mapped(docs: DataFrame, path: str, id_col: str, text_col: str, schema: str,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
-        for b in slices(batches, "text", 1 << 20):
+        for b in slices(batches, "text", keep=True):
             yield pa.RecordBatch.from_arrays([b.column("id"), *columns(coder, coder.encode(b.column("text")))], names)
 
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

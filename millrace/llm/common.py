@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -38,15 +39,28 @@ def crc_bucket(col: str, n: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(col).cast("string")), F.lit(n)), F.lit(-1))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+_kept: dict = {}
+
+
+def kept(key, make):
+    """What ``make`` gives, once for each worker; gone as soon as a kernel runs there that does not ask for it."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 1 << 20, keep: bool = False) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into runs of whole rows with about ``most`` bytes of text each.
 
     A longer text makes a run of its own, so it is the only case in which a
-    run exceeds the bound.
+    run exceeds the bound.  At the end, what the worker has freed goes back to
+    the system: workers live on between tasks, beside the executor's heap.
     """
     import numpy as np
     import pyarrow.compute as pc
 
+    if not keep:
+        _kept.clear()
     for b in batches:
         size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False))
         at = 0
@@ -55,3 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 4 << 20) ->
             end = max(at + 1, int(np.searchsorted(size, done + most, "right")))
             yield b.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)

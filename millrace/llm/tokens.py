@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 
 WORD = r"[^\x00-/:-@\[-`{-\xbf -ⁿ　-〿]+"
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _ONE = np.uint64(1)
 

@@ -174,7 +174,7 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     base = cut_lineage(_signatures(rows.filter("id is not null"), n))
     # Written out, so that both sides of the join are dealt anew and AQE can split a large class.
     sets = cut_lineage(base.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("members")))
-    classes = cut_lineage(base.select("id", "d1", "d2").join(sets, ["d1", "d2"]).select("id", "d1", "d2", "rep", "members").distinct())
+    classes = cut_lineage(base.select("id", "d1", "d2").distinct().join(sets, ["d1", "d2"]).select("id", "d1", "d2", "rep", "members"))
     reps = base.join(classes.filter("id = rep").select("id", "d1", "d2", "members"), ["id", "d1", "d2"]).select("id", "members", "sig", "d1", "d2")
     bands = _bands(reps)
     buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other").select("key", "pivot")

@@ -92,3 +92,8 @@ def test_clean_answer_line_ends(spark):
 def test_unicode_blanks(spark):
     assert one(spark, lambda c, s: F.size(T.words(c)), "a　b c ") == 3
     assert one(spark, lambda c, s: F.size(T.words(c)), "  ") == 0
+
+
+@pytest.mark.parametrize(("said", "want"), [("I think A, but C.", "C"), ("B", "B"), ("(d)", None), ("answer: d", "D"), ("The answer is B. Not A.", "B"), ("", None), ("no letter", None), ("x? y!", "Y")])
+def test_choice(spark, said, want):
+    assert one(spark, lambda c, s: T.choice(c), said) == want

@@ -180,12 +180,13 @@ def combined(accuracy: Column, layout: Column, thought: Column) -> Column:
 
 
 def _repeats(items: Column) -> Column:
-    return F.when(F.size(items) == 0, 0.0).otherwise(-(1 - F.size(F.array_distinct(items)) / F.size(items)))
+    return T.let(items, lambda x: F.when(F.size(x) == 0, 0.0).otherwise(-(1 - F.size(F.array_distinct(x)) / F.size(x))))
 
 
 def grams(items: Column, n: int) -> Column:
     """Runs of ``n`` neighbouring elements, as arrays."""
-    return F.when(F.size(items) < n, F.array().cast("array<array<string>>")).otherwise(F.transform(F.sequence(F.lit(1), F.size(items) - n + 1), lambda i: F.slice(items, i, F.lit(n))))
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))
+    return T.let(items, lambda w: F.when(F.size(w) < n, F.array().cast("array<array<string>>")).otherwise(runs(w)))
 
 
 def repetition_text(content: Column, n: int = 6) -> Column:

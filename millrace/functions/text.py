@@ -6,6 +6,8 @@ a pattern starts with ``(?U)``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ _BLANK = r"[\s\x1c-\x1f]"
 ANSWER, THINK, FENCE = r"<answer>(.*?)</answer>", r"<think>(.*?)</think>", r"```json(.*?)```"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row: inside a lambda, other columns are computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     """Without blanks at both ends."""
     return F.regexp_replace(c, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
@@ -190,8 +197,7 @@ def sections(c: Column) -> Column:
     heads = r"(?i)\[(?:部件|Part)\s*(\d+)\]"
     numbers = F.transform(F.regexp_extract_all(c, F.lit(heads), F.lit(1)), lambda x: x.cast("int"))
     bodies = F.slice(F.split(c, heads), 2, 1 << 30)
-    pairs = F.arrays_zip(numbers.alias("n"), bodies.alias("body"))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["n"] == x["n"]))
+    last = let(F.arrays_zip(numbers.alias("n"), bodies.alias("body")), lambda pairs: F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda y: y["n"] == x["n"])))
     return F.map_from_entries(last)
 
 
@@ -218,10 +224,7 @@ def choice(c: Column) -> Column:
     them count.  Of several, each scores by what surrounds its first occurrence
     in the text, wherever that is; of equal scores the first found holds.
     """
-    t = F.regexp_replace(F.upper(c), rf"(?U){_BLANK}+", " ")
-    letters = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![A-Z])([A-Z])(?=[.,?!:;]|\z)"), F.lit(1)))
-
-    def score(x: Column) -> Column:
+    def score(t: Column, x: Column) -> Column:
         at = F.instr(t, x) - 1
         begin = F.greatest(at - 20, F.lit(0))
         context = F.substr(t, begin + 1, at + 20 - begin)
@@ -230,8 +233,11 @@ def choice(c: Column) -> Column:
         stop = F.when((at < F.length(t) - 1) & F.lit("。.!！,，").contains(F.substr(t, at + 2, F.lit(1))), 1).otherwise(0)
         return near + late + stop
 
-    ranked = F.transform(letters, lambda x, i: F.struct(score(x).alias("score"), (-i).alias("order"), x.alias("letter")))
-    return F.when(F.size(letters) == 1, F.element_at(letters, 1)).otherwise(F.array_max(ranked)["letter"])
+    def chosen(t: Column) -> Column:
+        letters = F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?<![A-Z])([A-Z])(?=[.,?!:;]|\z)"), F.lit(1)))
+        return F.array_max(F.transform(letters, lambda x, i: F.struct(score(t, x).alias("score"), (-i).alias("order"), x.alias("letter"))))["letter"]
+
+    return let(F.regexp_replace(F.upper(c), rf"(?U){_BLANK}+", " "), chosen)
 
 
 def judged_truth(c: Column) -> Column:

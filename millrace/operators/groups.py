@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def advantages(df: DataFrame, group: list[str], reward: str = "reward", epsilon: float = 1e-4) -> DataFrame:
     """``df`` with ``advantage``: (reward - mean) / (sample deviation + epsilon) in its group.
@@ -62,8 +64,7 @@ def min_max(df: DataFrame, group: list[str], value: str, name: str, constant: fl
 
 def mask_after(tokens: Column, end: Column) -> Column:
     """1 up to the first ``end``, 0 after it; all 1 without one."""
-    first = F.array_position(tokens, end)
-    return F.transform(tokens, lambda _, i: F.when((first == 0) | (i < first), 1).otherwise(0))
+    return let(F.array_position(tokens, end), lambda first: F.transform(tokens, lambda _, i: F.when((first == 0) | (i < first), 1).otherwise(0)))
 
 
 def attempts(log: DataFrame, key: str, order: list[Column]) -> DataFrame:

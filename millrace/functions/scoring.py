@@ -184,9 +184,9 @@ def _repeats(items: Column) -> Column:
 
 
 def grams(items: Column, n: int) -> Column:
-    """Runs of ``n`` neighbouring elements, as arrays."""
-    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.slice(w, i, F.lit(n)))
-    return T.let(items, lambda w: F.when(F.size(w) < n, F.array().cast("array<array<string>>")).otherwise(runs(w)))
+    """Runs of ``n`` neighbouring words, joined by spaces: Spark hashes texts, but compares arrays pair by pair."""
+    runs = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    return T.let(items, lambda w: F.when(F.size(w) < n, F.array().cast("array<string>")).otherwise(runs(w)))
 
 
 def repetition_text(content: Column, n: int = 6) -> Column:

@@ -48,10 +48,11 @@ def cyclic(df: DataFrame, group: list[str], order: list[Column], values: list[st
 def precision_recall(df: DataFrame, group: list[str], order: list[Column], hit: str, truths: str) -> DataFrame:
     """``tp``, ``fp``, ``recall``, ``precision`` down the ranking, and ``envelope``: the best precision from here on."""
     down = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    rest = W.partitionBy(*group).orderBy(*order).rowsBetween(W.currentRow, W.unboundedFollowing)
+    # From the end, as a frame up to the last row would be computed anew for each row.
+    up = W.partitionBy(*group).orderBy(F.desc("__n")).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = df.withColumns({"tp": F.sum(hit).over(down), "fp": F.sum(1 - F.col(hit)).over(down)})
     out = out.withColumns({"recall": F.try_divide(F.col("tp"), F.col(truths)), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    return out.withColumn("envelope", F.max("precision").over(rest))
+    return out.withColumn("__n", F.col("tp") + F.col("fp")).withColumn("envelope", F.max("precision").over(up)).drop("__n")
 
 
 def min_max(df: DataFrame, group: list[str], value: str, name: str, constant: float = 0.5, low: float = 0.0, high: float = 1.0) -> DataFrame:

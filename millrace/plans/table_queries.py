@@ -11,7 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import calls, groups, joins, reports, sampling
 from ..sources import io
-from .base import BOXES, COMPLETIONS, JUDGED, boxes, completions, judged, query, rounded, table
+from .base import BOXES, COMPLETIONS, JUDGED, boxes, completions, derived, judged, query, rounded, table
 from .text_queries import CLASSED, SCORED
 
 KEY = "(({0}) % 1073741824 * 2654435761) % 4294967296"
@@ -135,10 +135,14 @@ def pf3_prefix(spark, sf):
     return table(spark, sf, "events").select("event_id").orderBy("event_id").limit(100)
 
 
-@query(r"SELECT page_id FROM pages WHERE NOT regexp_matches(html, '<[^>]+></[^>]+>') AND NOT contains(html, 'Answer:') AND length(url) >= 28 AND html IS NOT NULL")
+PROBLEMS = """SELECT doc_id, lang || CASE doc_id % 4 WHEN 0 THEN ' <answer></answer>' WHEN 1 THEN ' Answer: x' ELSE ' <b>y</b>' END AS problem, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars % 60 END AS side FROM documents"""
+
+
+@query(f"SELECT doc_id FROM ({PROBLEMS}) WHERE NOT regexp_matches(problem, '<[^>]+></[^>]+>') AND NOT contains(problem, 'Answer:') AND side >= 28")
 def pf4_quality_filter(spark, sf):
-    html = F.col("html")
-    return table(spark, sf, "pages").filter(~html.rlike("<[^>]+></[^>]+>") & ~html.contains("Answer:") & (F.length("url") >= 28) & html.isNotNull()).select("page_id")
+    """No empty tag pair, no answer in the question, and an image whose side is known and not too small."""
+    p = F.col("problem")
+    return derived(spark, sf, PROBLEMS, "documents").filter(~p.rlike("<[^>]+></[^>]+>") & ~p.contains("Answer:") & (F.col("side") >= 28)).select("doc_id")
 
 
 @query("SELECT o_custkey, l_orderkey, CAST(count(*) AS BIGINT) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_orderkey HAVING count(*) >= 4 QUALIFY count(*) OVER (PARTITION BY o_custkey) > 1")
@@ -171,8 +175,6 @@ QA = """SELECT event_id AS id, '{"qas":[{"question":" q' || CAST(user_id AS STRI
 @query("WITH q AS (" + QA + """) SELECT id, 'fallback' AS qa_type, 'q' || regexp_extract(doc, '" q(\\d+) ', 1) AS question, 'c' AS think, '' AS brief, CAST(1 AS INTEGER) AS extras FROM q
  UNION ALL SELECT id, 't2', '', '', 'b', 0 FROM q""")
 def pf10_qa_items(spark, sf):
-    from .base import derived
-
     item = "struct<qa_type:string,question:string,think:string,cot:string,answer:string,brief:string>"
     q = derived(spark, sf, QA, "events")
     each = q.select("id", F.explode(F.from_json(F.get_json_object("doc", "$.qas"), "array<string>")).alias("raw")).filter(F.col("raw").startswith("{"))

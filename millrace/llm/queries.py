@@ -53,7 +53,7 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,17 @@
-"""Substring dedup by hashing lines cut into sentences: repeated passages go, the earliest occurrence stays."""
+"""Substring dedup: repeated passages go, the earliest occurrence stays.
+
+Lines cut into sentences are hashed as units, and runs of repeated units go.
+Passages of ``PASSAGE`` words or more are also found wherever they begin and
+end.  Each window of that many words picks the first of its smallest hashes of
+``GRAM`` words, so equal windows pick equal hashes; neighbouring windows that
+pick the same place are a run, and only runs that pick a hash that others pick
+as well are compared, window by window where they differ.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -11,11 +20,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, slices
-from .tokens import mix, text_bytes, words
+from .tokens import Words, grams, mix, text_bytes, words
 
 #: Words that a run of neighbouring repeated units must have to be removed.
 MIN_WORDS = 30
-_SCHEMA = "doc_id long, unit_no int, start int, end int, words int, d1 long, d2 long, first boolean"
+#: Words from which a repeated passage is removed wherever it begins and ends.
+PASSAGE = 51
+#: Words of a hash that a window picks; it has 32 of them.
+GRAM = 20
+#: Stands for a null id, which ranks last.
+LAST = (1 << 63) - 1
+_SCHEMA = "doc_id long, unit_no int, word int, start int, end int, words int, d1 long, d2 long, first boolean"
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,10 +82,13 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             same = np.zeros(len(doc), bool)
             o, p = order[1:], order[:-1]
             same[o] = (doc[o] == doc[p]) & (d1[o] == d1[p]) & (d2[o] == d2[p])
-            number = np.arange(len(doc)) - np.searchsorted(doc, doc, "left")
+            head = np.searchsorted(doc, doc, "left")
+            number = np.arange(len(doc)) - head
+            before = np.cumsum(count) - count
+            word = before - before[head]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in (number, points[start] - began, points[end] - began, count)], pa.array(d1), pa.array(d2), pa.array(~same)],
-                ["doc_id", "unit_no", "start", "end", "words", "d1", "d2", "first"],
+                [b.column("doc_id").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in (number, word, points[start] - began, points[end] - began, count)], pa.array(d1), pa.array(d2), pa.array(~same)],
+                ["doc_id", "unit_no", "word", "start", "end", "words", "d1", "d2", "first"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
@@ -91,7 +109,16 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     document, ranked by id alone, so whole copies under one id both stay; a null
     id ranks last, and all rows with it count as one document.
     """
-    last = F.lit((1 << 63) - 1)
+    return _named(_unit_spans(docs, min_words, id_col, text_col), id_col)
+
+
+def _named(spans: DataFrame, id_col: str) -> DataFrame:
+    return spans.select(F.col("doc_id").alias(id_col), "span_start", "span_end", "n_words", F.when(F.col("first_doc") != LAST, F.col("first_doc")).alias("first_doc"))
+
+
+def _unit_spans(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """The spans of ``repeated_spans`` with the number of their first word; ``first_doc`` is ``LAST`` for a null id."""
+    last = F.lit(LAST)
     all_units = units(docs, id_col, text_col)
     # Written out, so that both sides of the join are dealt anew and AQE can split a common line.
     shared = cut_lineage(
@@ -105,21 +132,140 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
         all_units.join(shared, ["d1", "d2"], "left")
         .withColumn("first_doc", F.coalesce("first_doc", own))
         .filter((own != F.col("first_doc")) | ~F.col("first"))
-        .select("doc_id", "unit_no", "start", "end", "words", "first_doc")
+        .select("doc_id", "unit_no", "word", "start", "end", "words", "first_doc")
     )
     order = W.partitionBy("doc_id").orderBy("unit_no", "start")
     runs = again.withColumn("run", F.col("unit_no") - F.dense_rank().over(order))
     return (
         runs.groupBy("doc_id", "run")
-        .agg(F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc"))
+        .agg(F.min("word").alias("word"), F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc"))
         .filter(F.col("n_words") >= min_words)
-        .select(F.col("doc_id").alias(id_col), "span_start", "span_end", "n_words", F.when(F.col("first_doc") != last, F.col("first_doc")).alias("first_doc"))
+        .drop("run")
+    )
+
+
+class Windows(NamedTuple):
+    doc: np.ndarray  # text of each window
+    word: np.ndarray  # number of its first word in the text
+    hash: np.ndarray
+    start: np.ndarray  # code points of the text
+    end: np.ndarray
+    pick: np.ndarray  # of each run: the hash that its windows pick
+    first: np.ndarray  # of each run: its first window
+    n: np.ndarray  # of each run: its windows
+
+
+def windows(w: Words) -> Windows | None:
+    """All windows of ``PASSAGE`` words, and the runs of those that pick the same place."""
+    many = np.maximum(np.diff(w.at) - PASSAGE + 1, 0)
+    doc = np.repeat(np.arange(len(many)), many)
+    if not len(doc):
+        return None
+    word = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+    at = w.at[doc] + word
+    gram = grams(w.hash, GRAM, 61)
+    # The first of the smallest hashes among 1, 2, 4, ... from each place on.
+    place, step = np.arange(len(gram)), 1
+    while step < PASSAGE - GRAM + 1:
+        place = np.where(gram[place[step:]] < gram[place[:-step]], place[step:], place[:-step])
+        step *= 2
+    place = place[at]
+    new = np.ones(len(at), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
+    first = np.flatnonzero(new)
+    # Lower case has the same number of code points.
+    points = np.concatenate([[0], np.cumsum((w.data & 0xC0) != 0x80)])
+    began = points[w.offset[doc]]
+    return Windows(doc, word, grams(w.hash, PASSAGE, 62)[at], points[w.start[at]] - began, points[w.end[at + PASSAGE - 1]] - began, gram[place[first]], first, np.diff(np.append(first, len(at))))
+
+
+def _window_runs(rows: DataFrame) -> DataFrame:
+    """A row for each run of windows: what they pick, a digest of them all, number of the first word, windows, offsets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            v = windows(words(b.column("text")))
+            if v is None:
+                continue
+            k = np.arange(len(v.doc)) - np.repeat(v.first, v.n)
+            digest = mix(np.add.reduceat(mix(v.hash ^ mix(k.astype(np.uint64))), v.first))
+            end = v.end[v.first + v.n - 1]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rank").take(pa.array(v.doc[v.first])), pa.array(v.pick.view(np.int64)), pa.array(digest.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (v.word[v.first], v.n, v.start[v.first], end)]],
+                ["rank", "pick", "digest", "word", "n", "start", "end"],
+            )
+
+    return rows.mapInArrow(run, "rank long, pick long, digest long, word int, n int, start int, end int")
+
+
+def _single_windows(rows: DataFrame) -> DataFrame:
+    """A row for each window of the runs whose first words ``wanted`` numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            v = windows(words(b.column("text")))
+            if v is None:
+                continue
+            wanted = b.column("wanted")
+            key = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy())) << 32 | wanted.flatten().to_numpy().astype(np.int64)
+            some = np.repeat(np.isin(v.doc[v.first] << 32 | v.word[v.first], key), v.n)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("rank").take(pa.array(v.doc[some])), pa.array(np.repeat(v.pick, v.n)[some].view(np.int64)), pa.array(v.hash[some].view(np.int64)), *[pa.array(x[some].astype(np.int32)) for x in (v.word, v.start, v.end)]],
+                ["rank", "pick", "hash", "word", "start", "end"],
+            )
+
+    return rows.mapInArrow(run, "rank long, pick long, hash long, word int, start int, end int")
+
+
+def _passage_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Stretches of windows that stand earlier, in the form of ``_unit_spans``; a window that overlaps its earliest occurrence stays."""
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), F.col(text_col).alias("text"))
+    runs = _window_runs(rows)
+    earliest = F.min(F.struct("rank", "word")).alias("first")
+    # Written out, so that both sides of the joins are dealt anew and AQE can split a common passage.
+    picks = cut_lineage(
+        runs.groupBy("pick").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
+        .filter("n > 1").select("pick", (F.col("least") != F.col("most")).alias("differ"))
     )
+    shared = cut_lineage(runs.join(picks, "pick"))
+    kinds = cut_lineage(shared.groupBy("pick", "digest").agg(earliest))
+    placed = shared.join(kinds, ["pick", "digest"])
+    later = (F.col("rank") > F.col("first.rank")) | ((F.col("rank") == F.col("first.rank")) & (F.col("word") >= F.col("first.word") + PASSAGE))
+    whole = placed.filter(later).select("rank", "word", (F.col("n") + PASSAGE - 1).alias("n_words"), "start", "end", F.col("first.rank").alias("first_doc"))
+    # Where runs differ, the earliest of each kind is compared window by window.
+    wanted = placed.filter(F.col("differ") & ~later).groupBy(F.col("rank").alias("of")).agg(F.collect_set("word").alias("wanted"))
+    single = cut_lineage(_single_windows(rows.join(wanted, F.col("rank") == F.col("of")).select("rank", "text", "wanted")))
+    known = cut_lineage(single.groupBy("pick", "hash").agg(earliest, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    parts = single.join(known, ["pick", "hash"]).filter(later).select("rank", "word", F.lit(PASSAGE).alias("n_words"), "start", "end", F.col("first.rank").alias("first_doc"))
+    both = whole.unionByName(parts)
+    return both.select(F.when(F.col("rank") != LAST, F.col("rank")).alias("doc_id"), "word", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("n_words").cast("long").alias("n_words"), "first_doc")
+
 
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The spans of ``repeated_spans``, joined with all other passages of ``PASSAGE`` words or more that stand earlier word for word.
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, the text without its repeated spans, and ``kept``: the (start, end) in the original text of what is left, in order."""
-    spans = repeated_spans(docs, min_words, id_col, text_col).groupBy(F.col(id_col).alias("sid")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("gone"))
+    The latter need not begin or end with a unit.  A passage that overlaps its
+    own earliest occurrence in a text stays as far as that reaches.  Spans that
+    touch or overlap are one, with the smallest ``first_doc`` of its parts.
+    """
+    spans = _unit_spans(docs, min_words, id_col, text_col).unionByName(_passage_spans(docs, id_col, text_col))
+    spans = spans.withColumn("after", F.col("word") + F.col("n_words"))
+    order = W.partitionBy("doc_id").orderBy("word", "after")
+    reached = F.max("after").over(order.rowsBetween(W.unboundedPreceding, -1))
+    apart = spans.withColumn("apart", F.coalesce((F.col("word") > reached).cast("int"), F.lit(1)))
+    one = apart.withColumn("span", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    joined = one.groupBy("doc_id", "span").agg(
+        F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), (F.max("after") - F.min("word")).alias("n_words"), F.min("first_doc").alias("first_doc")
+    )
+    return _named(joined, id_col)
+
+
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = repeated_spans) -> DataFrame:
+    """id, the text without its repeated spans, and ``kept``: the (start, end) in the original text of what is left, in order.
+
+    ``find=repeated_passages`` removes the passages between units as well.
+    """
+    spans = find(docs, min_words, id_col, text_col).groupBy(F.col(id_col).alias("sid")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("gone"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("sid")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<span_start:int,span_end:int>>")))
     starts = F.concat(F.array(F.lit(0)), F.col("gone.span_end"))

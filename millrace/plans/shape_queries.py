@@ -164,7 +164,7 @@ def g19_part_difficulty(spark, sf):
 
 @query()
 def g21_g22_a27_mask_scores(spark, sf):
-    px = table(spark, sf, "lineitem").filter("l_orderkey < 2000").select((F.col("l_orderkey") % 40).alias("view"), (F.col("l_linenumber") % 3).alias("part"), (F.col("l_partkey") % 32).alias("row"), (F.col("l_suppkey") % 32).alias("col"))
+    px = table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 50).alias("view"), (F.col("l_linenumber") % 3).alias("part"), (F.col("l_partkey") % 32).alias("row"), (F.col("l_suppkey") % 32).alias("col"))
     got = P.mask_scores(px, "view", "part", 32, 32)
     return got.select("view", rounded(F.col("connectivity")).alias("connectivity"), rounded(F.col("separation")).alias("separation"))
 

@@ -171,6 +171,37 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     classes.  Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    several = _several(rows)
+    if several.isEmpty():
+        return _similar(rows, n, threshold).withColumnRenamed("id", id_col)
+    found = _by_text(rows, several, n, threshold)
+    return found.select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links")
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The ids that stand with several texts."""
+    text = F.xxhash64("text")
+    return cut_lineage(rows.filter("id is not null").groupBy("id").agg(F.min(text).alias("least"), F.max(text).alias("most")).filter("least <> most").select(F.col("id").alias("of")))
+
+
+def _with_node(rows: DataFrame, several: DataFrame) -> DataFrame:
+    """``rows`` and ``node``: a number of each text that shares its id with others, else the id."""
+    marked = rows.join(several, F.col("id") == F.col("of"), "left")
+    return marked.withColumn("node", F.when(F.col("of").isNotNull(), F.xxhash64("id", "text")).otherwise(F.col("id"))).drop("of")
+
+
+def _by_text(rows: DataFrame, several: DataFrame, n: int, threshold: float) -> DataFrame:
+    """node, id, first (id, node), n_links of each row, if texts rather than ids are joined; ``first`` is the smallest of the class."""
+    named = _with_node(rows, several)
+    found = cut_lineage(_similar(named.select(F.col("node").alias("id"), "text"), n, threshold).withColumnRenamed("id", "node"))
+    real = named.filter("node <> id").select(F.col("node").alias("of"), "id").distinct()
+    texts = cut_lineage(found.join(real, F.col("node") == F.col("of"), "left").select("node", F.coalesce("id", "node").alias("id"), "class_id", "n_links"))
+    firsts = cut_lineage(texts.groupBy(F.col("class_id").alias("of")).agg(F.min(F.struct("id", "node")).alias("first")))
+    return texts.join(firsts, F.col("class_id").eqNullSafe(F.col("of"))).select("node", "id", "first", "n_links")
+
+
+def _similar(rows: DataFrame, n: int, threshold: float) -> DataFrame:
+    """``similar`` of rows (id, text) of which an id has one text."""
     base = cut_lineage(_signatures(rows.filter("id is not null"), n))
     # Written out, so that both sides of the join are dealt anew and AQE can split a large class.
     sets = cut_lineage(base.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("members")))
@@ -188,10 +219,10 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
         classes.join(class_of, "rep", "left").join(links, "rep", "left")
         .select("id", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     )
-    # Rows without words have no line in ``known``; a row's own text decides only where an id has several.
+    # Rows without words have no line in ``known``.
     alone = known.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
     out = rows.select(F.col("id").alias("row")).join(alone, F.col("row") == F.col("id"), "left")
-    return out.select(F.col("row").alias(id_col), F.coalesce("class_id", "row").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(F.col("row").alias("id"), F.coalesce("class_id", "row").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def _tiles(rows: DataFrame, reps: DataFrame, near: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -232,6 +263,16 @@ def _tiles(rows: DataFrame, reps: DataFrame, near: DataFrame, n: int, threshold:
 
 
 def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all columns, that are the smallest id of their class; rows with a null id stay."""
-    gone = similar(docs, n, threshold, id_col, text_col).filter(F.col("class_id") != F.col(id_col)).select(F.col(id_col).alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs``, with all columns, that are the smallest id of their class; rows with a null id stay.
+
+    Where an id has several texts, each is kept or dropped for its own class.
+    """
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    several = _several(rows)
+    if several.isEmpty():
+        gone = _similar(rows, n, threshold).filter(F.col("class_id") != F.col("id")).select(F.col("id").alias("__gone"))
+        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = _by_text(rows, several, n, threshold).filter(F.col("first.node") != F.col("node")).select(F.col("node").alias("__gone")).distinct()
+    marked = docs.join(several.withColumnRenamed("of", "__of"), F.col(id_col).cast("long") == F.col("__of"), "left")
+    node = F.when(F.col("__of").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).otherwise(F.col(id_col).cast("long"))
+    return marked.withColumn("__node", node).join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*[docs[c] for c in docs.columns])

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from millrace.llm import substring_dedup, tokens
+from millrace.llm import ngram_join, substring_dedup, tokens
 
 
 @pytest.fixture(scope="module")
@@ -60,3 +60,14 @@ def test_no_repeated_passage_is_left(spark, docs):
     pairs = [(r["doc_id"], r["text"]) for r in docs.collect()]
     units = gone_words(pairs, substring_dedup.repeated_spans(docs).collect())
     assert gone_words(pairs, substring_dedup.repeated_passages(docs).collect()) == units | repeated_words(pairs)
+
+
+def test_links_of_an_id_with_two_texts(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    pairs = [(7, a), (7, b), (9, a + " x"), (11, b + " y"), (3, b + " z"), (7, ""), (12, "alone"), (None, a)]
+    for these in (pairs, pairs[::-1]):
+        df = spark.createDataFrame(these, "doc_id long, text string").coalesce(1)
+        got = sorted(map(tuple, ngram_join.similar(df).collect()), key=repr)
+        assert got == sorted([(7, 7, 1), (7, 3, 2), (9, 7, 1), (11, 3, 2), (3, 3, 2), (7, 7, 0), (12, 12, 0), (None, None, 0)], key=repr)
+        kept = {tuple(r) for r in ngram_join.keep_one(df).collect()}
+        assert kept == {(7, a), (3, b + " z"), (7, ""), (12, "alone"), (None, a)}

@@ -26,14 +26,19 @@ from .tokens import text_bytes
 ORDER = 3
 #: Labelled rows that a language's tree is learned from, about: rows are chosen by a hash of their id.
 ROWS_PER_LANGUAGE = 1500
-#: Contexts of full length kept in the tables of a model, the most frequent first; the rest fall back to shorter ones.
-MOST_CONTEXTS = 1 << 16
-#: Languages of a model, the most frequent first.
-MOST_LANGUAGES = 64
+#: Bytes of the costs of languages whose tables are held at once, about; one language may need more.
+BLOCK_BYTES = 192 << 20
+#: Bytes of text that are scored with one block of languages before the next is built, about.
+TEXT_BYTES = 16 << 20
 #: A text whose best code needs more bits for a byte than this is in no learned language: the uniform code does better.
 MOST_BITS = 8.0
 
 
+class Learned(NamedTuple):
+    languages: list[str]
+    blocks: list  # of languages in order: one Model, or each block's counts, from which its Model is built where it is used
+
+
 class Model(NamedTuple):
     languages: list[str]
     symbol: np.ndarray  # of each byte; all bytes never seen share the last symbol, since they are coded alike
@@ -81,12 +86,7 @@ def build(languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]
     size = len(byte)
     width = size
 
-    total: dict[int, int] = {}
-    for code, n in counts.values():
-        context, inverse = np.unique(code >> 8, return_inverse=True)
-        for c, k in zip(context.tolist(), np.bincount(inverse, weights=n).tolist(), strict=True):
-            total[c] = total.get(c, 0) + int(k)
-    kept = np.array(sorted(sorted(total, key=lambda c: (-total[c], c))[:MOST_CONTEXTS]), np.int64)
+    kept = np.unique(np.concatenate([code >> 8 for code, _ in counts.values()])).astype(np.int64)
     as_symbols = (symbol[kept >> 16] * width + symbol[kept >> 8 & 255]) * width + symbol[kept & 255]
     # Rows: the kept contexts, then one row for each pair of symbols, for contexts whose last three bytes are not kept.
     row = np.tile(len(kept) + np.arange(width * width), width).astype(np.int32)
@@ -127,8 +127,23 @@ def build(languages: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]
     return Model(languages, symbol.astype(np.int32), width, row, cost)
 
 
-def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
-    """A model of the languages of ``labelled`` (doc_id, text, lang).
+def in_blocks(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> list[dict[str, tuple[np.ndarray, np.ndarray]]]:
+    """The languages in order, as many to a block as ``BLOCK_BYTES`` holds costs of, one at least."""
+    blocks: list[dict] = []
+    contexts = followers = np.zeros(0, np.int64)
+    for lang, (code, n) in sorted(counts.items()):
+        c, f = np.union1d(contexts, code >> 8), np.union1d(followers, code & 255)
+        width = len(f) + 2
+        if not blocks or (len(c) + width * width) * width * 4 * (len(blocks[-1]) + 1) > BLOCK_BYTES:
+            blocks.append({})
+            c, f = np.unique(code >> 8), np.unique(code & 255)
+        blocks[-1][lang] = (code, n)
+        contexts, followers = c, f
+    return blocks
+
+
+def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Learned:
+    """A model of all languages of ``labelled`` (doc_id, text, lang).
 
     Rows with null or empty text or null lang teach nothing.  Each language is
     learned from about ``rows_per_language`` rows, whole texts, chosen by a hash
@@ -136,15 +151,18 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Mo
     the counts of byte runs.
     """
     usable = labelled.filter("text is not null and text <> '' and lang is not null")
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not sizes:
-        return Model([], np.zeros(256, np.int32), 1, np.zeros(1, np.int32), np.zeros((1, 1, 0), np.float32))
+        return Learned([], [])
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, rows_per_language / v))])
     chosen = usable.filter(hash_fraction("doc_id") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
     counted = count_contexts(chosen).toArrow()
     lang, code, n = (counted.column(c).to_numpy() if c != "lang" else np.array(counted.column(c).to_pylist(), object) for c in ("lang", "code", "n"))
     languages = sorted(set(lang.tolist()))
-    return build(languages, {x: (code[lang == x], n[lang == x]) for x in languages})
+    order = np.argsort(lang, kind="stable")
+    ends = np.searchsorted(lang[order], languages, "right") if languages else []
+    blocks = in_blocks({x: (code[at], n[at]) for x, at in zip(languages, np.split(order, ends[:-1]), strict=True)} if languages else {})
+    return Learned(languages, [build(list(b), b) for b in blocks] if len(blocks) == 1 else blocks)
 
 
 def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +194,31 @@ def code_lengths(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]
     return bits, np.diff(offset)
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _scored(learned: Learned, batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Each batch with what ``code_lengths`` gives for all languages; one block of languages is held at a time."""
+
+    def of(held: list[pa.RecordBatch]):
+        bits: list[list[np.ndarray]] = [[] for _ in held]
+        for block in learned.blocks:
+            model = block if isinstance(block, Model) else build(list(block), block)
+            for k, b in enumerate(held):
+                each, _ = code_lengths(model, b.column(text))
+                bits[k].append(each)
+        for b, each in zip(held, bits, strict=True):
+            size = np.diff(text_bytes(pc.utf8_lower(pc.fill_null(b.column(text), "")))[1])
+            yield b, np.concatenate([np.zeros((b.num_rows, 0)), *each], axis=1), size
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if len(learned.blocks) < 2 or size >= TEXT_BYTES:
+            yield from of(held)
+            held, size = [], 0
+    yield from of(held)
+
+
+def identify(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ``lang_pred``, ``score`` and ``bits_per_byte`` of each row's whole text.
 
     ``lang_pred`` is the language with the shortest code, of equals the first in
@@ -184,15 +226,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     letter, or if nothing was learned.  ``score`` is the posterior probability
     of that language, all being equally likely beforehand.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_CONTEXTS, MOST_LANGUAGES and 257 symbols
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the rows that each language is learned from
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "text"):
+        for b, bits, size in _scored(m, slices(batches, "text"), "text"):
             texts = b.column("text")
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
             if m.languages:
-                bits, size = code_lengths(m, texts)
                 best = bits.argmin(axis=1)
                 least = bits[np.arange(len(bits)), best]
                 with np.errstate(over="ignore", under="ignore"):
@@ -208,15 +249,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(score, "id long, lang_pred string, score double, bits_per_byte double").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_identified(docs: DataFrame, model: Learned, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text is in a learned language: not ``und``, and at most ``MOST_BITS`` bits a byte."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text_col):
+        for b, bits, size in _scored(shared.value, slices(batches, text_col), text_col):
             texts = b.column(text_col)
             letters = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            bits, size = code_lengths(shared.value, texts)
             least = bits.min(axis=1, initial=np.inf)
             yield b.filter(pa.array(letters & (least <= MOST_BITS * size)))
 

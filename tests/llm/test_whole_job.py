@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from millrace.llm import ngram_join, substring_dedup, tokens
+from millrace.llm import langid, ngram_join, substring_dedup, tokens
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +71,25 @@ def test_links_of_an_id_with_two_texts(spark):
         assert got == sorted([(7, 7, 1), (7, 3, 2), (9, 7, 1), (11, 3, 2), (3, 3, 2), (7, 7, 0), (12, 12, 0), (None, None, 0)], key=repr)
         kept = {tuple(r) for r in ngram_join.keep_one(df).collect()}
         assert kept == {(7, a), (3, b + " z"), (7, ""), (12, "alone"), (None, a)}
+
+
+def test_every_labelled_language_is_learned(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for k in range(70):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüßéèñçåø", 12)
+        words = ["".join(rng.choices(letters, k=rng.randint(2, 7))) for _ in range(30)]
+        rows += [(1000 * k + i, " ".join(rng.choices(words, k=30)), f"l{k:02}") for i in range(6 if k < 64 else 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(2)
+    want = {r[0]: r[2] for r in rows}
+    whole = langid.train(df)
+    assert len(whole.languages) == 70
+    got = {r["doc_id"]: (r["lang_pred"], round(r["bits_per_byte"], 4)) for r in langid.identify(df, whole).collect()}
+    assert {i: x for i, (x, _) in got.items()} == want
+    monkeypatch.setattr(langid, "BLOCK_BYTES", 20 << 20)
+    parts = langid.train(df)
+    assert len(parts.blocks) > 2
+    again = {r["doc_id"]: (r["lang_pred"], round(r["bits_per_byte"], 4)) for r in langid.identify(df, parts).collect()}
+    assert again == got and langid.keep_identified(df, parts).count() == df.count()

@@ -15,7 +15,7 @@ from .tokens import mix, seeds, words
 #: Hash space of the features.
 BITS = 20
 #: Labelled rows that the weights are learned from, about; they are chosen by a hash of their id.
-ROWS = 8000
+ROWS = 12000
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
 #: Distances between the two words of a pair: 1 is a bigram, more a skip-gram.

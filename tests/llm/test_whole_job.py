@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from millrace.llm import langid, ngram_join, substring_dedup, tokens
+from millrace.llm import langid, ngram_join, substring_dedup, tokens, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +93,11 @@ def test_every_labelled_language_is_learned(spark, monkeypatch):
     assert len(parts.blocks) > 2
     again = {r["doc_id"]: (r["lang_pred"], round(r["bits_per_byte"], 4)) for r in langid.identify(df, parts).collect()}
     assert again == got and langid.keep_identified(df, parts).count() == df.count()
+
+
+def test_toxicity_learns_from_12000_rows(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda rows, labels: seen.append(len(rows)))
+    ids = spark.range(20000)
+    toxicity.train(ids.selectExpr("id AS doc_id", "concat('word ', id) AS text"), ids.selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic"))
+    assert 11500 < seen[0] < 12500

@@ -29,6 +29,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is joined by broadcast if it has more than one row in so many.
+HOT_SHARE = 1000
+
+
+def join_counted(rows: DataFrame, info: DataFrame, on: list[str], count: str) -> DataFrame:
+    """The inner join of ``rows`` with ``info``, which has one row a key and in ``count`` how many rows have it.
+
+    Keys with more than one row in ``HOT_SHARE``, fewer than ``HOT_SHARE`` in
+    all, are broadcast, so no task gathers the rows of a common key; the others
+    are joined as usual.  Both sides are read twice and should be written out.
+    """
+    total = info.agg(F.sum(count)).first()[0] or 0
+    hot = F.col(count) * HOT_SHARE > total
+    common = info.filter(hot)
+    rest = rows.join(F.broadcast(common.select(*on)), on, "left_anti").join(info.filter(~hot), on)
+    return rows.join(F.broadcast(common), on).unionByName(rest)
+
+
 def hash_fraction(*cols: str) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)

@@ -4,11 +4,13 @@ Texts with the same set of word n-grams form a class, and only its smallest id
 goes on.  Candidates share a band of MinHash values; with 28 bands of 4 a pair
 at the threshold of 0.8 is missed once in 3 million times.  Candidates are
 grouped into components by the smallest id of each bucket, components are cut
-into tiles of bounded size, and a tile compares its pairs in one task: values
-are compared a few at a time, and a pair goes on only while the posterior
-probability that its similarity reaches the threshold is above a tolerance.
-What is left is verified on the sets themselves.  A tile gives each text's
-number of links and one edge to its component, never its pairs.
+into blocks of bounded size, and a tile compares the pairs of two blocks in one
+task: values are compared a few at a time, and a pair goes on only while the
+posterior probability that its similarity reaches the threshold is above a
+tolerance.  What is left is verified on the sets themselves.  A tile gives each
+text's number of links, never its pairs.  A block by itself gives an edge for
+each of its texts, and two blocks only edges between their classes that differ,
+so edges grow with the texts and not with their pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_lineage, join_counted, slices
 from .components import components
 from .tokens import mix, seeds, shingles, words
 
@@ -31,8 +33,8 @@ THRESHOLD = 0.8
 BANDS, ROWS = 28, 4
 #: MinHash values compared at a time, and the posterior probability under which a pair is dropped.
 STEP, TOLERANCE = 16, 1e-6
-#: Texts in a block; a tile holds two.
-BLOCK = 128
+#: Texts and, about, n-grams in a block; a tile holds two.
+BLOCK, BLOCK_GRAMS = 512, 1 << 20
 
 
 def minhash(value: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -95,21 +97,21 @@ def link_pairs(sig: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.nda
         both = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)])
     else:
         # All intersections at once, as products of the texts' rows over the shingles that two texts or more hold.
-        used = np.unique(np.concatenate([a, b]))
-        owner = np.repeat(used, size[used])
-        value, where, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
+        used, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+        owner = np.repeat(np.arange(len(used)), size[used])
+        _, where, times = np.unique(np.concatenate([sets[i] for i in used]), return_inverse=True, return_counts=True)
         many = times > 1
         column = (np.cumsum(many) - 1)[where]
         owner, column = owner[many[where]], column[many[where]]
         order = np.argsort(column, kind="stable")
         owner, column = owner[order], column[order]
-        product = np.zeros((len(sets), len(sets)), np.float32)
+        product = np.zeros((len(used), len(used)), np.float32)
         for lo in range(0, int(many.sum()), 8192):
             i, j = np.searchsorted(column, [lo, lo + 8192])
-            part = np.zeros((len(sets), min(8192, int(many.sum()) - lo)), np.float32)
+            part = np.zeros((len(used), min(8192, int(many.sum()) - lo)), np.float32)
             part[owner[i:j], column[i:j] - lo] = 1
             product += part @ part.T
-        both = np.rint(product[a, b]).astype(np.int64)
+        both = np.rint(product[place[: len(a)], place[len(a) :]]).astype(np.int64)
     keep = both >= threshold * (size[a] + size[b] - both) - 1e-9
     return a[keep], b[keep]
 
@@ -202,36 +204,38 @@ def _by_text(rows: DataFrame, several: DataFrame, n: int, threshold: float) -> D
 
 def _similar(rows: DataFrame, n: int, threshold: float) -> DataFrame:
     """``similar`` of rows (id, text) of which an id has one text."""
-    base = cut_lineage(_signatures(rows.filter("id is not null"), n))
-    # Written out, so that both sides of the join are dealt anew and AQE can split a large class.
-    sets = cut_lineage(base.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.countDistinct("id").alias("members")))
-    classes = cut_lineage(base.select("id", "d1", "d2").distinct().join(sets, ["d1", "d2"]).select("id", "d1", "d2", "rep", "members"))
-    reps = base.join(classes.filter("id = rep").select("id", "d1", "d2", "members"), ["id", "d1", "d2"]).select("id", "members", "sig", "d1", "d2")
+    named, nameless = rows.filter("id is not null"), rows.filter("id is null").select("id")
+    base = cut_lineage(_signatures(named, n))
+    members = cut_lineage(base.select("id", "d1", "d2").distinct())
+    sets = cut_lineage(members.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("members")))
+    one = sets.select(F.col("rep").alias("id"), "d1", "d2", "members")
+    reps = cut_lineage(base.join(one, ["id", "d1", "d2"]).select("id", "members", "size", "sig"))
     bands = _bands(reps)
     buckets = bands.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("other")).filter("pivot <> other").select("key", "pivot")
     stars = bands.join(buckets, "key").filter("id <> pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = components(stars)
-    found = cut_lineage(_tiles(rows, reps, near, n, threshold))
+    found = cut_lineage(_tiles(named, reps, components(stars), n, threshold))
     edges = found.filter("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
     class_of = components(edges).select(F.col("node").alias("rep"), F.col("root").alias("class_id"))
     links = found.groupBy(F.col("id").alias("rep")).agg(F.sum("links").alias("links"))
-    known = (
-        classes.join(class_of, "rep", "left").join(links, "rep", "left")
-        .select("id", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
+    known = cut_lineage(
+        sets.join(class_of, "rep", "left").join(links, "rep", "left")
+        .select("d1", "d2", "members", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("members") - 1).alias("n_links"))
     )
-    # Rows without words have no line in ``known``.
-    alone = known.groupBy("id").agg(F.min("class_id").alias("class_id"), F.max("n_links").alias("n_links"))
-    out = rows.select(F.col("id").alias("row")).join(alone, F.col("row") == F.col("id"), "left")
-    return out.select(F.col("row").alias("id"), F.coalesce("class_id", "row").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    each = join_counted(members, known, ["d1", "d2"], "members").select(F.col("id").alias("of"), "class_id", "n_links")
+    # Rows without words have no line in ``each``.
+    out = named.select("id").join(each, F.col("id") == F.col("of"), "left")
+    out = out.select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.unionByName(nameless.select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def _tiles(rows: DataFrame, reps: DataFrame, near: DataFrame, n: int, threshold: float) -> DataFrame:
-    """id, links, root: of each text that has links in a tile, the documents it is linked with there and the smallest text they connect."""
-    sizes = near.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = near.join(sizes, "root").select(F.col("node").alias("id"), "root", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    """id, links, root: the documents that each text is linked with in a tile, and, where ``root`` is set, a smaller text that links connect it with."""
+    placed = cut_lineage(reps.join(near, F.col("id") == F.col("node")).select("id", "root", "members", "size", "sig"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_GRAMS)).cast("int")
+    sizes = cut_lineage(placed.groupBy("root").agg(F.count(F.lit(1)).alias("texts"), blocks.alias("blocks")))
+    member = join_counted(placed, sizes, ["root"], "texts").select(F.col("id").alias("mid"), "root", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("block"), "members", "sig")
     # The sets are made anew from the texts of candidates rather than kept for all texts.
-    member = reps.join(placed, "id").select(F.col("id").alias("mid"), "root", "blocks", "block", "members", "sig", "d1", "d2")
-    texts = rows.join(member, F.col("id") == F.col("mid")).select("id", "root", "blocks", "block", "members", "sig", "d1", "d2", "text")
+    texts = rows.join(member, F.col("id") == F.col("mid")).select("id", "root", "blocks", "block", "members", "sig", "text")
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -250,14 +254,25 @@ def _tiles(rows: DataFrame, reps: DataFrame, near: DataFrame, n: int, threshold:
         lists = t.column("grams").combine_chunks()
         value, at = lists.values.to_numpy(), lists.offsets.to_numpy()
         sets = [value[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        a, b = np.triu_indices(len(ids), 1)
-        if t.column("i")[0].as_py() != t.column("j")[0].as_py():
-            across = block[a] != block[b]
-            a, b = a[across], b[across]
+        # Where one block has no text here, what the other holds is compared in its own tile.
+        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        a, b = np.triu_indices(len(ids) if own or len(np.unique(block)) > 1 else 0, 1)
         a, b = link_pairs(sig, sets, a, b, threshold)
+        inside = block[a] == block[b]
+        root = _roots(len(ids), a[inside], b[inside])
+        if own:
+            tail = np.flatnonzero(root != np.arange(len(ids)))
+            head = root[tail]
+        else:
+            a, b = a[~inside], b[~inside]
+            over = _roots(len(ids), root[a], root[b])
+            tail = np.flatnonzero(over != np.arange(len(ids)))
+            head = over[tail]
         links = np.bincount(a, weights=weight[b], minlength=len(ids)) + np.bincount(b, weights=weight[a], minlength=len(ids))
-        root, has = _roots(len(ids), a, b), links > 0
-        return pa.table({"id": ids[has], "links": links[has].astype(np.int64), "root": ids[root[has]]})
+        root = np.full(len(ids), -1)
+        root[tail] = head
+        has = (links > 0) | (root >= 0)
+        return pa.table({"id": ids[has], "links": links[has].astype(np.int64), "root": pa.array(ids[root[has]], mask=root[has] < 0)})
 
     return tiles.groupBy("root", "i", "j").applyInArrow(compare, "id long, links long, root long")
 

@@ -107,17 +107,37 @@ def test_links_equal_brute_force(spark, docs):
     assert got == links_of([(r["doc_id"], r["text"]) for r in docs.collect()])
 
 
-def test_large_group_over_several_tiles(spark):
+def one_group(n):
     base = [f"w{i}" for i in range(120)]
-    pairs = []
-    for i in range(400):
+    for i in range(n):
         w = list(base)
         w[i % 120] = f"x{i}"
-        if i >= 200:
-            w = [f"z{k}" for k in range(i % 5)] + w
-        pairs.append((i, " ".join(w)))
+        yield i, " ".join([f"z{k}" for k in range(i % 5)] + w if i >= n // 2 else w)
+
+
+def test_large_group_over_several_tiles(spark, monkeypatch):
+    pairs = list(one_group(400))
     df = spark.createDataFrame(pairs, "doc_id long, text string")
-    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similar(df).collect()} == links_of(pairs)
+    want = links_of(pairs)
+    for texts, grams in ((512, 1 << 20), (64, 1 << 20), (512, 4000)):
+        monkeypatch.setattr(ngram_join, "BLOCK", texts)
+        monkeypatch.setattr(ngram_join, "BLOCK_GRAMS", grams)
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.similar(df).collect()} == want
+
+
+def test_edges_grow_with_the_texts_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    seen, tiles = [], ngram_join._tiles
+
+    def counted(*args):
+        seen.append(tiles(*args).filter("root is not null").count())
+        return tiles(*args)
+
+    monkeypatch.setattr(ngram_join, "_tiles", counted)
+    sizes = (128, 256)
+    for n in sizes:
+        ngram_join.similar(spark.createDataFrame(list(one_group(n)), "doc_id long, text string")).count()
+    assert all(k <= n + (n // 16) ** 2 // 2 for k, n in zip(seen, sizes, strict=True))
 
 
 def test_components_of_a_chain(spark):

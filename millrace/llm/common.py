@@ -47,6 +47,12 @@ def join_counted(rows: DataFrame, info: DataFrame, on: list[str], count: str) ->
     return rows.join(F.broadcast(common), on).unionByName(rest)
 
 
+def several_texts(rows: DataFrame) -> DataFrame:
+    """``of``: the ids of ``rows`` (id, text) that stand with several texts."""
+    text = F.xxhash64("text")
+    return cut_lineage(rows.filter("id is not null").groupBy("id").agg(F.min(text).alias("least"), F.max(text).alias("most")).filter("least <> most").select(F.col("id").alias("of")))
+
+
 def hash_fraction(*cols: str) -> Column:
     """A number in [0, 1) that depends on the columns' values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_counted, slices
+from .common import cut_lineage, join_counted, several_texts, slices
 from .components import components
 from .tokens import mix, seeds, shingles, words
 
@@ -173,19 +173,13 @@ def similar(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col: s
     classes.  Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    several = _several(rows)
+    several = several_texts(rows)
     if several.isEmpty():
         return _similar(rows, n, threshold).withColumnRenamed("id", id_col)
     found = _by_text(rows, several, n, threshold)
     return found.select(F.col("id").alias(id_col), F.col("first.id").alias("class_id"), "n_links")
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """The ids that stand with several texts."""
-    text = F.xxhash64("text")
-    return cut_lineage(rows.filter("id is not null").groupBy("id").agg(F.min(text).alias("least"), F.max(text).alias("most")).filter("least <> most").select(F.col("id").alias("of")))
-
-
 def _with_node(rows: DataFrame, several: DataFrame) -> DataFrame:
     """``rows`` and ``node``: a number of each text that shares its id with others, else the id."""
     marked = rows.join(several, F.col("id") == F.col("of"), "left")
@@ -283,7 +277,7 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col:
     Where an id has several texts, each is kept or dropped for its own class.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    several = _several(rows)
+    several = several_texts(rows)
     if several.isEmpty():
         gone = _similar(rows, n, threshold).filter(F.col("class_id") != F.col("id")).select(F.col("id").alias("__gone"))
         return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

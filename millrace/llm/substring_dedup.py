@@ -1,11 +1,15 @@
 """Substring dedup: repeated passages go, the earliest occurrence stays.
 
-Lines cut into sentences are hashed as units, and runs of repeated units go.
-Passages of ``PASSAGE`` words or more are also found wherever they begin and
-end.  Each window of that many words picks the first of its smallest hashes of
-``GRAM`` words, so equal windows pick equal hashes; neighbouring windows that
-pick the same place are a run, and only runs that pick a hash that others pick
-as well are compared, window by window where they differ.
+Lines are hashed as units, and runs of repeated lines go.  Passages of
+``PASSAGE`` words or more are also found wherever they begin and end.  Each
+window of that many words picks the first of its smallest hashes of ``GRAM``
+words, so equal windows pick equal hashes; neighbouring windows that pick the
+same place are a run, and only runs that pick a hash that others pick as well
+are compared, window by window where they differ.
+
+A document is a text with its id.  Documents are told apart and ranked by
+``rank``, the id, and ``text_key``, which is 0 where an id has one text and else
+a hash of the text.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_lineage, several_texts, slices
 from .tokens import Words, grams, mix, text_bytes, words
 
-#: Words that a run of neighbouring repeated units must have to be removed.
+#: Words that a run of neighbouring repeated lines must have to be removed.
 MIN_WORDS = 30
 #: Words from which a repeated passage is removed wherever it begins and ends.
 PASSAGE = 51
@@ -30,20 +34,31 @@ PASSAGE = 51
 GRAM = 20
 #: Stands for a null id, which ranks last.
 LAST = (1 << 63) - 1
-_SCHEMA = "doc_id long, unit_no int, word int, start int, end int, words int, d1 long, d2 long, first boolean"
+_KEY = "rank long, text_key long"
+
+
+def ranked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rank, text_key, text of each row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    several = several_texts(rows)
+    alone = F.lit(0).cast("long")
+    if not several.isEmpty():
+        rows = rows.join(several, F.col("id") == F.col("of"), "left")
+        alone = F.when(F.col("of").isNull(), 0).otherwise(F.xxhash64("text"))
+    return rows.select(F.coalesce("id", F.lit(LAST)).alias("rank"), F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(alone).alias("text_key"), "text")
+
+
+def _keys(b: pa.RecordBatch, at: np.ndarray) -> list[pa.Array]:
+    """rank and text_key of the texts ``at``."""
+    return [b.column(c).take(pa.array(at)) for c in ("rank", "text_key")]
 
 
 def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Units of all texts as (text, first byte, end): they end at line ends and after ``.``, ``!`` or ``?`` before a blank."""
+    """The lines of all texts as (text, first byte, end)."""
     data, offset = text_bytes(texts)
-    n = len(data)
-    if not n:
+    if not len(data):
         return (np.zeros(0, np.int64),) * 3
-    blank = np.zeros(n + 1, bool)
-    blank[:-1] = (data == 32) | ((data >= 9) & (data <= 13))
-    stop = (data == 46) | (data == 33) | (data == 63)
-    ends = np.flatnonzero((data == 10) | (stop & blank[1:])) + 1
-    ends = np.unique(np.concatenate([ends, offset[1:]]))
+    ends = np.unique(np.concatenate([np.flatnonzero(data == 10) + 1, offset[1:]]))
     ends = ends[ends > 0]
     starts = np.concatenate([[0], ends[:-1]])
     return np.searchsorted(offset, starts, "right") - 1, starts, ends
@@ -69,8 +84,8 @@ def _digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return doc[has], start[has], end[has], count[has], np.stack(lanes)[:, has]
 
 
-def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The units that have words: number, offsets in code points of the original text, digest, and whether the text has it for the first time."""
+def units(rows: DataFrame) -> DataFrame:
+    """The lines of ``ranked`` rows that have words: number, first word, offsets in code points of the original text, words, digest, and whether the text has it for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -87,57 +102,58 @@ def units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             before = np.cumsum(count) - count
             word = before - before[head]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id").take(pa.array(doc)), *[pa.array(x.astype(np.int32)) for x in (number, word, points[start] - began, points[end] - began, count)], pa.array(d1), pa.array(d2), pa.array(~same)],
-                ["doc_id", "unit_no", "word", "start", "end", "words", "d1", "d2", "first"],
+                [*_keys(b, doc), *[pa.array(x.astype(np.int32)) for x in (number, word, points[start] - began, points[end] - began, count)], pa.array(d1), pa.array(d2), pa.array(~same)],
+                ["rank", "text_key", "unit_no", "word", "start", "end", "words", "d1", "d2", "first"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _SCHEMA)
+    return rows.mapInArrow(run, f"{_KEY}, unit_no int, word int, start int, end int, words int, d1 long, d2 long, first boolean")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per span that is to be removed: id, ``span_start``, ``span_end`` (code points of the original text), ``n_words``, ``first_doc``.
-
-    Units are lines, cut further after sentences; equal ones have the same words
-    in lower case.  Digests are grouped over all documents with partial sums, so
-    a line that a third of the rows hold is reduced in each task.  The earliest
-    occurrence is that in the smallest id, and there the first; all others are
-    repeats.  A run of neighbouring repeats with ``min_words`` words or more is
-    a span; ``first_doc`` is the smallest id among the earliest occurrences of
-    its units.  Shorter runs stay: short lines are common to clean texts.
-
-    Null and empty texts have no units.  Rows that share an id are one
-    document, ranked by id alone, so whole copies under one id both stay; a null
-    id ranks last, and all rows with it count as one document.
+    """One row per span that is to be removed: id, ``text_key``, ``span_start``, ``span_end`` (code points of the original text), ``n_words``, ``first_doc``.
+
+    Units are lines; equal ones have the same words in lower case.  Digests are
+    grouped over all documents with partial minima, so a line that a third of
+    the rows hold is reduced in each task.  The earliest occurrence is that in
+    the smallest id, and there the first; all others are repeats.  A run of
+    neighbouring repeats with ``min_words`` words or more is a span;
+    ``first_doc`` is the smallest id among the earliest occurrences of its
+    lines.  With ``min_words=1`` all but the earliest occurrence of each line
+    go; shorter runs stay by default, since clean texts share short lines.
+
+    Null and empty texts have no units.  Texts that share an id are documents of
+    their own, and ``text_key`` tells them apart; it is 0 where an id has one
+    text.  Rows that repeat an id and its text are one document, so both stay or
+    lose the same spans.  A null id ranks last, and texts without an id are
+    documents of their own as well.
     """
-    return _named(_unit_spans(docs, min_words, id_col, text_col), id_col)
+    return _named(_unit_spans(ranked(docs, id_col, text_col), min_words), id_col)
 
 
 def _named(spans: DataFrame, id_col: str) -> DataFrame:
-    return spans.select(F.col("doc_id").alias(id_col), "span_start", "span_end", "n_words", F.when(F.col("first_doc") != LAST, F.col("first_doc")).alias("first_doc"))
+    real = lambda c: F.when(F.col(c) != LAST, F.col(c))
+    return spans.select(real("rank").alias(id_col), "text_key", "span_start", "span_end", "n_words", real("first_doc").alias("first_doc"))
 
 
-def _unit_spans(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """The spans of ``repeated_spans`` with the number of their first word; ``first_doc`` is ``LAST`` for a null id."""
-    last = F.lit(LAST)
-    all_units = units(docs, id_col, text_col)
+def _unit_spans(rows: DataFrame, min_words: int) -> DataFrame:
+    """The spans of ``repeated_spans``, by rank and text_key, with the number of their first word; ``first_doc`` is ``LAST`` for a null id."""
+    all_units = units(rows)
+    own = F.struct("rank", "text_key")
     # Written out, so that both sides of the join are dealt anew and AQE can split a common line.
-    shared = cut_lineage(
-        all_units.filter("first").select("d1", "d2", F.coalesce("doc_id", last).alias("rank"))
-        .groupBy("d1", "d2").agg(F.min("rank").alias("first_doc"), F.count(F.lit(1)).alias("n"))
-        .filter("n > 1").drop("n")
-    )
+    shared = cut_lineage(all_units.filter("first").groupBy("d1", "d2").agg(F.min(own).alias("earliest"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     # A unit is a repeat if another document has it first, or this one had it before.
-    own = F.coalesce("doc_id", last)
     again = (
         all_units.join(shared, ["d1", "d2"], "left")
-        .withColumn("first_doc", F.coalesce("first_doc", own))
-        .filter((own != F.col("first_doc")) | ~F.col("first"))
-        .select("doc_id", "unit_no", "word", "start", "end", "words", "first_doc")
+        .withColumn("earliest", F.coalesce("earliest", own))
+        .filter((own != F.col("earliest")) | ~F.col("first"))
+        .select("rank", "text_key", "unit_no", "word", "start", "end", "words", F.col("earliest.rank").alias("first_doc"))
     )
-    order = W.partitionBy("doc_id").orderBy("unit_no", "start")
-    runs = again.withColumn("run", F.col("unit_no") - F.dense_rank().over(order))
+    order = W.partitionBy("rank", "text_key").orderBy("unit_no")
+    # Rows that repeat an id and its text have each unit several times; its words count once.
+    once = F.when(F.col("unit_no") == F.lag("unit_no").over(order), 0).otherwise(F.col("words"))
+    runs = again.withColumns({"run": F.col("unit_no") - F.dense_rank().over(order), "words": once})
     return (
-        runs.groupBy("doc_id", "run")
+        runs.groupBy("rank", "text_key", "run")
         .agg(F.min("word").alias("word"), F.min("start").alias("span_start"), F.max("end").alias("span_end"), F.sum("words").alias("n_words"), F.min("first_doc").alias("first_doc"))
         .filter(F.col("n_words") >= min_words)
         .drop("run")
@@ -191,11 +207,11 @@ def _window_runs(rows: DataFrame) -> DataFrame:
             digest = mix(np.add.reduceat(mix(v.hash ^ mix(k.astype(np.uint64))), v.first))
             end = v.end[v.first + v.n - 1]
             yield pa.RecordBatch.from_arrays(
-                [b.column("rank").take(pa.array(v.doc[v.first])), pa.array(v.pick.view(np.int64)), pa.array(digest.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (v.word[v.first], v.n, v.start[v.first], end)]],
-                ["rank", "pick", "digest", "word", "n", "start", "end"],
+                [*_keys(b, v.doc[v.first]), pa.array(v.pick.view(np.int64)), pa.array(digest.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (v.word[v.first], v.n, v.start[v.first], end)]],
+                ["rank", "text_key", "pick", "digest", "word", "n", "start", "end"],
             )
 
-    return rows.mapInArrow(run, "rank long, pick long, digest long, word int, n int, start int, end int")
+    return rows.mapInArrow(run, f"{_KEY}, pick long, digest long, word int, n int, start int, end int")
 
 
 def _single_windows(rows: DataFrame) -> DataFrame:
@@ -210,18 +226,17 @@ def _single_windows(rows: DataFrame) -> DataFrame:
             key = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy())) << 32 | wanted.flatten().to_numpy().astype(np.int64)
             some = np.repeat(np.isin(v.doc[v.first] << 32 | v.word[v.first], key), v.n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("rank").take(pa.array(v.doc[some])), pa.array(np.repeat(v.pick, v.n)[some].view(np.int64)), pa.array(v.hash[some].view(np.int64)), *[pa.array(x[some].astype(np.int32)) for x in (v.word, v.start, v.end)]],
-                ["rank", "pick", "hash", "word", "start", "end"],
+                [*_keys(b, v.doc[some]), pa.array(np.repeat(v.pick, v.n)[some].view(np.int64)), pa.array(v.hash[some].view(np.int64)), *[pa.array(x[some].astype(np.int32)) for x in (v.word, v.start, v.end)]],
+                ["rank", "text_key", "pick", "hash", "word", "start", "end"],
             )
 
-    return rows.mapInArrow(run, "rank long, pick long, hash long, word int, start int, end int")
+    return rows.mapInArrow(run, f"{_KEY}, pick long, hash long, word int, start int, end int")
 
 
-def _passage_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _passage_spans(rows: DataFrame) -> DataFrame:
     """Stretches of windows that stand earlier, in the form of ``_unit_spans``; a window that overlaps its earliest occurrence stays."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("rank"), F.col(text_col).alias("text"))
     runs = _window_runs(rows)
-    earliest = F.min(F.struct("rank", "word")).alias("first")
+    earliest = F.min(F.struct("rank", "text_key", "word")).alias("first")
     # Written out, so that both sides of the joins are dealt anew and AQE can split a common passage.
     picks = cut_lineage(
         runs.groupBy("pick").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
@@ -230,46 +245,55 @@ def _passage_spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     shared = cut_lineage(runs.join(picks, "pick"))
     kinds = cut_lineage(shared.groupBy("pick", "digest").agg(earliest))
     placed = shared.join(kinds, ["pick", "digest"])
-    later = (F.col("rank") > F.col("first.rank")) | ((F.col("rank") == F.col("first.rank")) & (F.col("word") >= F.col("first.word") + PASSAGE))
-    whole = placed.filter(later).select("rank", "word", (F.col("n") + PASSAGE - 1).alias("n_words"), "start", "end", F.col("first.rank").alias("first_doc"))
+    own, firsts = F.struct("rank", "text_key"), F.struct("first.rank", "first.text_key")
+    later = (own > firsts) | ((own == firsts) & (F.col("word") >= F.col("first.word") + PASSAGE))
+    columns = ["rank", "text_key", "word", "n_words", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("first.rank").alias("first_doc")]
+    whole = placed.filter(later).withColumn("n_words", F.col("n") + F.lit(PASSAGE - 1).cast("long")).select(*columns)
     # Where runs differ, the earliest of each kind is compared window by window.
-    wanted = placed.filter(F.col("differ") & ~later).groupBy(F.col("rank").alias("of")).agg(F.collect_set("word").alias("wanted"))
-    single = cut_lineage(_single_windows(rows.join(wanted, F.col("rank") == F.col("of")).select("rank", "text", "wanted")))
+    wanted = placed.filter(F.col("differ") & ~later).groupBy(F.col("rank").alias("of"), F.col("text_key").alias("of_text")).agg(F.collect_set("word").alias("wanted"))
+    # Rows that repeat an id and its text are compared once.
+    texts = rows.join(wanted, (F.col("rank") == F.col("of")) & (F.col("text_key") == F.col("of_text"))).select("rank", "text_key", "text", "wanted")
+    single = cut_lineage(_single_windows(texts))
     known = cut_lineage(single.groupBy("pick", "hash").agg(earliest, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    parts = single.join(known, ["pick", "hash"]).filter(later).select("rank", "word", F.lit(PASSAGE).alias("n_words"), "start", "end", F.col("first.rank").alias("first_doc"))
-    both = whole.unionByName(parts)
-    return both.select(F.when(F.col("rank") != LAST, F.col("rank")).alias("doc_id"), "word", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("n_words").cast("long").alias("n_words"), "first_doc")
+    parts = single.join(known, ["pick", "hash"]).filter(later).withColumn("n_words", F.lit(PASSAGE).cast("long")).select(*columns)
+    return whole.unionByName(parts)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The spans of ``repeated_spans``, joined with all other passages of ``PASSAGE`` words or more that stand earlier word for word.
 
-    The latter need not begin or end with a unit.  A passage that overlaps its
+    The latter need not begin or end with a line.  A passage that overlaps its
     own earliest occurrence in a text stays as far as that reaches.  Spans that
     touch or overlap are one, with the smallest ``first_doc`` of its parts.
     """
-    spans = _unit_spans(docs, min_words, id_col, text_col).unionByName(_passage_spans(docs, id_col, text_col))
+    rows = ranked(docs, id_col, text_col)
+    spans = _unit_spans(rows, min_words).unionByName(_passage_spans(rows))
     spans = spans.withColumn("after", F.col("word") + F.col("n_words"))
-    order = W.partitionBy("doc_id").orderBy("word", "after")
+    order = W.partitionBy("rank", "text_key").orderBy("word", "after")
     reached = F.max("after").over(order.rowsBetween(W.unboundedPreceding, -1))
     apart = spans.withColumn("apart", F.coalesce((F.col("word") > reached).cast("int"), F.lit(1)))
     one = apart.withColumn("span", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    joined = one.groupBy("doc_id", "span").agg(
+    joined = one.groupBy("rank", "text_key", "span").agg(
         F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), (F.max("after") - F.min("word")).alias("n_words"), F.min("first_doc").alias("first_doc")
     )
     return _named(joined, id_col)
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = repeated_spans) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = repeated_passages) -> DataFrame:
     """id, the text without its repeated spans, and ``kept``: the (start, end) in the original text of what is left, in order.
 
-    ``find=repeated_passages`` removes the passages between units as well.
+    ``find=repeated_spans`` removes repeated lines only.  Each row loses the
+    spans of its own text, also where ids repeat or are null; a null text gives
+    an empty one.
     """
-    spans = find(docs, min_words, id_col, text_col).groupBy(F.col(id_col).alias("sid")).agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("gone"))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("sid")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<struct<span_start:int,span_end:int>>")))
+    no_spans = F.array().cast("array<struct<span_start:int,span_end:int>>")
+    spans = find(docs, min_words, id_col, text_col).select(F.coalesce(id_col, F.lit(LAST)).alias("of"), F.col("text_key").alias("of_text"), "span_start", "span_end")
+    spans = spans.groupBy("of", "of_text").agg(F.sort_array(F.collect_list(F.struct("span_start", "span_end"))).alias("gone"))
+    rows = ranked(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
+    joined = rows.join(spans, (F.col("rank") == F.col("of")) & (F.col("text_key") == F.col("of_text")), "left").withColumn("gone", F.coalesce("gone", no_spans))
     starts = F.concat(F.array(F.lit(0)), F.col("gone.span_end"))
     ends = F.concat(F.col("gone.span_start"), F.array(F.char_length("text")))
     kept = F.filter(F.arrays_zip(starts.alias("start"), ends.alias("end")), lambda k: k["start"] < k["end"])
     parts = F.transform("kept", lambda k: F.substring(F.col("text"), k["start"] + 1, k["end"] - k["start"]))
-    return joined.withColumn("kept", kept).select(F.col("id").alias(id_col), F.array_join(parts, "").alias(text_col), "kept")
+    real = F.when(F.col("rank") != LAST, F.col("rank"))
+    return joined.withColumn("kept", kept).select(real.alias(id_col), F.array_join(parts, "").alias(text_col), "kept")

@@ -221,7 +221,7 @@ def slow_spans(pairs, least):
     units, first = {}, {}
     for i, text in sorted(pairs):
         at, mine = 0, []
-        for m in re.finditer(r"[^\n]*?(?:\n|[.!?](?=[ \t\n\r\f\v])|\Z)", text, re.S):
+        for m in re.finditer(r"[^\n]*(?:\n|\Z)", text):
             w = tuple(re.findall(tokens.WORD, m[0].lower()))
             if w:
                 mine.append((at, m.start(), m.end(), w))
@@ -250,13 +250,24 @@ def test_spans_equal_brute_force(spark, docs):
     gone = defaultdict(list)
     for i, a, b, _ in got:
         gone[i].append((a, b))
-    for r in substring_dedup.remove_repeats(docs).collect():
+    for r in substring_dedup.remove_repeats(docs, find=substring_dedup.repeated_spans).collect():
         text = texts[r["doc_id"]]
         for a, b in reversed(gone[r["doc_id"]]):
             text = text[:a] + text[b:]
         assert r["text"] == text and "".join(texts[r["doc_id"]][k["start"] : k["end"]] for k in r["kept"]) == text
 
 
+def test_each_row_loses_the_repeats_of_its_own_text(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "pq")
+    pairs = [(3, one), (7, "first " + one), (7, "quite another text " + two), (7, "quite another text " + two), (None, "end " + two), (None, "nothing of this"), (None, one), (9, "short\n" + two), (9, None), (5, "short\n\nshort")]
+    texts = lambda df, **k: sorted((r["doc_id"], r["text"]) for r in substring_dedup.remove_repeats(df, **k).fillna(-1, ["doc_id"]).collect())
+    for these in (pairs, pairs[::-1]):
+        df = spark.createDataFrame(these, "doc_id long, text string")
+        assert texts(df) == sorted([(3, one), (7, "first "), (7, "quite another text " + two), (7, "quite another text " + two), (-1, "end "), (-1, "nothing of this"), (-1, ""), (9, "short\n"), (9, ""), (5, "short\n\nshort")])
+        every = dict(texts(df.filter("doc_id in (5, 9)"), min_words=1, find=substring_dedup.repeated_spans))
+        assert every[5] == "short\n\n" and two in {t for _, t in texts(df.filter("doc_id in (5, 9)"), min_words=1, find=substring_dedup.repeated_spans)}
+
+
 def test_chat_snapshots(spark):
     long = [("user", "a"), ("assistant", "b"), ("user", "c")]
     rows = [(c, t, r, x) for c, n in ((1, 1), (2, 2), (3, 3), (4, 3)) for t, (r, x) in enumerate(long[:n])]

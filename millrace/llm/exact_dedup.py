@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +13,23 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 def squeezed(text: Column) -> Column:
     """The text without the characters of ``[\\x20\\x09-\\x0D]``; null becomes empty."""
-    return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
+    return reduce(lambda t, blank: F.replace(t, F.lit(blank), F.lit("")), BLANKS, F.coalesce(text, F.lit("")))
+
+
+def _length(text: Column) -> Column:
+    return F.char_length(F.coalesce(text, F.lit("")))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """One row per distinct text: ``s`` (its SHA-256), ``group_size``, and ``keep_id`` and ``most``, the id and the code points of the row that stays."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), squeezed(F.col(text_col)).alias("norm"), _length(F.col(text_col)).alias("n"))
+    # One number that is larger the longer the text and then the smaller the id: a long buffer keeps the hash aggregate.
+    shift = F.lit(str(1 << 65)).cast("decimal(20,0)")
+    half = F.lit(str(1 << 63)).cast("decimal(20,0)")
+    order = F.col("n").cast("decimal(11,0)") * shift + F.coalesce(half - F.col("doc_id").cast("decimal(20,0)"), F.lit(0))
+    grouped = rows.groupBy(digest(F.col("norm")).alias("h"), "norm").agg(F.count(F.lit(1)).alias("group_size"), F.max(order.cast("decimal(38,0)")).alias("best"))
+    rest = F.pmod("best", shift)
+    return grouped.select(F.sha2("norm", 256).alias("s"), "group_size", F.when(rest > 0, (half - rest).cast("long")).alias("keep_id"), F.floor(F.col("best") / shift).cast("int").alias("most"))
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = F.md5) -> DataFrame:
@@ -31,27 +48,23 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kept when that id stays.  An empty table gives an empty result; extra
     columns are ignored whatever their names.
     """
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"),
-        squeezed(F.col(text_col)).alias("norm"),
-        F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"),
-    )
-    # One number that is larger the longer the text and then the smaller the id: a long buffer keeps the hash aggregate.
-    shift = F.lit(str(1 << 65)).cast("decimal(20,0)")
-    order = F.col("n").cast("decimal(11,0)") * shift + F.coalesce(F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("doc_id").cast("decimal(20,0)"), F.lit(0))
-    groups = (
-        rows.groupBy(digest(F.col("norm")).alias("h"), "norm")
-        .agg(F.count(F.lit(1)).alias("group_size"), F.max(order.cast("decimal(38,0)")).alias("best"))
-        .select("h", F.sha2("norm", 256).alias("s"), "group_size", F.pmod("best", shift).alias("rest"))
-        .select("h", "s", "group_size", F.when(F.col("rest") > 0, (F.lit(str(1 << 63)).cast("decimal(20,0)") - F.col("rest")).cast("long")).alias("keep_id"))
-    )
-    keyed = rows.select("doc_id", digest(F.col("norm")).alias("h"), F.sha2("norm", 256).alias("s"))
-    return keyed.join(groups, ["h", "s"]).select(
+    groups = _groups(docs, id_col, text_col, digest).drop("most")
+    keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(squeezed(F.col(text_col)), 256).alias("s"))
+    return keyed.join(groups, "s").select(
         F.col("doc_id").alias(id_col), "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("s").alias("text_sha256")
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__kept"]), "left_semi")
+    """One row of each group of equal texts, with all its columns: that with most code points, then the smallest id.
+
+    Where rows repeat an id, the one that stays is told by its text as well; of
+    rows that repeat both, any one stays.
+    """
+    stays = _groups(docs, id_col, text_col, F.md5).select(F.col("keep_id").alias("__id"), F.col("s").alias("__s"), F.col("most").alias("__most"))
+    same_id = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
+    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+        return docs.join(stays, same_id, "left_semi")
+    told = docs.withColumns({"__text": F.sha2(squeezed(F.col(text_col)), 256), "__n": _length(F.col(text_col))})
+    left = told.join(stays, same_id & (F.col("__text") == F.col("__s")) & (F.col("__n") == F.col("__most")), "left_semi")
+    return left.dropDuplicates(["__text"]).select(*docs.columns)

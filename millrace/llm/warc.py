@@ -11,8 +11,8 @@ from .common import cut_lineage
 #: Children of a node, as a power of two, and page ids in one file.
 FAN_BITS = 4
 PAGES_PER_FILE = 256
-#: Files of rows without an id.
-SPARE_FILES = 1024
+#: Files over which rows without an id are spread.
+SPARE_FILES = 1 << 24
 
 
 def record(page_id: Column, url: Column, html: Column) -> Column:
@@ -47,6 +47,7 @@ class Tree:
     A node covers an ordered range of offsets: 16 neighbouring records of a
     file, then 16 such ranges, up to the file, and above that 16 neighbouring
     files, up to one root.  Its hash is that of its children's places and hashes.
+    Each level is made once, from the one below, and written out.
     """
 
     def __init__(self, records: DataFrame, file_levels: int, levels: int):
@@ -55,11 +56,11 @@ class Tree:
         for k in range(levels):
             below = self.levels[-1]
             up = parent(k, file_levels)
-            self.levels.append(
+            self.levels.append(cut_lineage(
                 below.select(*[e.alias(c) for c, e in up.items()], F.struct("file", "node", "hash").alias("child"))
                 .groupBy("file", "node").agg(F.sort_array(F.collect_list("child")).alias("children"))
                 .select("file", "node", F.sha2(F.concat_ws("|", F.transform("children", lambda c: F.concat_ws(":", c["file"], c["node"], c["hash"]))), 256).alias("hash"))
-            )
+            ))
 
 
 def parent(level: int, file_levels: int) -> dict[str, Column]:

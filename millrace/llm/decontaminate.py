@@ -17,6 +17,8 @@ from .tokens import Words, grams, words
 MIN_MATCH = 5
 #: Share of a test item's words that tiles must cover.
 COVERAGE = 0.5
+#: Places of seeds in items that are looked at together, about; a single text may have more.
+MOST_SEEDS = 1 << 20
 #: Bytes of test items that one pass over the documents carries to each task; more items take more passes.
 BLOCK_BYTES = 8 << 20
 
@@ -111,36 +113,53 @@ def _next_length(test: np.ndarray, doc: np.ndarray, free_test: np.ndarray, free_
     return lo if lo >= least else 0
 
 
+def _candidates(block: Block, w: Words, k: int) -> Iterator[np.ndarray]:
+    """Distinct (text, item, place in the item) of the seeds of ``k`` words that texts hold, sorted, some texts at a time.
+
+    A seed that a text repeats is looked up once.
+    """
+    at = block.hits(w.hash, k)
+    doc = w.doc[at]
+    inside = at + k <= w.at[doc + 1]
+    at, doc = at[inside], doc[inside]
+    if not len(at):
+        return
+    g = grams(w.hash, k, 17)[at]
+    lo, hi = np.searchsorted(block.seed, g, "left"), np.searchsorted(block.seed, g, "right")
+    doc, lo, hi = np.unique(np.stack([doc, lo, hi], 1), axis=0).T
+    n = np.cumsum(hi - lo)
+    begin = 0
+    while begin < len(doc):
+        # Whole texts with about MOST_SEEDS entries, one text at least.
+        end = int(np.searchsorted(n, (n[begin - 1] if begin else 0) + MOST_SEEDS, "right"))
+        end = int(np.searchsorted(doc, doc[min(end, len(doc) - 1)], "left")) if end < len(doc) else end
+        end = max(end, int(np.searchsorted(doc, doc[begin], "right")))
+        size = hi[begin:end] - lo[begin:end]
+        seed = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + np.repeat(lo[begin:end], size)
+        # Their union bounds what tiles can cover.
+        yield np.unique(np.stack([np.repeat(doc[begin:end], size), block.owner[seed], block.place[seed]], 1), axis=0)
+        begin = end
+
+
 def _pairs(block: Block, w: Words, coverage: float) -> Iterator[tuple[int, int, int, int, float, list[tuple[int, int, int]]]]:
     """(text, item, words covered, words of the item, coverage, tiles) of the pairs that reach the coverage."""
-    doc_of = w.doc
     for k in block.sizes():
-        at = block.hits(w.hash, k)
-        at = at[at + k <= w.at[doc_of[at] + 1]]
-        if not len(at):
-            continue
-        g = grams(w.hash, k, 17)[at]
-        lo, hi = np.searchsorted(block.seed, g, "left"), np.searchsorted(block.seed, g, "right")
-        n = hi - lo
-        row = np.repeat(np.arange(len(at)), n)
-        seed = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-        # Distinct (text, item, place of the seed in the item): their union bounds what tiles can cover.
-        key = np.unique(np.stack([doc_of[at[row]], block.owner[seed], block.place[seed]], 1), axis=0)
-        cuts = np.flatnonzero(np.any(key[1:, :2] != key[:-1, :2], axis=1)) + 1
-        for part in np.split(key, cuts):
-            d, i = int(part[0, 0]), int(part[0, 1])
-            size = int(block.at[i + 1] - block.at[i])
-            if min(size, block.k) != k:
-                continue
-            places = part[:, 2]
-            bound = k + np.minimum(np.diff(places), k).sum()
-            if bound < coverage * size:
-                continue
-            test, text = block.words[block.at[i] : block.at[i + 1]], w.hash[w.at[d] : w.at[d + 1]]
-            tiles = tile(test, text, k)
-            covered = sum(t[2] for t in tiles)
-            if covered >= coverage * size:
-                yield d, i, covered, size, covered / size, tiles
+        for key in _candidates(block, w, k):
+            cuts = np.flatnonzero(np.any(key[1:, :2] != key[:-1, :2], axis=1)) + 1
+            for part in np.split(key, cuts):
+                d, i = int(part[0, 0]), int(part[0, 1])
+                size = int(block.at[i + 1] - block.at[i])
+                if min(size, block.k) != k:
+                    continue
+                places = part[:, 2]
+                bound = k + np.minimum(np.diff(places), k).sum()
+                if bound < coverage * size:
+                    continue
+                test, text = block.words[block.at[i] : block.at[i + 1]], w.hash[w.at[d] : w.at[d + 1]]
+                tiles = tile(test, text, k)
+                covered = sum(t[2] for t in tiles)
+                if covered >= coverage * size:
+                    yield d, i, covered, size, covered / size, tiles
 
 
 def blocks(tests: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[DataFrame]:

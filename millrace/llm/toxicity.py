@@ -9,13 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_fraction, slices
+from .common import cut_lineage, hash_fraction, slices
 from .tokens import mix, seeds, words
 
 #: Hash space of the features.
 BITS = 20
 #: Labelled rows that the weights are learned from, about; they are chosen by a hash of their id.
 ROWS = 12000
+#: Features of those rows that reach the driver, at most; with more, fewer rows are learned from.
+FEATURES = 1 << 25
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.5
 #: Distances between the two words of a pair: 1 is a bigram, more a skip-gram.
@@ -69,14 +71,15 @@ def ftrl(rows: list[np.ndarray], labels: np.ndarray, epochs: int = EPOCHS) -> tu
     return at.astype(np.int32), w[at].astype(np.float32), float(-bz / ((BETA + bn**0.5) / ALPHA))
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, float]:
+def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights from about ``rows`` of the labelled documents, whole texts.
 
     ``labels`` (doc_id, toxic): rows with a null in either column teach nothing;
     a document with several labels counts as toxic if one says so.  The rows are
     chosen by a hash of the id among all labelled ones, so the ids that are
-    broadcast and the features that reach the driver are bounded by ``rows``.
-    Without labelled rows the weights are empty and the bias is 0.
+    broadcast are bounded by ``rows``.  Of these, rows in the order of that hash
+    are learned from while they have ``features`` features in all, at most, so
+    what reaches the driver is bounded also when texts are very long.  Without labelled rows the weights are empty and the bias is 0.
     """
     usable = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("id"), "toxic")
     total = usable.count()
@@ -91,7 +94,12 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> tuple[np.ndar
             value, at = text_features(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.int32()))], ["id", "y", "x"])
 
-    got = joined.mapInArrow(extract, "id long, y double, x array<int>").toArrow().sort_by("id").combine_chunks()
+    made = cut_lineage(joined.mapInArrow(extract, "id long, y double, x array<int>").withColumn("place", hash_fraction("id")))
+    sizes = made.select("place", F.size("x").alias("n")).toPandas().sort_values("place")
+    beyond = sizes["place"][sizes["n"].cumsum() > features]
+    if len(beyond):
+        made = made.filter(F.col("place") < float(beyond.iloc[0]))
+    got = made.drop("place").toArrow().sort_by("id").combine_chunks()
     if not got.num_rows:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
     lists = got.column("x").combine_chunks()

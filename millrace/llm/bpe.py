@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -19,12 +20,42 @@ from .tokens import grams, words
 CHUNK_WORDS = 32
 #: Words whose rolling hash decides whether a chunk ends.
 WINDOW = 4
-#: Chunks and pieces that a worker remembers; when it knows so many pieces, new ones are forgotten after each batch.
+#: Chunks and pieces that a worker remembers, and the characters of each; when it knows so many pieces, new ones are forgotten after each batch.
 MOST_CHUNKS = 1 << 14
 MOST_PIECES = 3 << 17
+MOST_CHARACTERS = 1 << 24
+#: Ends of pieces and joins that a worker remembers; beyond that it forgets all.
+MOST_EDGES = 1 << 17
 _PIECES = re.compile(r"\s*\S+|\s+")
 
 
+#: Patterns of words in which no match goes on from another character into a blank.
+BLANK_PATTERNS = (r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+",)
+
+
+def ends_at_blanks(settings: dict) -> bool:
+    """Whether a tokenizer's words end at blanks, whatever stands beyond: by its normalizers, its pattern and its added tokens."""
+    parts = lambda x, name: [] if x is None else x[name] if x["type"] == "Sequence" else [x]
+    for n in parts(settings["normalizer"], "normalizers"):
+        if n["type"] not in ("NFC", "Lowercase") and not (n["type"] == "Replace" and n["pattern"] == {"Regex": r"\s+"} and n["content"] == " "):
+            return False
+    words = False
+    for p in parts(settings["pre_tokenizer"], "pretokenizers"):
+        if p["type"] == "Split" and p["pattern"].get("Regex") in BLANK_PATTERNS and (p["behavior"], p["invert"]) == ("Removed", True):
+            words = True
+        elif p["type"] == "ByteLevel" and not p["add_prefix_space"]:
+            words = words or p["use_regex"]  # the library's own pattern of words is such a one
+        else:
+            return False
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in settings["added_tokens"])
+    return words and plain and settings["post_processor"] is None and settings["model"]["type"] == "BPE"
+
+
+def _short(text: str) -> str:
+    """A name for the text that is never long."""
+    return text if len(text) <= 64 else hashlib.sha256(text.encode()).hexdigest()
+
+
 class Encoder:
     """Encodes texts as the tokenizer does, chunk by chunk.
 
@@ -34,9 +65,16 @@ class Encoder:
     word with the blanks before it, which are shared in the same way.  Joins of
     chunks and of pieces are checked by encoding both sides together; where that
     is not what they give apart, the two are put together and encoded anew, again
-    and again, until all joins agree.  What a pre-tokenizer does at a blank
-    depends on the characters next to it, so one check holds for all joins with
-    the same characters: the last one before, the blanks, and the first one after.
+    and again, until all joins agree.
+
+    One check holds for all joins with the same characters: the last one before,
+    the blanks, and the first one after.  That needs a tokenizer whose words end
+    at blanks (``ends_at_blanks``): its pattern is matched from left to right
+    without looking back, no match goes on from another character into a blank,
+    and nothing before or after a blank is composed with it.  A piece begins with
+    its blanks and ends before the next ones, so every piece begins a match, and
+    what stands before or after it does not change its words.  With any other
+    tokenizer texts are encoded whole.
     """
 
     def __init__(self, path: str, chunk_words: int = CHUNK_WORDS):
@@ -47,15 +85,20 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.chunk_words = chunk_words
+        self.in_chunks = ends_at_blanks(json.loads(self.tokenizer.to_str()))
+        self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
+        self.encoded = self.reused = self.repaired = 0
+        self._forget()
+
+    def _forget(self) -> None:
         self.chunks: dict[str, np.ndarray] = {}
         self.pieces: dict[str, int] = {}
+        self.chunk_characters = self.piece_characters = 0
         # By piece: where its ids begin in ``tokens``, how many there are, and what of it matters for a join.
         self.tokens, self.n_tokens = np.zeros(1 << 16, np.int32), 0
         self.begin, self.count, self.tail, self.head = (np.zeros(1 << 16, np.int32) for _ in range(4))
         self.edges: dict[str, int] = {}
         self.joins: dict[int, bool] = {}
-        self.digits = [str(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))]
-        self.encoded = self.reused = self.repaired = 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -105,10 +148,11 @@ class Encoder:
                 self.tokens = np.concatenate([self.tokens, np.zeros(len(self.tokens), np.int32)])
             self.begin[at], self.count[at] = self.n_tokens + np.cumsum(count) - count, count
             self.tail[at] = [edges.setdefault(p[-1], len(edges)) for p in some]
-            self.head[at] = [edges.setdefault(p[: len(p) - len(p.lstrip()) + 1], len(edges)) for p in some]
+            self.head[at] = [edges.setdefault(_short(p[: len(p) - len(p.lstrip()) + 1]), len(edges)) for p in some]
             self.tokens[self.n_tokens : self.n_tokens + len(flat)] = flat
             self.n_tokens += len(flat)
             self.pieces.update(zip(some, at.tolist(), strict=True))
+            self.piece_characters += sum(map(len, some))
         self.encoded += len(new)
 
     def _repaired(self, pieces: list[str]) -> list[int]:
@@ -125,10 +169,15 @@ class Encoder:
 
     def encode(self, texts: pa.Array) -> list[list[int]]:
         """The ids of each text."""
+        if not self.in_chunks:
+            return [self._ids(x or "") for x in texts.to_pylist()]
         cut = self.cut(texts)
-        if len(self.chunks) >= MOST_CHUNKS:
+        if max(len(self.edges), len(self.joins)) > MOST_EDGES:
+            self._forget()
+        if len(self.chunks) >= MOST_CHUNKS or self.chunk_characters > MOST_CHARACTERS:
             self.chunks.clear()
-        known, pieces, tokens = self.chunks, self.pieces, self.n_tokens
+            self.chunk_characters = 0
+        known, pieces, tokens, characters = self.chunks, self.pieces, self.n_tokens, self.piece_characters
         made = {c: _PIECES.findall(c) for c in dict.fromkeys(c for parts in cut for c in parts) if c not in known}
         new = list(dict.fromkeys(p for ps in made.values() for p in ps if p not in pieces))
         self._learn(new)
@@ -145,12 +194,16 @@ class Encoder:
         out = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
         for i in self._disagreeing(piece, owner, cut):
             out[i] = self._repaired(_PIECES.findall("".join(cut[i])))
-        if len(pieces) > MOST_PIECES:
+        if len(pieces) > MOST_PIECES or self.piece_characters > MOST_CHARACTERS:
             for p in new:
                 del pieces[p]
-            self.n_tokens = tokens
+            self.n_tokens, self.piece_characters = tokens, characters
         else:
-            known.update(list(here.items())[: MOST_CHUNKS - len(known)])
+            some = list(here.items())[: MOST_CHUNKS - len(known)]
+            known.update(some)
+            self.chunk_characters += sum(len(c) for c, _ in some)
+        if len(self.tokens) > 4 * max(self.n_tokens, 1 << 16):
+            self.tokens = self.tokens[: 2 * max(self.n_tokens, 1 << 15)].copy()
         return out
 
     def _disagreeing(self, piece: np.ndarray, owner: np.ndarray, cut: list[list[str]]) -> list[int]:
@@ -198,7 +251,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """id, ``n_tokens``, ``ids_sha256`` (of the decimal ids joined by one space) and ``decoded_sha256`` of each row's whole text; null is empty.
 
     Rows are worked on where they lie: nothing is shuffled, and what a worker
-    remembers is bounded by MOST_CHUNKS and MOST_PIECES.
+    remembers is bounded in number and characters.
     """
 
     def digests(coder: Encoder, all_ids: list[list[int]]) -> list[pa.Array]:

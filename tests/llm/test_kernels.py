@@ -200,3 +200,86 @@ def test_encoder_forgets_when_full(monkeypatch):
         texts = [" ".join(f"w{k}x{i}" for i in range(15)), "same words here " * 9]
         assert coder.encode(pa.array(texts)) == [t.encode(x, add_special_tokens=False).ids for x in texts]
     assert len(coder.pieces) <= 20
+
+
+def test_encoder_forgets_long_words_and_edges(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "MOST_CHARACTERS", 20_000)
+    monkeypatch.setattr(bpe, "MOST_EDGES", 60)
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    coder, t = bpe.Encoder(path, 2), Tokenizer.from_file(path)
+    for k in range(8):
+        texts = ["".join(rng.choices("abcdefgh", k=30_000)), "\n" * (100 + k) + "x " * 20, " ".join(chr(0x4E00 + 50 * k + i) + "a" for i in range(50)), "same words here " * 9]
+        assert coder.encode(pa.array(texts)) == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert sum(map(len, coder.pieces)) == coder.piece_characters <= 20_000 and sum(map(len, coder.chunks)) <= 40_000
+        assert max(map(len, coder.edges)) <= 64 and len(coder.tokens) <= 1 << 17
+    assert len(coder.edges) < 200
+
+
+def test_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    settings = json.load(open(public_tokenizers.path("byte_bpe_50k.json")))
+    assert bpe.ends_at_blanks(settings)
+    for change in ({"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"pre_tokenizer": None}, {"normalizer": {"type": "Strip", "strip_left": True, "strip_right": True}}):
+        assert not bpe.ends_at_blanks(settings | change)
+    path = str(tmp_path / "other.json")
+    json.dump(settings | {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, open(path, "w"))
+    coder, t = bpe.Encoder(path, 2), Tokenizer.from_file(path)
+    texts = ["one two  three " * 20, "", None, "x"]
+    assert coder.encode(pa.array(texts)) == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+
+
+def test_ftrl_equals_a_loop_over_coordinates():
+    import math
+
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, rng.integers(0, 9))).astype(np.int32) for _ in range(300)]
+    labels = np.array([float(len(x) and x[0] < 6) for x in rows])
+    z, n = {}, {}
+
+    def weight(k):
+        if abs(z.get(k, 0.0)) <= toxicity.L1:
+            return 0.0
+        return -(z[k] - math.copysign(toxicity.L1, z[k])) / ((toxicity.BETA + math.sqrt(n[k])) / toxicity.ALPHA + toxicity.L2)
+
+    bz = bn = 0.0
+    for epoch in range(toxicity.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            w = {int(k): weight(int(k)) for k in rows[i]}
+            b = -bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA)
+            g = 1 / (1 + math.exp(-(sum(w.values()) + b))) - labels[i]
+            for k, v in w.items():
+                rate = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / toxicity.ALPHA
+                z[k] = z.get(k, 0.0) + g - rate * v
+                n[k] = n.get(k, 0.0) + g * g
+            bz += g - (math.sqrt(bn + g * g) - math.sqrt(bn)) / toxicity.ALPHA * b
+            bn += g * g
+    at, got, bias = toxicity.ftrl(rows, labels)
+    want = {k: weight(k) for k in z if weight(k)}
+    assert want and dict(zip(at.tolist(), got.tolist(), strict=True)) == pytest.approx(want, rel=1e-5)
+    assert bias == pytest.approx(-bz / ((toxicity.BETA + math.sqrt(bn)) / toxicity.ALPHA))
+
+
+def test_features_are_words_pairs_and_skip_pairs():
+    value, at = toxicity.text_features(pa.array(["a b c d e", "a", "", None, "A b"]))
+    # Of five words: themselves, and the pairs at distances 1, 2 and 3.
+    assert np.diff(at).tolist() == [5 + 4 + 3 + 2, 1, 0, 0, 3]
+    assert set(value[at[4] : at[5]]) <= set(value[at[0] : at[1]])
+
+
+def test_seed_that_many_items_and_places_share(monkeypatch):
+    hot = "one two three four five"
+    items = [hot if i % 2 else f"{hot} x{i} y{i} z{i} u{i} v{i} w{i}" for i in range(10_000)]
+    block = decontaminate.Block(list(range(len(items))), items, 5)
+    w = tokens.words(pa.array([f"{hot} " * 2000, f"and {hot} x4 y4 z4 u4", "nothing"]))
+    for most in (1 << 20, 7):
+        monkeypatch.setattr(decontaminate, "MOST_SEEDS", most)
+        assert all(len(key) <= max(most, 30_000) for key in decontaminate._candidates(block, w, 5))
+        got = {(d, i) for d, i, *_ in decontaminate._pairs(block, w, 0.5)}
+        assert got == {(d, i) for d in (0, 1) for i in range(1, 10_000, 2)} | {(1, 4)}

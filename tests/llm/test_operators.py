@@ -76,6 +76,17 @@ def test_exact_groups_null_id_alone(spark):
     assert got == {None: None, -(2**63) + 1: -(2**63) + 1, 2**63 - 1: -(2**63) + 1}
 
 
+def test_one_row_of_each_text_stays(spark):
+    pairs = [(5, "a b"), (1, "c"), (5, "c"), (5, "a b"), (5, "ab"), (None, "d"), (None, "d"), (None, "e  f"), (2, "ef"), (None, None), (4, "")]
+    for these in (pairs, pairs[::-1]):
+        df = spark.createDataFrame(these, "doc_id long, text string").withColumn("keep_id", F.lit("clash"))
+        got = exact_dedup.drop_exact_copies(df)
+        assert got.columns == df.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(5, "a b"), (1, "c"), (None, "d"), (None, "e  f"), (4, "")], key=repr)
+    alone = spark.createDataFrame([(1, "x"), (2, " x"), (3, "y"), (None, "x  ")], "doc_id long, text string")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in exact_dedup.drop_exact_copies(alone).collect()) == [(0, "x  "), (3, "y")]
+
+
 def grams(text):
     w = re.findall(tokens.WORD, (text or "").lower())
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -284,6 +295,7 @@ def test_audit_finds_what_differs(spark):
     a = warc.archive(pages)
     assert warc.audit(a, warc.archive(pages)).count() == 0
     assert warc.audit(a.limit(0), a.limit(0)).count() == 0
+    assert warc.audit(warc.archive(pages.limit(0)), warc.archive(pages.limit(0))).count() == 0
     b = warc.archive(warc.with_bit_rot(pages))
     want = {r["page_id"] for r in a.join(b.select("file", "seq", F.col("digest").alias("other")), ["file", "seq"]).filter("digest <> other").collect()}
     got = warc.audit(a, b).collect()

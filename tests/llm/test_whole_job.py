@@ -101,3 +101,13 @@ def test_toxicity_learns_from_12000_rows(spark, monkeypatch):
     ids = spark.range(20000)
     toxicity.train(ids.selectExpr("id AS doc_id", "concat('word ', id) AS text"), ids.selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic"))
     assert 11500 < seen[0] < 12500
+
+
+def test_toxicity_learns_from_fewer_rows_when_they_are_long(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda rows, labels: seen.append([len(x) for x in rows]))
+    ids = spark.range(300)
+    args = ids.selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 1 + CAST(id % 2 AS INT)) AS text"), ids.selectExpr("id AS doc_id", "CAST(id % 2 AS INT) AS toxic")
+    toxicity.train(*args)
+    toxicity.train(*args, features=200)
+    assert len(seen[0]) == 300 and len(seen[1]) > 90 and 190 < sum(seen[1]) <= 200

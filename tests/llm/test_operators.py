@@ -286,6 +286,10 @@ def test_chat_snapshots(spark):
     rows += [(7, t, "user", str(t)) for t in range(600)] + [(8, t, "user", str(t)) for t in range(300)]
     got = {r["conv_id"]: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("n_turns", F.lit("clash"))).collect()}
     assert set(got) == {3, 5, 6, 7} and got[3]["n_copies"] == 2 and got[7]["n_turns"] == 600
+    nameless = [(None, 1, "user", "a"), (None, 9, "user", "new"), (None, None, "user", "new"), (None, 0, None, None), (9, 0, "user", "only"), (None, 4, "user", "only")]
+    more = chat.format_chats(spark.createDataFrame(rows + nameless, "conv_id long, turn long, role string, text string")).collect()
+    line = "<|im_start|>{}\n{}<|im_end|>\n".format
+    assert {(r["conv_id"], r["n_turns"], r["n_copies"], r["rendered"]) for r in more if r["n_turns"] == 1} == {(6, 1, 2, line("", "")), (9, 1, 2, line("user", "only")), (None, 1, 2, line("user", "new"))}
     assert got[5]["rendered"] == "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nother<|im_end|>\n"
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 

@@ -91,24 +91,28 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 
 
 def op7_sql() -> str:
-    values = ", ".join(f"('{k}', [{', '.join(repr(b) for b in licenses.template_bigrams(v))}])" for k, v in sorted(licenses.TEMPLATES.items()))
+    values = ", ".join(f"('{k}', {p}, [{', '.join(repr(b) for b in grams)}])" for (k, p), grams in licenses.template_sets(licenses.TEMPLATES).items())
     return rf"""
-WITH templates(license, grams) AS (VALUES {values}),
-norm AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS norm FROM documents),
+WITH templates(license, part, grams) AS (VALUES {values}),
+norm AS (
+  SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[.!?]+[ \t]+', chr(1), 'g'), '[^\p{{L}}\p{{N}}\n\x01]+', ' ', 'g') AS norm FROM documents),
 parts AS (SELECT doc_id, norm, string_split(norm, chr(10)) AS lines, string_split_regex(norm, '\n(?: ?\n)+') AS paragraphs FROM norm),
+lines AS (SELECT doc_id, unnest(range(len(lines))) AS unit_no, unnest(lines) AS said FROM parts),
+sentences AS (SELECT doc_id, unit_no, string_split(said, chr(1)) AS parts FROM lines WHERE contains(said, chr(1))),
 units AS (
-  SELECT doc_id, 'line' AS unit, unnest(range(len(lines))) AS unit_no, unnest(lines) AS said FROM parts
-  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), unnest(paragraphs) AS said FROM parts) WHERE contains(said, chr(10))
-  UNION ALL SELECT doc_id, 'text', 0, norm FROM parts WHERE len(paragraphs) > 1),
-split AS (SELECT doc_id, unit, unit_no, string_split(trim(regexp_replace(said, '[ \n]+', ' ', 'g')), ' ') AS w FROM units),
+  SELECT doc_id, 'line' AS unit, unit_no, 0 AS sentence_no, said FROM lines
+  UNION ALL SELECT doc_id, 'sentence', unit_no, unnest(range(len(parts))), unnest(parts) FROM sentences
+  UNION ALL SELECT * FROM (SELECT doc_id, 'paragraph', unnest(range(len(paragraphs))), 0, unnest(paragraphs) AS said FROM parts) WHERE contains(said, chr(10))
+  UNION ALL SELECT doc_id, 'text', 0, 0, norm FROM parts WHERE len(paragraphs) > 1),
+split AS (SELECT doc_id, unit, unit_no, sentence_no, string_split(trim(regexp_replace(said, '[ \n\x01]+', ' ', 'g')), ' ') AS w FROM units),
 sized AS (
-  SELECT doc_id, unit, unit_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-  FROM split WHERE len(w) BETWEEN 2 AND 4000),
+  SELECT doc_id, unit, unit_no, sentence_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
+  FROM split WHERE len(w) >= 2),
 scored AS (
-  SELECT doc_id, unit, unit_no, license, 2 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
+  SELECT doc_id, unit, unit_no, sentence_no, license, part, 2 * len(list_intersect(s.grams, t.grams)) / (len(s.grams) + len(t.grams)) AS dice
   FROM sized s JOIN templates t ON len(s.grams) BETWEEN len(t.grams) / 1.5 - 1e-9 AND len(t.grams) * 1.5 + 1e-9)
-SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, license, dice FROM scored WHERE dice >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no ORDER BY dice DESC, license) = 1
+SELECT doc_id, unit, CAST(unit_no AS BIGINT) AS unit_no, CAST(sentence_no AS BIGINT) AS sentence_no, license, part, dice FROM scored WHERE dice >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, unit, unit_no, sentence_no ORDER BY dice DESC, license, part) = 1
 """
 
 

@@ -205,11 +205,27 @@ def test_toxicity_on_held_out_rows(spark):
 
 
 def test_licence_equals_definition(spark):
-    texts = ["Licensed under the Apache License, Version 2.0", "LICENSED under the apache license version 2", licenses.TEMPLATES["mit"], "x\n\n" + licenses.TEMPLATES["isc"].replace(". ", ".\n") + "\n\ny", "All rights", "the license of nothing at all"]
-    got = {(r["doc_id"], r["unit"], r["unit_no"]): (r["license"], round(r["dice"], 6)) for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0, "line", 0] == ("apache-2.0-notice", 1.0) and got[1, "line", 0][0] == "apache-2.0-notice"
-    assert got[2, "line", 0] == ("mit", 1.0) and got[3, "paragraph", 1] == ("isc", 1.0)
-    assert not {k for k in got if k[0] in (4, 5)}
+    one = lambda k: licenses.TEMPLATES[k].replace("\n\n", " ")
+    texts = [
+        "Licensed under the Apache License, Version 2.0", "LICENSED under the apache license version 2", one("mit"), "x\n\n" + one("isc").replace(". ", ".\n") + "\n\ny", "All rights", "the license of nothing at all",
+        "/*\n * " + licenses.TEMPLATES["mit"].replace("\n\n", "\n *\n * ") + "\n */\n\nint main() { return 0; }\n\n" + "more of this\n" * 200, "Copyright 2020 Jane Doe. All rights reserved.",
+        "It is old! Licensed under the Apache License, Version 2.0. It is long and it says quite a lot about other things. Really?", "All rights reserved.\n\n" * 3000, "",
+    ]
+    found = licenses.scan_licenses(spark.createDataFrame([*enumerate(texts), (99, None)], "doc_id long, text string")).collect()
+    got = {(r["doc_id"], r["unit"], r["unit_no"]): (r["license"], r["part"], round(r["dice"], 6)) for r in found if not r["sentence_no"]}
+    assert got[0, "line", 0] == ("apache-2.0-notice", 0, 1.0) and got[1, "line", 0][0] == "apache-2.0-notice"
+    assert got[2, "line", 0] == ("mit", 0, 1.0) and got[3, "paragraph", 1] == ("isc", 0, 1.0)
+    assert {got[6, "line", i] for i in (1, 3)} == {("mit", 1, 1.0), ("mit", 2, 1.0)} and got[6, "line", 5][0] == "mit"
+    assert [(r["unit"], r["sentence_no"], r["license"], r["dice"]) for r in found if r["doc_id"] == 7] == [("sentence", 1, "all-rights-reserved", 1.0)]
+    assert {(r["unit"], r["sentence_no"], r["license"]) for r in found if r["doc_id"] == 8} == {("sentence", 1, "apache-2.0-notice")}
+    assert len([1 for r in found if r["doc_id"] == 9 and r["unit"] == "line"]) == 3000 and got[9, "text", 0][0] == "all-rights-reserved"
+    assert not {r["doc_id"] for r in found} & {4, 5, 10, 99}
+
+
+def test_template_with_accents_matches_itself(spark):
+    own = "Cette \u0153uvre est mise \u00e0 disposition sous licence g\u00e9n\u00e9rale, \u00c9DITION libre."
+    got = licenses.scan_licenses(spark.createDataFrame([(1, own), (2, own.upper())], "doc_id long, text string"), {"own": own}).collect()
+    assert sorted((r["doc_id"], r["license"], r["dice"]) for r in got) == [(1, "own", 1.0), (2, "own", 1.0)]
 
 
 def test_bpe_round_trip_equals_the_library(spark, docs):

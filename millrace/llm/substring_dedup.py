@@ -19,7 +19,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,6 +48,19 @@ def ranked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.select(F.coalesce("id", F.lit(LAST)).alias("rank"), F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(alone).alias("text_key"), "text")
 
 
+def _both(high: np.ndarray, low: np.ndarray, bits: int = 32) -> pa.Array:
+    """Two numbers as one, so that rows that are moved between tasks are short; the second has ``bits`` bits."""
+    return pa.array(high.astype(np.int64) << bits | low.astype(np.int64))
+
+
+def _high(both: str, bits: int = 32) -> Column:
+    return F.shiftright(both, bits).cast("int")
+
+
+def _low(both: str, bits: int = 32) -> Column:
+    return F.col(both).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+
+
 def _keys(b: pa.RecordBatch, at: np.ndarray) -> list[pa.Array]:
     """rank and text_key of the texts ``at``."""
     return [b.column(c).take(pa.array(at)) for c in ("rank", "text_key")]
@@ -85,7 +98,7 @@ def _digests(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 def units(rows: DataFrame) -> DataFrame:
-    """The lines of ``ranked`` rows that have words: number, first word, offsets in code points of the original text, words, digest, and whether the text has it for the first time."""
+    """The lines of ``ranked`` rows that have words: number, ``place`` (first word and words), ``span`` (offsets in code points of the original text), digest, and whether the text has it for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -102,11 +115,11 @@ def units(rows: DataFrame) -> DataFrame:
             before = np.cumsum(count) - count
             word = before - before[head]
             yield pa.RecordBatch.from_arrays(
-                [*_keys(b, doc), *[pa.array(x.astype(np.int32)) for x in (number, word, points[start] - began, points[end] - began, count)], pa.array(d1), pa.array(d2), pa.array(~same)],
-                ["rank", "text_key", "unit_no", "word", "start", "end", "words", "d1", "d2", "first"],
+                [*_keys(b, doc), pa.array(number.astype(np.int32)), _both(word, count), _both(points[start] - began, points[end] - began), pa.array(d1), pa.array(d2), pa.array(~same)],
+                ["rank", "text_key", "unit_no", "place", "span", "d1", "d2", "first"],
             )
 
-    return rows.mapInArrow(run, f"{_KEY}, unit_no int, word int, start int, end int, words int, d1 long, d2 long, first boolean")
+    return rows.mapInArrow(run, f"{_KEY}, unit_no int, place long, span long, d1 long, d2 long, first boolean")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,7 +159,7 @@ def _unit_spans(rows: DataFrame, min_words: int) -> DataFrame:
         all_units.join(shared, ["d1", "d2"], "left")
         .withColumn("earliest", F.coalesce("earliest", own))
         .filter((own != F.col("earliest")) | ~F.col("first"))
-        .select("rank", "text_key", "unit_no", "word", "start", "end", "words", F.col("earliest.rank").alias("first_doc"))
+        .select("rank", "text_key", "unit_no", _high("place").alias("word"), _low("place").alias("words"), _high("span").alias("start"), _low("span").alias("end"), F.col("earliest.rank").alias("first_doc"))
     )
     order = W.partitionBy("rank", "text_key").orderBy("unit_no")
     # Rows that repeat an id and its text have each unit several times; its words count once.
@@ -196,7 +209,7 @@ def windows(w: Words) -> Windows | None:
 
 
 def _window_runs(rows: DataFrame) -> DataFrame:
-    """A row for each run of windows: what they pick, a digest of them all, number of the first word, windows, offsets."""
+    """A row for each run of windows: what they pick, a digest of them all, ``place`` (number of the first word, and windows), ``span`` (offsets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -207,15 +220,15 @@ def _window_runs(rows: DataFrame) -> DataFrame:
             digest = mix(np.add.reduceat(mix(v.hash ^ mix(k.astype(np.uint64))), v.first))
             end = v.end[v.first + v.n - 1]
             yield pa.RecordBatch.from_arrays(
-                [*_keys(b, v.doc[v.first]), pa.array(v.pick.view(np.int64)), pa.array(digest.view(np.int64)), *[pa.array(x.astype(np.int32)) for x in (v.word[v.first], v.n, v.start[v.first], end)]],
-                ["rank", "text_key", "pick", "digest", "word", "n", "start", "end"],
+                [*_keys(b, v.doc[v.first]), pa.array(v.pick.view(np.int64)), pa.array(digest.view(np.int64)), _both(v.word[v.first], v.n, 8), _both(v.start[v.first], end)],
+                ["rank", "text_key", "pick", "digest", "place", "span"],
             )
 
-    return rows.mapInArrow(run, f"{_KEY}, pick long, digest long, word int, n int, start int, end int")
+    return rows.mapInArrow(run, f"{_KEY}, pick long, digest long, place long, span long")
 
 
 def _single_windows(rows: DataFrame) -> DataFrame:
-    """A row for each window of the runs whose first words ``wanted`` numbers."""
+    """A row for each window of the runs whose first words ``wanted`` numbers; half of what it picks tells windows of equal hash apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -226,32 +239,31 @@ def _single_windows(rows: DataFrame) -> DataFrame:
             key = np.repeat(np.arange(b.num_rows), np.diff(wanted.offsets.to_numpy())) << 32 | wanted.flatten().to_numpy().astype(np.int64)
             some = np.repeat(np.isin(v.doc[v.first] << 32 | v.word[v.first], key), v.n)
             yield pa.RecordBatch.from_arrays(
-                [*_keys(b, v.doc[some]), pa.array(np.repeat(v.pick, v.n)[some].view(np.int64)), pa.array(v.hash[some].view(np.int64)), *[pa.array(x[some].astype(np.int32)) for x in (v.word, v.start, v.end)]],
-                ["rank", "text_key", "pick", "hash", "word", "start", "end"],
+                [*_keys(b, v.doc[some]), pa.array(np.repeat(v.pick.astype(np.uint32).view(np.int32), v.n)[some]), pa.array(v.hash[some].view(np.int64)), pa.array(v.word[some].astype(np.int32)), _both(v.start[some], v.end[some])],
+                ["rank", "text_key", "pick", "hash", "word", "span"],
             )
 
-    return rows.mapInArrow(run, f"{_KEY}, pick long, hash long, word int, start int, end int")
+    return rows.mapInArrow(run, f"{_KEY}, pick int, hash long, word int, span long")
 
 
 def _passage_spans(rows: DataFrame) -> DataFrame:
     """Stretches of windows that stand earlier, in the form of ``_unit_spans``; a window that overlaps its earliest occurrence stays."""
     runs = _window_runs(rows)
-    earliest = F.min(F.struct("rank", "text_key", "word")).alias("first")
     # Written out, so that both sides of the joins are dealt anew and AQE can split a common passage.
-    picks = cut_lineage(
-        runs.groupBy("pick").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("least"), F.max("digest").alias("most"))
-        .filter("n > 1").select("pick", (F.col("least") != F.col("most")).alias("differ"))
-    )
-    shared = cut_lineage(runs.join(picks, "pick"))
+    picks = cut_lineage(runs.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pick"))
+    shared = cut_lineage(runs.join(picks, "pick").withColumns({"word": _high("place", 8), "n": _low("place", 8)}).drop("place"))
+    own = F.struct("rank", "text_key")
+    earliest = F.min(F.struct("rank", "text_key", "word")).alias("first")
     kinds = cut_lineage(shared.groupBy("pick", "digest").agg(earliest))
-    placed = shared.join(kinds, ["pick", "digest"])
-    own, firsts = F.struct("rank", "text_key"), F.struct("first.rank", "first.text_key")
+    firsts = F.struct("first.rank", "first.text_key")
     later = (own > firsts) | ((own == firsts) & (F.col("word") >= F.col("first.word") + PASSAGE))
-    columns = ["rank", "text_key", "word", "n_words", F.col("start").alias("span_start"), F.col("end").alias("span_end"), F.col("first.rank").alias("first_doc")]
+    columns = ["rank", "text_key", "word", "n_words", _high("span").alias("span_start"), _low("span").alias("span_end"), F.col("first.rank").alias("first_doc")]
+    placed = shared.join(kinds, ["pick", "digest"])
     whole = placed.filter(later).withColumn("n_words", F.col("n") + F.lit(PASSAGE - 1).cast("long")).select(*columns)
-    # Where runs differ, the earliest of each kind is compared window by window.
-    wanted = placed.filter(F.col("differ") & ~later).groupBy(F.col("rank").alias("of"), F.col("text_key").alias("of_text")).agg(F.collect_set("word").alias("wanted"))
-    # Rows that repeat an id and its text are compared once.
+    # Where runs of one pick differ, the earliest of each kind, and what overlaps it, is compared window by window.
+    differ = cut_lineage(kinds.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pick"))
+    early = placed.filter(~later).select("pick", "rank", "text_key", "word")
+    wanted = early.join(differ, "pick", "left_semi").groupBy(F.col("rank").alias("of"), F.col("text_key").alias("of_text")).agg(F.collect_set("word").alias("wanted"))
     texts = rows.join(wanted, (F.col("rank") == F.col("of")) & (F.col("text_key") == F.col("of_text"))).select("rank", "text_key", "text", "wanted")
     single = cut_lineage(_single_windows(texts))
     known = cut_lineage(single.groupBy("pick", "hash").agg(earliest, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))

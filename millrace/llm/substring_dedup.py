@@ -32,6 +32,8 @@ MIN_WORDS = 30
 PASSAGE = 51
 #: Words of a hash that a window picks; it has 32 of them.
 GRAM = 20
+#: Bytes of text that are unpacked together, about.
+SLICE = 1 << 20
 #: Stands for a null id, which ranks last.
 LAST = (1 << 63) - 1
 _KEY = "rank long, text_key long"
@@ -227,11 +229,40 @@ def _window_runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"{_KEY}, pick long, digest long, place long, span long")
 
 
+def _packed(rows: DataFrame) -> DataFrame:
+    """rank, text_key, size, packed: the texts that can hold a window, each compressed, since the join that follows moves them all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", compression_level=1)
+        for b in slices(batches, "text"):
+            data, offset = text_bytes(b.column("text"))
+            size = np.diff(offset)
+            some = np.flatnonzero(size >= 2 * PASSAGE - 1)
+            packed = [codec.compress(data[offset[i] : offset[i + 1]], asbytes=True) for i in some.tolist()]
+            yield pa.RecordBatch.from_arrays([*_keys(b, some), pa.array(size[some]), pa.array(packed, pa.binary())], ["rank", "text_key", "size", "packed"])
+
+    return rows.mapInArrow(run, f"{_KEY}, size long, packed binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same with ``text``, in runs of rows with about SLICE bytes of text each."""
+    codec = pa.Codec("zstd")
+    for b in batches:
+        ends = np.cumsum(b.column("size").to_numpy())
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, "right")))
+            part = b.slice(at, end - at)
+            texts = [codec.decompress(x.as_buffer(), n.as_py()).to_pybytes().decode() for x, n in zip(part.column("packed"), part.column("size"), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in ("rank", "text_key", "wanted")], pa.array(texts, pa.large_string())], ["rank", "text_key", "wanted", "text"])
+            at = end
+
+
 def _single_windows(rows: DataFrame) -> DataFrame:
     """A row for each window of the runs whose first words ``wanted`` numbers; half of what it picks tells windows of equal hash apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "text"):
+        for b in _unpacked(batches):
             v = windows(words(b.column("text")))
             if v is None:
                 continue
@@ -264,7 +295,7 @@ def _passage_spans(rows: DataFrame) -> DataFrame:
     differ = cut_lineage(kinds.groupBy("pick").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("pick"))
     early = placed.filter(~later).select("pick", "rank", "text_key", "word")
     wanted = early.join(differ, "pick", "left_semi").groupBy(F.col("rank").alias("of"), F.col("text_key").alias("of_text")).agg(F.collect_set("word").alias("wanted"))
-    texts = rows.join(wanted, (F.col("rank") == F.col("of")) & (F.col("text_key") == F.col("of_text"))).select("rank", "text_key", "text", "wanted")
+    texts = _packed(rows).join(wanted, (F.col("rank") == F.col("of")) & (F.col("text_key") == F.col("of_text"))).select("rank", "text_key", "size", "packed", "wanted")
     single = cut_lineage(_single_windows(texts))
     known = cut_lineage(single.groupBy("pick", "hash").agg(earliest, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
     parts = single.join(known, ["pick", "hash"]).filter(later).withColumn("n_words", F.lit(PASSAGE).cast("long")).select(*columns)

@@ -6,16 +6,20 @@ is grouped by a key that grows with the table.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 
 #: Images that a call of the matching kernel works on.
 IMAGES = 64
+#: Distances between points that are held at once.
+PAIRS = 1 << 21
 
 
 def farthest(points: DataFrame, group: str, index: str, n: int) -> DataFrame:
@@ -32,11 +36,30 @@ def farthest(points: DataFrame, group: str, index: str, n: int) -> DataFrame:
 
 def nearest(points: DataFrame, group: str, index: str, k: int, itself: bool = True) -> DataFrame:
     """(group, index, neighbour, distance2, rank): the ``k`` nearest of each point in its object; ties by index."""
-    other = points.select(F.col(group).alias("__g"), F.col(index).alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in "xyz"])
-    pairs = points.join(other, (F.col(group) == F.col("__g")) & (F.lit(itself) | (F.col(index) != F.col("neighbour"))))
-    d2 = sum(((F.col(c) - F.col(f"n{c}")) ** 2 for c in "xyz"), F.lit(0.0))
-    rank = F.row_number().over(W.partitionBy(group, index).orderBy("distance2", "neighbour"))
-    return pairs.select(group, index, "neighbour", d2.alias("distance2")).withColumn("rank", rank).filter(F.col("rank") <= k)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, xyz = pdf["index"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
+        parts = []
+        # Some points at a time, so that memory does not grow with the square of the object.
+        step = max(1, PAIRS // len(ids))
+        for lo in range(0, len(ids), step):
+            d2 = np.zeros((len(ids[lo : lo + step]), len(ids)))
+            for c in range(3):
+                d2 += (xyz[lo : lo + step, c, None] - xyz[None, :, c]) ** 2
+            if not itself:
+                d2[ids[lo : lo + step, None] == ids[None, :]] = np.inf
+            most = np.partition(d2, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+            i, j = np.nonzero((d2 <= most[:, None]) & np.isfinite(d2))
+            order = np.lexsort((ids[j], d2[i, j], i))
+            i, j = i[order], j[order]
+            rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
+            near = rank <= k
+            i, j = i[near], j[near]
+            parts.append(pd.DataFrame({"g": key[0], "index": ids[lo + i], "neighbour": ids[j], "distance2": d2[i, j], "rank": rank[near]}))
+        return pd.concat(parts)
+
+    rows = points.select(F.col(group).cast("long").alias("g"), F.col(index).cast("long").alias("index"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    return rows.groupBy("g").applyInPandas(run, "g long, index long, neighbour long, distance2 double, rank int").withColumnsRenamed({"g": group, "index": index})
 
 
 def clusters(points: DataFrame, group: str, index: str, k: int, cuts: list[float], least: int = 2) -> DataFrame:
@@ -148,10 +171,20 @@ def mask_scores(pixels: DataFrame, view: str, part: str, height: int, width: int
 def principal(rows: DataFrame, vector: str, size: int, k: int = 3) -> DataFrame:
     """``df`` with ``pca``: the first ``k`` principal components, scaled to [0, 1] over the table.
 
-    The covariance comes from partial sums of ``size``**2 numbers, so only that reaches the driver.
+    The covariance comes from sums of ``size``**2 numbers that each task makes of its rows, so only that moves and reaches the driver.
     """
-    pairs = rows.select(F.posexplode(vector).alias("i", "a"), F.col(vector).alias("__v")).select("i", "a", F.posexplode("__v").alias("j", "b"))
-    sums = pairs.groupBy("i", "j").agg(F.sum(F.col("a").cast("double") * F.col("b")).alias("ab"), F.sum(F.col("a").cast("double")).alias("a"), F.count(F.lit(1)).alias("n")).collect()
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ab, a, n = np.zeros((size, size)), np.zeros(size), 0
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, size)
+            ab, a, n = ab + x.T @ x, a + x.sum(axis=0), n + len(x)
+        if n:
+            i, j = np.divmod(np.arange(size * size), size)
+            yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(ab.ravel()), pa.array(a[i]), pa.array(np.full(size * size, n))], ["i", "j", "ab", "a", "n"])
+
+    parts = rows.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null").mapInArrow(products, "i long, j long, ab double, a double, n long")
+    sums = parts.groupBy("i", "j").agg(F.sum("ab").alias("ab"), F.sum("a").alias("a"), F.sum("n").alias("n")).collect()
     ab, a, n = np.zeros((size, size)), np.zeros(size), 1
     for r in sums:
         ab[r["i"], r["j"]], a[r["i"]], n = r["ab"], r["a"], r["n"]

@@ -96,11 +96,12 @@ def centroids(df: DataFrame, group: str, vector: str) -> DataFrame:
     return df.select(group, F.posexplode(vector).alias("dim", "v")).groupBy(group, "dim").agg(F.avg("v").alias("centre"))
 
 
-def spread(df: DataFrame, group: str, key: str, vector: str) -> DataFrame:
-    """group, ``spread``: the mean distance to the centroid."""
-    long = df.select(group, key, F.posexplode(vector).alias("dim", "v"))
-    off = long.join(centroids(df, group, vector), [group, "dim"]).groupBy(group, key).agg(F.sqrt(F.sum((F.col("v") - F.col("centre")) ** 2)).alias("distance"))
-    return off.groupBy(group).agg(F.avg("distance").alias("spread"))
+def spread(df: DataFrame, group: str, vector: str) -> DataFrame:
+    """group, ``spread``: the mean distance of the rows' vectors to the centroid; a vector is moved once, whole."""
+    centres = centroids(df, group, vector).groupBy(group).agg(F.sort_array(F.collect_list(F.struct("dim", "centre"))).alias("__c"))
+    squares = F.zip_with(vector, F.col("__c.centre"), lambda v, c: (v.cast("double") - c) * (v.cast("double") - c))
+    distance = F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, x: total + x))
+    return df.select(group, vector).join(centres, group).groupBy(group).agg(F.avg(distance).alias("spread"))
 
 
 def correct_summary(both: Column, one: Column, other: Column) -> list[Column]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,14 +43,15 @@ def hash_ranked(df: DataFrame, id_col: str, seed: int = 0, name: str = "rank") -
 
 
 def id_ranked(df: DataFrame, id_col: str, name: str = "rank", descending: bool = False) -> DataFrame:
-    """The rank in the order of a numeric id, over buckets between its least and largest value."""
-    ends = df.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi")).first()
-    low, high = ends["lo"] or 0, ends["hi"] or 0
-    step = max(1, -(-(high - low + 1) // BUCKETS))
-    at = F.floor((F.col(id_col) - low) / step)
-    if descending:
-        return ranked(df, [F.col(id_col).desc()], F.lit(BUCKETS) - at, name)
-    return ranked(df, [F.col(id_col)], at, name)
+    """The rank in the order of a numeric id, over buckets of about as many rows each, whatever the ids."""
+    marked = df.withColumn("__v", F.coalesce(F.col(id_col).cast("double"), F.lit(-math.inf)))
+    shares = [k / BUCKETS for k in range(1, BUCKETS)]
+    cuts = sorted(x for x in set(marked.approxQuantile("__v", shares, 1 / (4 * BUCKETS))) if math.isfinite(x))
+    if not cuts:
+        return ranked(marked, [F.col(id_col).desc() if descending else F.col(id_col)], F.lit(0), name).drop("__v")
+    dealt = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__v", outputCol="__at").transform(marked)
+    order, bucket = (F.col(id_col).desc(), F.lit(BUCKETS) - F.col("__at")) if descending else (F.col(id_col), F.col("__at"))
+    return ranked(dealt, [order], bucket, name).drop("__v", "__at")
 
 
 def take(df: DataFrame, strategy: str, id_col: str, seed: int = 0) -> DataFrame:

@@ -1,21 +1,23 @@
 """Part hierarchies as adjacency tables (object_id, node_id, parent_id, ord, name, mask_id).
 
-Spark has no recursive type, so trees are rows; walks are joins by level.  Levels are
-bounded by ``MOST_LEVELS`` and every level is a join on (object, node), so an
-object's size does not bound a task.
+Spark has no recursive type, so trees are rows; walks are joins by level, down to
+the last one.  Every level is a join on (object, node), so an object's size does
+not bound a task, and is written out, so the next one does not make it again.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_LEVELS = 64
+from .lineage import cut_lineage
+
 NODES = "object_id string, node_id string, parent_id string, ord int, depth int, path array<int>, name array<string>, mask_id string"
 
 
@@ -54,18 +56,18 @@ def parse(df: DataFrame, id_col: str, tree: str) -> DataFrame:
     return df.select(F.col(id_col).cast("string").alias("object_id"), F.col(tree).alias("tree")).mapInPandas(walk, NODES)
 
 
-def placed(edges: DataFrame, keys: tuple[str, str, str] = ("object_id", "node_id", "parent_id"), order: str = "ord", most: int = MOST_LEVELS) -> DataFrame:
-    """Edges with ``depth`` and ``path`` (the ``ord`` of each step from the root), level by level."""
+def placed(edges: DataFrame, keys: tuple[str, str, str] = ("object_id", "node_id", "parent_id"), order: str = "ord") -> DataFrame:
+    """Edges with ``depth`` and ``path`` (the ``ord`` of each step from the root), level by level; what no root leads to is left out."""
     obj, node, parent = keys
-    level = edges.filter(F.col(parent).isNull()).select(*edges.columns, F.lit(0).alias("depth"), F.array(F.col(order).cast("int")).alias("path"))
-    out = level
-    for depth in range(1, most + 1):
+    level = cut_lineage(edges.filter(F.col(parent).isNull()).select(*edges.columns, F.lit(0).alias("depth"), F.array(F.col(order).cast("int")).alias("path")))
+    levels = [level]
+    # A walk from the roots ends: each step leads to rows of which this one is the parent.
+    while not level.isEmpty():
         up = level.select(F.col(obj).alias("__o"), F.col(node).alias("__n"), F.col("path").alias("__path"))
-        level = edges.join(up, (F.col(obj) == F.col("__o")) & (F.col(parent) == F.col("__n"))).select(*edges.columns, F.lit(depth).alias("depth"), F.concat("__path", F.array(F.col(order).cast("int"))).alias("path"))
-        if depth > 3 and level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+        level = edges.join(up, (F.col(obj) == F.col("__o")) & (F.col(parent) == F.col("__n"))).select(*edges.columns, F.lit(len(levels)).alias("depth"), F.concat("__path", F.array(F.col(order).cast("int"))).alias("path"))
+        level = cut_lineage(level)
+        levels.append(level)
+    return reduce(DataFrame.unionByName, levels[:-1] or levels)
 
 
 def breadth_first(nodes: DataFrame, obj: str = "object_id", name: str = "bfs") -> DataFrame:

@@ -42,20 +42,20 @@ def rounded(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits)
 
 
-_THOUGHT = "'<think>' || text || '</think>' || chr(10) || '<answer>' || substr(text, 1, 40) || '</answer>'"
+_THOUGHT = "'<think>' || text || '</think>' || chr(10) || '<answer>' || text || '</answer>'"
 #: Completions of a model with their solutions, as training logs have them.
 COMPLETIONS = f"""
 SELECT conv_id * 100 + turn AS id, conv_id AS object_id, CAST(turn AS BIGINT) AS gen_idx, CAST(floor(conv_id / 16) AS BIGINT) AS step,
   CASE (conv_id + turn) % 8
     WHEN 0 THEN {_THOUGHT}
     WHEN 1 THEN {_THOUGHT} || ' '
-    WHEN 2 THEN '<answer>' || substr(text, 1, 30) || '</answer>'
+    WHEN 2 THEN '<answer>' || text || '</answer>'
     WHEN 3 THEN text
-    WHEN 4 THEN '<think>' || text || '</think><answer>Yes, ' || substr(text, 1, 20) || '</answer>'
+    WHEN 4 THEN '<think>' || text || '</think><answer>Yes, ' || text || '</answer>'
     WHEN 5 THEN '<answer>' || CAST(conv_id % 7 AS STRING) || CASE WHEN conv_id % 2 = 0 THEN ' legs' ELSE '' END || '</answer>'
-    WHEN 6 THEN '<think>a b. c</think><answer>x</answer> then <answer> ' || 'The ' || substr(text, 1, 25) || '.</answer>'
-    ELSE '<think>one. two! three?</think> <answer>' || chr(10) || 'The answer is B.  Not A. ' || chr(10) || chr(10) || substr(text, 1, 10) || chr(13) || 'twelve</answer>' END AS content,
-  CASE turn % 4 WHEN 0 THEN substr(text, 1, 40) WHEN 1 THEN CAST(conv_id % 5 AS STRING) WHEN 2 THEN 'no' ELSE '<answer>B</answer>' END AS solution,
+    WHEN 6 THEN '<think>a b. c</think><answer>x</answer> then <answer> ' || 'The ' || text || '.</answer>'
+    ELSE '<think>one. two! three?</think> <answer>' || chr(10) || 'The answer is B.  Not A. ' || chr(10) || chr(10) || text || chr(13) || 'twelve</answer>' END AS content,
+  CASE turn % 4 WHEN 0 THEN text WHEN 1 THEN CAST(conv_id % 5 AS STRING) WHEN 2 THEN 'no' ELSE '<answer>B</answer>' END AS solution,
   CASE turn % 4 WHEN 0 THEN 'all_match' WHEN 1 THEN 'numeric' WHEN 2 THEN 'yes_no' ELSE 'mcq' END AS method,
   CASE turn % 4 WHEN 0 THEN 'partnext_object_identity' WHEN 1 THEN 'part_count' WHEN 2 THEN 'other' ELSE 'part_identity' END AS qa_type
 FROM conversations

@@ -157,7 +157,7 @@ def g19_part_difficulty(spark, sf):
     q = _centre_pairs(spark, sf)
     near = q.select(F.col("a").alias("object_id"), "d").unionByName(q.select(F.col("b").alias("object_id"), "d")).groupBy("object_id").agg(F.min("d").alias("d"))
     vec = points(spark, sf).select("object_id", "point_id", F.array("x", "y", "z").alias("v"))
-    both = near.join(reports.spread(vec, "object_id", "point_id", "v"), "object_id").withColumn("all", F.lit(0))
+    both = near.join(reports.spread(vec, "object_id", "v"), "object_id").withColumn("all", F.lit(0))
     scaled = groups.min_max(groups.min_max(both, ["all"], "d", "nd"), ["all"], "spread", "ns")
     return scaled.select("object_id", rounded(0.8 * (1 - F.col("nd")) + 0.2 * F.col("ns"), 4).alias("difficulty"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import calls, groups, joins, reports, sampling
+from ..operators.lineage import shared_folder
 from ..sources import io
 from .base import BOXES, COMPLETIONS, JUDGED, boxes, completions, derived, judged, query, rounded, table
 from .text_queries import CLASSED, SCORED
@@ -25,13 +26,8 @@ def key(c: str) -> str:
 
 
 def _scratch(spark, name: str) -> str:
-    """A folder that executors share: under the checkpoint folder if the session names one."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        return tempfile.mkdtemp(prefix=f"millrace-{name}-")
-    import uuid
-
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own that executors share."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT conv_id AS object_id, CAST(count(*) AS BIGINT) AS turns FROM conversations GROUP BY conv_id")
@@ -350,10 +346,10 @@ def a11_coverage(spark, sf):
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, sum(l_tax) AS a, sum(l_discount) AS b, stddev_samp(l_tax + l_discount) AS s FROM lineitem GROUP BY l_orderkey)
- SELECT round(sum(a) / sum(n), 4) AS l_tax, round(sum(b) / sum(n), 4) AS l_discount, round((sum(a) + sum(b)) / sum(n), 4) AS reward, round(avg(coalesce(s, 0)), 4) AS reward_std FROM g""")
+ SELECT round(sum(a) / sum(n), 6) AS l_tax, round(sum(b) / sum(n), 6) AS l_discount, round((sum(a) + sum(b)) / sum(n), 6) AS reward, round(avg(coalesce(s, 0)), 6) AS reward_std FROM g""")
 def a12_w2_function_means(spark, sf):
     got = reports.function_means(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_tax", "l_discount"])
-    return got.select(*[rounded(F.col(c), 4).alias(c) for c in got.columns])
+    return got.select(*[rounded(F.col(c)).alias(c) for c in got.columns])
 
 
 @query("SELECT CAST(floor(event_id / 100) AS BIGINT) AS step, round(avg(value), 6) AS value FROM events GROUP BY 1")
@@ -376,7 +372,7 @@ def a16_batch_summary(spark, sf):
 @query("""WITH l AS (SELECT label, vec_id, unnest(range(1, 65)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings), c AS (SELECT label, dim, avg(v) AS m FROM l GROUP BY label, dim),
  d AS (SELECT label, vec_id, sqrt(sum((v - m) * (v - m))) AS d FROM l JOIN c USING (label, dim) GROUP BY label, vec_id) SELECT label, round(avg(d), 6) AS spread FROM d GROUP BY label""")
 def a21_centroid_spread(spark, sf):
-    return reports.spread(table(spark, sf, "embeddings"), "label", "vec_id", "embedding").withColumn("spread", rounded(F.col("spread")))
+    return reports.spread(table(spark, sf, "embeddings"), "label", "embedding").withColumn("spread", rounded(F.col("spread")))
 
 
 @query("""SELECT label AS point, round(sum(m), 5) AS total, CAST(64 AS INTEGER) AS dims FROM (SELECT label, dim, avg(v) AS m FROM (SELECT label, unnest(range(1, 65)) AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id % 3 > 0) GROUP BY label, dim) GROUP BY label""")
@@ -533,17 +529,17 @@ def s6_h5_h9_unique_names(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.size(names).alias("n"), trees.primary_name(F.lit(" "), F.split("url", "/")).alias("first"))
 
 
-@query("SELECT o_orderkey, l_quantity > 25 AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1")
+@query("SELECT o_orderkey, l_linenumber, l_quantity > 25 AS flag FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
 def u4_u6_row_map(spark, sf):
     def flag(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pc.greater(b.column(1), 25)], ["o_orderkey", "flag"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pc.greater(b.column(2), 25)], ["o_orderkey", "l_linenumber", "flag"])
 
-    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem").filter("l_linenumber = 1"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_quantity")
-    return rows.mapInArrow(flag, "o_orderkey long, flag boolean")
+    rows = table(spark, sf, "orders").join(table(spark, sf, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")
+    return rows.mapInArrow(flag, "o_orderkey long, l_linenumber int, flag boolean")
 
 
 def flagship(spark, sf):

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut_lineage
+
+__all__ = ["crc_bucket", "cut_lineage", "hash_fraction", "join_counted", "kept", "several_texts", "slices", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     """The named columns of one of the driver's tables."""
@@ -17,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it back.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session that
-    names none (a local test) gets one of its own.
-    """
-    sc = df.sparkSession.sparkContext
-    if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 #: A key is joined by broadcast if it has more than one row in so many.
 HOT_SHARE = 1000
 

@@ -150,10 +150,12 @@ def t17_fenced_parts(spark, sf):
     return _fenced(spark, sf).select("id", F.size(T.fenced_parts(F.col("content"))).alias("n_parts"))
 
 
-@query()
+@query("""WITH b AS (SELECT event_id AS id, CASE event_id % 5 WHEN 1 THEN '{"parts": [' || props || ', ' || props || ']}' WHEN 4 THEN NULL ELSE props END AS balanced FROM events)
+SELECT id, balanced, CAST(json(balanced) AS VARCHAR) AS parsed, CAST(id % 4 AS INTEGER) AS n_salvaged FROM b""")
 def t14_t15_t16_json_repair(spark, sf):
-    c = _fenced(spark, sf).withColumn("cut", F.concat(F.lit('{"qas":['), F.col("content"), F.lit(', {"a": "b')))
-    return c.select("id", S.balanced_json("content").alias("balanced"), F.to_json(F.try_parse_json(S.balanced_json("content"))).alias("parsed"), F.size(S.salvaged_items("cut")).alias("n_salvaged"))
+    items = F.array_join(F.expr("array_repeat(coalesce(balanced, '{}'), CAST(id % 4 AS INT))"), ", ")
+    c = _fenced(spark, sf).withColumn("balanced", S.balanced_json("content")).withColumn("cut", F.concat(F.lit('x {"qas" : ['), items, F.lit(', {"a": "b')))
+    return c.select("id", "balanced", F.to_json(F.try_parse_json("balanced")).alias("parsed"), F.size(S.salvaged_items("cut")).alias("n_salvaged"))
 
 
 NAMED = """SELECT doc_id AS id, CASE doc_id % 4
@@ -276,9 +278,20 @@ def t32_view_direction(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", T.view_direction(F.expr(_AZ).cast("double"), F.expr(_EL).cast("double")).alias("direction"))
 
 
-@query()
+@query(r"""WITH m AS (SELECT p_partkey, p_partkey % 6 AS k, CAST(p_size AS VARCHAR) AS n FROM part)
+SELECT p_partkey, CASE k WHEN 0 THEN n || '/4' WHEN 1 THEN '\sqrt' || n WHEN 2 THEN '.5' WHEN 3 THEN 'n=' || n || '\%' WHEN 5 THEN '\tfrac3{' || n || '}' END AS boxed,
+ CASE k WHEN 0 THEN '\frac{' || n || '}{4}' WHEN 1 THEN '\sqrt{' || substr(n, 1, 1) || '}' || substr(n, 2) WHEN 2 THEN '\frac{1}{2}' WHEN 3 THEN n WHEN 5 THEN '\frac{3}{' || n || '}' END AS plain,
+ CAST((k = 0 AND n = '3') OR (k = 5 AND n = '4') AS DOUBLE) AS equal FROM m""")
 def t33_t34_r7_math(spark, sf):
-    raw = F.concat(F.lit("x=\\boxed{\\dfrac"), F.col("p_size").cast("string").substr(1, 1), F.lit("{7}} and \\boxed{"), F.col("p_size"), F.lit("/"), F.lit("4}"))
+    k, n = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    raw = (
+        F.when(k == 0, F.concat(F.lit("x=\\boxed{\\dfrac"), n.substr(1, 1), F.lit("{7}} and \\boxed{"), n, F.lit("/4}")))
+        .when(k == 1, F.concat(F.lit("\\fbox{\\sqrt"), n, F.lit("}")))
+        .when(k == 2, F.lit("so $\\boxed .5$"))
+        .when(k == 3, F.concat(F.lit("\\boxed{n="), n, F.lit("\\%}")))
+        .when(k == 4, F.concat(n, F.lit(" \\text{ cm}")))
+        .otherwise(F.concat(F.lit("\\boxed{\\tfrac3{"), n, F.lit("}}")))
+    )
     got = table(spark, sf, "part").select("p_partkey", raw.alias("raw"))
     return got.select("p_partkey", S.boxed("raw").alias("boxed"), S.plain_math(S.boxed("raw")).alias("plain"), S.math_match(F.col("raw"), F.lit("\\frac{3}{4}")).alias("equal"))
 

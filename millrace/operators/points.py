@@ -100,7 +100,7 @@ def detection_metrics(boxes: DataFrame) -> DataFrame:
 
     def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for (image, category), one in pdf.sort_values("ord", kind="stable").groupby(["image_id", "category"], sort=False):
+        for (image, category), one in pdf.sort_values(["ord", "x", "y", "w", "h"]).groupby(["image_id", "category"], sort=False):
             gt, xywh = one["is_gt"].to_numpy(bool), one[["x", "y", "w", "h"]].to_numpy(float)
             crowd, scores, size = one["crowd"].to_numpy(bool)[gt], one["score"].to_numpy(float)[~gt], xywh[:, 2] * xywh[:, 3]
             done: dict = {}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import time
+from collections import OrderedDict
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
@@ -29,6 +30,27 @@ def retried(f: Callable, attempts: int = 8, base: float = 2.0, first: float = 1.
     return call
 
 
+def remembered(f: Callable, capacity: int, uses: int) -> Callable:
+    """``f`` with its last ``capacity`` distinct results; the one used longest ago goes first, and one given ``uses`` times is fetched anew.
+
+    Each task has its own memory.  Threads may fetch the same value at once.  Errors are not kept.
+    """
+    if capacity < 1 or uses < 1:
+        raise ValueError(f"capacity {capacity} and uses {uses} must be at least 1")
+    kept: OrderedDict = OrderedDict()
+
+    def call(x):
+        value, left = kept.pop(x, (None, 0))
+        if not left:
+            value, left = f(x), uses
+        kept[x] = (value, left - 1)
+        while len(kept) > capacity:
+            kept.popitem(last=False)
+        return value
+
+    return call
+
+
 def called(df: DataFrame, column: str, f: Callable[[str], str], out: str = "reply", workers: int = 8) -> DataFrame:
     """``df`` with ``out``: ``f`` of the column, ``workers`` calls of a task at once; null where a call fails for good.
 

@@ -102,8 +102,8 @@ def sc7_sc8_sc9_point_files(spark, sf):
 
 
 @query("SELECT doc_id, upper(lang) AS reply FROM documents")
-def u5_u7_u8_calls(spark, sf):
-    return calls.called(table(spark, sf, "documents").select("doc_id", "lang"), "lang", calls.retried(str.upper), workers=4).select("doc_id", "reply")
+def u5_u7_u8_u10_calls(spark, sf):
+    return calls.called(table(spark, sf, "documents").select("doc_id", "lang"), "lang", calls.remembered(calls.retried(str.upper), 2, 50), workers=4).select("doc_id", "reply")
 
 
 @query("SELECT user_id, event_type AS vote FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1")

@@ -148,3 +148,14 @@ def test_retries_pause_longer_each_time():
 def test_a_call_that_fails_gives_null(spark):
     df = spark.createDataFrame([("1",), ("x",)], "a string")
     assert {r["a"]: r["reply"] for r in calls.called(df, "a", lambda x: str(int(x) + 1)).collect()} == {"1": "2", "x": None}
+
+
+def test_remembered_results_go_by_use_and_by_age():
+    asked = []
+    f = calls.remembered(lambda x: asked.append(x) or x.upper(), 2, 3)
+    assert [f(x) for x in "aabac"] == list("AABAC") and asked == ["a", "b", "c"]  # b is the one used longest ago
+    assert f("a") == "A" and asked == ["a", "b", "c", "a"]  # given three times
+    assert f("b") == "B" and asked[-1] == "b" and f("a") == "A" and len(asked) == 5
+    assert calls.remembered(lambda x: None, 1, 9)(None) is None
+    with pytest.raises(ValueError, match="at least 1"):
+        calls.remembered(str, 0, 1)

@@ -128,13 +128,14 @@ def detection_metrics(boxes: DataFrame) -> DataFrame:
     return matched.groupBy("category", "area", "most").applyInPandas(curve, "category string, area string, most int, ap double, ap50 double, ap75 double, ar double")
 
 
-def distinct_top(rows: DataFrame, group: str, index: str, n: int, most_alike: float = 0.6) -> DataFrame:
-    """(group, index, rank): the best scored rows of each group that are not too alike."""
+def distinct_top(rows: DataFrame, group: str, index: str, n: int, most_alike: float = 0.6, defaults: list[list[float]] | None = None) -> DataFrame:
+    """(group, index, rank): the best scored rows of each group that are not too alike; ``defaults`` fill up, as rows -1, -2 and so on."""
+    extra = np.array(defaults or [], float)
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index")
-        at = kernels.distinct_top(pdf["score"].to_numpy(float), np.stack(pdf["vector"].to_numpy()).astype(float), n, most_alike)
-        return pd.DataFrame({"g": key[0], "index": pdf["index"].to_numpy()[at], "rank": np.arange(1, len(at) + 1)})
+        at = kernels.distinct_top(pdf["score"].to_numpy(float), np.stack(pdf["vector"].to_numpy()).astype(float), n, most_alike, extra)
+        return pd.DataFrame({"g": key[0], "index": [pdf["index"].iloc[i] if i >= 0 else i for i in at], "rank": np.arange(1, len(at) + 1)})
 
     rows = rows.select(F.col(group).cast("long").alias("g"), F.col(index).cast("long").alias("index"), "score", "vector")
     return rows.groupBy("g").applyInPandas(run, "g long, index long, rank long").withColumnsRenamed({"g": group, "index": index})
@@ -171,6 +172,7 @@ def mask_scores(pixels: DataFrame, view: str, part: str, height: int, width: int
 def principal(rows: DataFrame, vector: str, size: int, k: int = 3) -> DataFrame:
     """``df`` with ``pca``: the first ``k`` principal components, scaled to [0, 1] over the table.
 
+    Rows without a vector of ``size`` numbers, or whose numbers add up to 0, teach nothing and get 0.3.
     The covariance comes from sums of ``size``**2 numbers that each task makes of its rows, so only that moves and reaches the driver.
     """
 
@@ -183,7 +185,10 @@ def principal(rows: DataFrame, vector: str, size: int, k: int = 3) -> DataFrame:
             i, j = np.divmod(np.arange(size * size), size)
             yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(ab.ravel()), pa.array(a[i]), pa.array(np.full(size * size, n))], ["i", "j", "ab", "a", "n"])
 
-    parts = rows.select(F.col(vector).cast("array<double>").alias("v")).filter("v is not null").mapInArrow(products, "i long, j long, ab double, a double, n long")
+    v = F.col(vector).cast("array<double>")
+    numbers = (F.size(v) == size) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x))
+    valid = F.coalesce(numbers & (F.aggregate(v, F.lit(0.0), lambda s, x: s + x) != 0), F.lit(False))
+    parts = rows.filter(valid).select(v.alias("v")).mapInArrow(products, "i long, j long, ab double, a double, n long")
     sums = parts.groupBy("i", "j").agg(F.sum("ab").alias("ab"), F.sum("a").alias("a"), F.sum("n").alias("n")).collect()
     ab, a, n = np.zeros((size, size)), np.zeros(size), 1
     for r in sums:
@@ -192,8 +197,8 @@ def principal(rows: DataFrame, vector: str, size: int, k: int = 3) -> DataFrame:
     value, axes = np.linalg.eigh(ab / n - np.outer(mean, mean))
     axes = axes[:, np.argsort(-value)[:k]]
     axes *= np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(k)])
-    project = [F.aggregate(F.zip_with(vector, F.array(*map(F.lit, axes[:, c].tolist())), lambda x, y: x * y), F.lit(-float(mean @ axes[:, c])), lambda s, x: s + x).alias(f"__{c}") for c in range(k)]
+    project = [F.when(valid, F.aggregate(F.zip_with(v, F.array(*map(F.lit, axes[:, c].tolist())), lambda x, y: x * y), F.lit(-float(mean @ axes[:, c])), lambda s, x: s + x)).alias(f"__{c}") for c in range(k)]
     out = rows.select("*", *project)
     ends = out.agg(*[f(f"__{c}").alias(f"__{n}{c}") for c in range(k) for n, f in (("lo", F.min), ("hi", F.max))])
-    scaled = F.array(*[(F.col(f"__{c}") - F.col(f"__lo{c}")) / (F.col(f"__hi{c}") - F.col(f"__lo{c}") + 1e-6) for c in range(k)])
-    return out.crossJoin(F.broadcast(ends)).withColumn("pca", scaled).select(*rows.columns, "pca")
+    scaled = F.array(*[(F.col(f"__{c}") - F.col(f"__lo{c}")) / (F.col(f"__hi{c}") - F.col(f"__lo{c}") + 1e-8) for c in range(k)])
+    return out.crossJoin(F.broadcast(ends)).withColumn("pca", F.when(F.col("__0").isNotNull(), scaled).otherwise(F.array(*[F.lit(0.3)] * k))).select(*rows.columns, "pca")

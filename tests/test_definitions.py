@@ -44,7 +44,7 @@ def test_greedy_views(spark, small, embeddings):
         chosen, gains = [], []
         while len(chosen) < 6:
             covered = np.any([seen[c] for c in chosen], axis=0) if chosen else np.zeros(64, bool)
-            gain = {i: (seen[i] & ~covered).mean() + 0.25 * (i % 10 / 10) + 0.15 * (1 - max((cosine(at[i], at[c]) for c in chosen), default=0)) + 0.01 * seen[i].mean() for i in seen if i not in chosen}
+            gain = {i: (seen[i] & ~covered).mean() + 0.25 * (i % 10 / 10) + 0.15 * min(1, max(0, 1 - max((cosine(at[i], at[c]) for c in chosen), default=0))) + 0.01 * seen[i].mean() for i in seen if i not in chosen}
             best = max(gain.values())
             if chosen and best < max(0.1 * gains[0], 0.05):
                 break
@@ -140,3 +140,20 @@ def test_spread_is_the_mean_distance(spark, small, embeddings):
         x = np.stack(rows.embedding.to_numpy()).astype(float)
         assert mine[label] == pytest.approx(np.linalg.norm(x - x.mean(axis=0), axis=1).mean(), abs=1e-5)
     assert not math.isnan(mine.sum())
+
+
+def test_rows_without_numbers_have_no_part_in_the_components(spark):
+    rng = np.random.default_rng(2)
+    good = [[float(x) for x in v] for v in rng.normal(size=(30, 4)) * [4, 2, 1, 0.1] + 1]
+    bad = [None, [0.0] * 4, [1.0, -1.0, 2.0, -2.0], [float("nan")] * 4, [1.0, None, 1.0, 1.0], [1.0], []]
+    schema = "i long, v array<double>"
+    alone, mixed = ({r["i"]: r["pca"] for r in points.principal(spark.createDataFrame(list(enumerate(rows)), schema), "v", 4).collect()} for rows in (good, good + bad))
+    assert all(mixed[i] == pytest.approx(alone[i], abs=1e-6) for i in range(30))
+    assert all(mixed[i] == [0.3] * 3 for i in range(30, 37))
+    assert [r["pca"] for r in points.principal(spark.createDataFrame([(0, None)], schema), "v", 4).collect()] == [[0.3] * 3]
+
+
+def test_defaults_fill_up(spark):
+    rows = spark.createDataFrame([(1, 10, 2.0, [1.0, 0.0]), (1, 11, 1.0, [1.0, 0.1]), (2, 20, 1.0, [0.0, 1.0])], "g long, i long, score double, vector array<double>")
+    got_ = points.distinct_top(rows, "g", "i", 3, defaults=[[2.0, 0.0], [0.0, 1.0], [-1.0, 0.0]]).collect()
+    assert {(r["g"], r["i"], r["rank"]) for r in got_} == {(1, 10, 1), (1, -2, 2), (1, -3, 3), (2, 20, 1), (2, -1, 2), (2, -3, 3)}

@@ -346,10 +346,10 @@ def a11_coverage(spark, sf):
 
 
 @query("""WITH g AS (SELECT l_orderkey, count(*) AS n, sum(l_tax) AS a, sum(l_discount) AS b, stddev_samp(l_tax + l_discount) AS s FROM lineitem GROUP BY l_orderkey)
- SELECT round(sum(a) / sum(n), 6) AS l_tax, round(sum(b) / sum(n), 6) AS l_discount, round((sum(a) + sum(b)) / sum(n), 6) AS reward, round(avg(coalesce(s, 0)), 6) AS reward_std FROM g""")
+ SELECT round(sum(a) / sum(n), 9) AS l_tax, round(sum(b) / sum(n), 9) AS l_discount, round((sum(a) + sum(b)) / sum(n), 9) AS reward, round(avg(coalesce(s, 0)), 9) AS reward_std FROM g""")
 def a12_w2_function_means(spark, sf):
     got = reports.function_means(table(spark, sf, "lineitem"), ["l_orderkey"], ["l_tax", "l_discount"])
-    return got.select(*[rounded(F.col(c)).alias(c) for c in got.columns])
+    return got.select(*[rounded(F.col(c), 9).alias(c) for c in got.columns])
 
 
 @query("SELECT CAST(floor(event_id / 100) AS BIGINT) AS step, round(avg(value), 6) AS value FROM events GROUP BY 1")

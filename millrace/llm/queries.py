@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, exact_dedup, langid, licenses, ngram_join, substring_dedup, toxicity, warc
+from . import bpe, chat, conversation_repair, decontaminate, exact_dedup, langid, licenses, ngram_join, pieces, spelling, substring_dedup, toxicity, warc
 from .common import crc_bucket, table
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,8 +61,27 @@ def op10_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.audit(warc.archive(pages), warc.archive(warc.with_bit_rot(pages)))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.repair(conversation_repair.with_faults(turns), turns)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents", "doc_id", "text"), faults=97)
+
+
+ALL = (
+    op1_decontaminate, op2_ngram_join, op3_chat, op4_language, op5_toxicity, op6_exact_dedup, op7_licenses, op8_bpe, op9_substring_dedup, op10_warc_fixity,
+    op11_conversation_repair, op12_sentencepiece, op13_spelling_variants,
+)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_decontaminate, op2_ngram_join, op3_chat, op4_language, op5_toxicity, op6_exact_dedup, op7_licenses, op8_bpe, op9_substring_dedup, op10_warc_fixity)}
+    return {f.__name__: f for f in ALL}
 
 
 OP3_SQL = """

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Types as objects: workers import this module without a session that could parse their names.
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
-from . import kernels
+from . import algebra, json_repair, kernels
 from . import text as T
 
 
@@ -28,6 +28,13 @@ def plain_math(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else kernels.plain_math(x))
 
 
+@F.pandas_udf(StringType())
+def math_form(a: pd.Series) -> pd.Series:
+    """The canonical form of a mathematical answer, null if it has none; each distinct answer of a batch is put into it once."""
+    forms = {x: algebra.math_form(x) for x in a.unique()}
+    return a.map(forms.get)
+
+
 @F.pandas_udf(StringType())
 def boxed(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else kernels.boxed(x))
@@ -38,6 +45,12 @@ def balanced_json(a: pd.Series) -> pd.Series:
     return a.map(lambda x: None if x is None else kernels.balanced_json(x))
 
 
+@F.pandas_udf(StringType())
+def repaired_json(a: pd.Series) -> pd.Series:
+    """The JSON value that a text was meant to be; valid JSON stays as it is, null if nothing opens a value."""
+    return a.map(lambda x: None if x is None else json_repair.repair_json(x))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def salvaged_items(a: pd.Series) -> pd.Series:
     return a.map(lambda x: [] if x is None else kernels.salvaged_items(x))
@@ -106,19 +119,31 @@ def yes_no(content: Column, solution: Column) -> Column:
     return (a == b).cast("double")
 
 
+def math_key(c: Column) -> Column:
+    """What tells an answer from others: its canonical form, or its plain spelling if it has none."""
+    answer = F.coalesce(boxed(c), c)
+    return F.coalesce(math_form(answer), F.concat(F.lit("text "), plain_math(answer)))
+
+
+def _same_form(a: Column, b: Column) -> Column:
+    return F.coalesce(math_form(a) == math_form(b), F.lit(False))
+
+
 def math_match(content: Column, solution: Column) -> Column:
-    """1 if both boxed answers, or texts, have the same plain spelling; symbolic equality is not decided."""
-    a, b = (plain_math(F.coalesce(boxed(c), c)) for c in (T.clean_answer(content), T.clean_answer(solution)))
-    return (a == b).cast("double")
+    """1 if both boxed answers, or texts, have the same plain spelling or the same canonical form."""
+    a, b = (F.coalesce(boxed(c), c) for c in (T.clean_answer(content), T.clean_answer(solution)))
+    raw = (F.coalesce(boxed(c), c) for c in (T.first_answer(content), T.first_answer(solution)))
+    return ((plain_math(a) == plain_math(b)) | _same_form(*raw)).cast("double")
 
 
 def default_accuracy(content: Column, solution: Column) -> Column:
-    """By kind of truth: a number, a choice, or text compared by the indel ratio.  Equal answers score 1 at once."""
+    """By kind of truth: a value, a number, a choice, or text compared by the indel ratio.  Equal answers, and answers of equal canonical form, score 1 at once."""
     truth, said = T.first_answer(solution, across_lines=False), T.last_answer(content)
     near = indel_ratio(T.clean_answer(said), T.clean_answer(truth))
     chosen = T.choice(truth)
     return (
         F.when(said == truth, 1.0)
+        .when(_same_form(F.coalesce(boxed(said), said), F.coalesce(boxed(truth), truth)), 1.0)
         .when(truth.rlike(r"\d"), F.coalesce(numeric(said, truth), near))
         .when(chosen.isNotNull(), _or((T.choice(said) == chosen).cast("double"), 0.0))
         .otherwise(near)

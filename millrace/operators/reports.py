@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import scoring
+
 #: US dollars for 1,000 prompt and completion tokens.
 PRICES = {
     "gpt-3.5-turbo-0613": (0.0015, 0.002), "gpt-3.5-turbo-1106": (0.0010, 0.002), "gpt-4-0613": (0.03, 0.06),
@@ -127,3 +129,17 @@ def best_example(df: DataFrame, category: str, truth: str, said: str, item: str,
     best = W.partitionBy(category).orderBy(F.desc("n"), truth, said)
     sizes = df.groupBy(F.col(category).alias("__c")).agg(F.count(F.lit(1)).alias("__size")).orderBy(F.desc("__size"), "__c").limit(top)
     return pairs.withColumn("__rank", F.row_number().over(best)).filter("__rank = 1").join(F.broadcast(sizes), F.col(category) == F.col("__c")).drop("__rank", "__c", "__size")
+
+
+def answer_votes(df: DataFrame, keys: list[str], answer: str) -> DataFrame:
+    """The votes for each mathematical answer of a group: ``keys``, ``form``, ``votes``, ``spellings``, ``rank``.
+
+    Answers count as one if they have one canonical form, or, where they have
+    none, one plain spelling.  Rows are reduced to distinct answers before they
+    are put into forms, so a common answer is parsed once and moved once a task.
+    ``rank`` is 1 for the form with most votes, of equals the smallest form.  A
+    null answer has the form null.
+    """
+    distinct = df.groupBy(*keys, F.col(answer).alias("said")).agg(F.count(F.lit(1)).alias("votes"))
+    forms = distinct.groupBy(*keys, scoring.math_key(F.col("said")).alias("form")).agg(F.sum("votes").alias("votes"), F.count("said").alias("spellings"))
+    return forms.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("votes"), F.asc_nulls_last("form"))))

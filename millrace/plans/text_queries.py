@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as S
 from ..functions import text as T
+from ..operators import reports
 from .base import BOXES, COMPLETIONS, JUDGED, boxes, completions, derived, judged, query, rounded, table
 
 C = f"WITH c AS ({COMPLETIONS}), "
@@ -278,6 +279,24 @@ def t32_view_direction(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", T.view_direction(F.expr(_AZ).cast("double"), F.expr(_EL).cast("double")).alias("direction"))
 
 
+#: Objects as a model may have written them, in eight ways.
+BROKEN = """
+SELECT event_id AS id, props, CASE event_id % 8 WHEN 0 THEN props WHEN 1 THEN substring(props, 1, length(props) - 1) WHEN 2 THEN replace(props, '"', chr(39)) WHEN 3 THEN replace(replace(props, '"', ''), '}', ',}')
+  WHEN 4 THEN concat('Here: ', props, ' done}') WHEN 5 THEN replace(props, ':', '') WHEN 6 THEN replace(props, '}', ' /* n */, "s": "it is "so" there", flag: True, rest: [1, 2')
+  ELSE concat('[', props, ' ', substring(props, 1, length(props) - 1)) END AS broken
+FROM events
+"""
+
+
+@query(f"""WITH b AS (SELECT id, CAST(json(props) AS VARCHAR) AS good FROM ({BROKEN}) AS t)
+SELECT id, CASE id % 8 WHEN 6 THEN replace(good, '}}', ',"s":"it is \\"so\\" there","flag":true,"rest":[1,2]}}') WHEN 7 THEN '[' || good || ',' || good || ']' ELSE good END AS repaired FROM b""")
+def t16_repaired_json(spark, sf):
+    c = derived(spark, sf, BROKEN, "events")
+    order = F.from_json(S.repaired_json("broken"), "struct<k:bigint,s:string,flag:boolean,rest:array<int>>")
+    both = F.from_json(S.repaired_json("broken"), "array<struct<k:bigint>>")
+    return c.select("id", F.when(F.col("id") % 8 == 7, F.to_json(both)).otherwise(F.to_json(order)).alias("repaired"))
+
+
 @query(r"""WITH m AS (SELECT p_partkey, p_partkey % 6 AS k, CAST(p_size AS VARCHAR) AS n FROM part)
 SELECT p_partkey, CASE k WHEN 0 THEN n || '/4' WHEN 1 THEN '\sqrt' || n WHEN 2 THEN '.5' WHEN 3 THEN 'n=' || n || '\%' WHEN 5 THEN '\tfrac3{' || n || '}' END AS boxed,
  CASE k WHEN 0 THEN '\frac{' || n || '}{4}' WHEN 1 THEN '\sqrt{' || substr(n, 1, 1) || '}' || substr(n, 2) WHEN 2 THEN '\frac{1}{2}' WHEN 3 THEN n WHEN 5 THEN '\frac{3}{' || n || '}' END AS plain,
@@ -296,6 +315,22 @@ def t33_t34_r7_math(spark, sf):
     return got.select("p_partkey", S.boxed("raw").alias("boxed"), S.plain_math(S.boxed("raw")).alias("plain"), S.math_match(F.col("raw"), F.lit("\\frac{3}{4}")).alias("equal"))
 
 
+#: A quotient of each line in six spellings.
+ANSWERS = r"""
+SELECT l_suppkey, q, n, CASE k WHEN 0 THEN concat('\boxed{\frac{', qs, '}{', ns, '}}') WHEN 1 THEN concat(qs, '/', ns) WHEN 2 THEN concat('\dfrac{', CAST(2 * q AS STRING), '}{', CAST(2 * n AS STRING), '}')
+  WHEN 3 THEN concat('x = ', qs, ' \cdot ', ns, '^{-1}') WHEN 4 THEN concat('\frac{', CAST(100 * q AS STRING), '}{', ns, '}\%') ELSE concat('\sqrt{\frac{', CAST(q * q AS STRING), '}{', CAST(n * n AS STRING), '}}') END AS answer
+FROM (SELECT l_suppkey, CAST(l_quantity AS INT) AS q, l_linenumber AS n, l_orderkey % 6 AS k, CAST(CAST(l_quantity AS INT) AS STRING) AS qs, CAST(l_linenumber AS STRING) AS ns FROM lineitem) AS t
+"""
+
+
+@query(f"""WITH a AS (SELECT l_suppkey, CASE WHEN n = gcd(q, n) THEN CAST(q // gcd(q, n) AS VARCHAR) ELSE (q // gcd(q, n)) || '/' || (n // gcd(q, n)) END AS form, answer FROM ({ANSWERS}) AS t),
+v AS (SELECT l_suppkey, form, count(*) AS votes, count(DISTINCT answer) AS spellings FROM a GROUP BY l_suppkey, form)
+SELECT *, CAST(row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, form) AS INTEGER) AS rank FROM v""")
+def r7_answer_votes(spark, sf):
+    escaped = ANSWERS.replace("\\", "\\\\")  # Spark reads escapes in texts
+    return reports.answer_votes(derived(spark, sf, escaped, "lineitem"), ["l_suppkey"], "answer")
+
+
 @query(rf"WITH c AS ({COMPLETIONS}) SELECT id, CAST(len({_words('content')}) AS INTEGER) AS words, CAST(len(regexp_extract_all(content, '[.!?]')) AS INTEGER) AS marks FROM c")
 def t35_counts(spark, sf):
     c = F.col("content")

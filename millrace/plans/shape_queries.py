@@ -6,8 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..operators import groups, joins, points as P, reports, sampling, trees
-from .base import POINTS_SQL, TREE, boxes, derived, points, query, rounded, table
+from ..operators import groups, joins, points as P, reports, sampling, trees, views as V
+from .base import POINTS_SPARK, POINTS_SQL, TREE, boxes, derived, points, query, rounded, table
 
 PTS = f"WITH p AS ({POINTS_SQL}) "
 
@@ -169,6 +169,64 @@ def g21_g22_a27_mask_scores(spark, sf):
     return got.select("view", rounded(F.col("connectivity")).alias("connectivity"), rounded(F.col("separation")).alias("separation"))
 
 
+#: Objects that do not grow with the table, of three parts, and six places to look from.
+VIEWED = "SELECT CAST(object_id * 100000 + floor(point_id / 250) AS BIGINT) AS object_id, point_id, point_id % 3 AS part, 4 * x AS x, 4 * y AS y, 4 * z AS z, 1.0 + point_id % 4 AS weight FROM ({0}) AS t"
+EYES = "SELECT * FROM (VALUES (0, 0.0, 0.0, 5.0), (1, 0.0, 0.0, -5.0), (2, 5.0, 0.0, 0.0), (3, -3.0, 1.0, 4.0), (4, 1.0, -4.0, 3.0), (5, 0.0, 5.0, 0.0)) AS e(view, x, y, z)"
+#: Side and focal length of the image, radius of discs.
+IMAGE, FOCAL, RADIUS = 64, 60.0, 2
+
+
+def _views(spark, sf):
+    """The points of each object, and its views."""
+    p = derived(spark, sf, VIEWED.format(POINTS_SPARK), "embeddings").withColumn("weight", F.col("weight").cast("double"))
+    eyes = spark.sql(EYES).select("view", *[F.col(c).cast("double") for c in "xyz"])
+    return p, p.select("object_id").distinct().crossJoin(F.broadcast(eyes))
+
+
+def _visible(spark, sf):
+    p, eyes = _views(spark, sf)
+    return V.visible_points(V.placed(p, eyes, FOCAL, IMAGE), RADIUS, IMAGE)
+
+
+@query(f"""WITH p AS ({VIEWED.format(POINTS_SQL)}), e AS (SELECT view, x::DOUBLE AS ex, y::DOUBLE AS ey, z::DOUBLE AS ez FROM ({EYES}) AS t),
+f AS (SELECT *, (0 - ex) / sqrt(ex*ex + ey*ey + ez*ez) AS fx, (0 - ey) / sqrt(ex*ex + ey*ey + ez*ez) AS fy, (0 - ez) / sqrt(ex*ex + ey*ey + ez*ez) AS fz FROM e),
+l AS (SELECT *, sqrt(fz*fz + fx*fx) AS rl FROM f), r AS (SELECT *, CASE WHEN rl < 1e-6 THEN 1.0 ELSE -fz / rl END AS rx, CASE WHEN rl < 1e-6 THEN 0.0 ELSE fx / rl END AS rz FROM l),
+c AS (SELECT *, -rz * fy AS ux, rz * fx - rx * fz AS uy, rx * fy AS uz FROM r),
+m AS (SELECT *, -(rx*ex + rz*ez) AS ro, -(ux*ex + uy*ey + uz*ez) AS uo, -(fx*ex + fy*ey + fz*ez) AS fo FROM c),
+a AS (SELECT object_id, view, point_id, part, rx*x + rz*z + ro AS px, ux*x + uy*y + uz*z + uo AS py, fx*x + fy*y + fz*z + fo AS pz FROM p CROSS JOIN m),
+s AS (SELECT object_id, view, point_id, part, CAST(floor({FOCAL} * px / pz + {IMAGE / 2}) AS INTEGER) AS col, CAST(floor({FOCAL} * py / pz + {IMAGE / 2}) AS INTEGER) AS row, abs(pz) AS depth FROM a
+  WHERE pz > 0 AND {FOCAL} * px / pz + {IMAGE / 2} >= 0 AND {FOCAL} * px / pz + {IMAGE / 2} < {IMAGE} AND {FOCAL} * py / pz + {IMAGE / 2} >= 0 AND {FOCAL} * py / pz + {IMAGE / 2} < {IMAGE}),
+d AS (SELECT y, x FROM range(-{RADIUS}, {RADIUS} + 1) t1(y), range(-{RADIUS}, {RADIUS} + 1) t2(x) WHERE y * y + x * x <= {RADIUS * RADIUS}),
+n AS (SELECT object_id, view, row + y AS row, col + x AS col, min(depth) AS near FROM s, d GROUP BY ALL),
+v AS (SELECT s.* FROM s JOIN n USING (object_id, view, row, col) WHERE depth - near <= 0.02 * depth),
+k AS (SELECT DISTINCT object_id, view, part, row + y AS row, col + x AS col FROM v, d WHERE row + y BETWEEN 0 AND {IMAGE - 1} AND col + x BETWEEN 0 AND {IMAGE - 1})
+SELECT object_id, view, part, count(*) AS pixels, CAST(sum(row) AS BIGINT) AS rows, CAST(sum(col) AS BIGINT) AS cols FROM k GROUP BY object_id, view, part""")
+def g21_part_pixels(spark, sf):
+    k = V.part_pixels(_visible(spark, sf), RADIUS, IMAGE)
+    return k.groupBy("object_id", "view", "part").agg(F.count(F.lit(1)).alias("pixels"), F.sum("row").alias("rows"), F.sum("col").alias("cols"))
+
+
+def _candidates(spark, sf):
+    p, eyes = _views(spark, sf)
+    return p, eyes, V.view_candidates(V.visible_points(V.placed(p, eyes, FOCAL, IMAGE), RADIUS, IMAGE), V.part_pairs(p), RADIUS, IMAGE)
+
+
+@query()
+def g21_g22_a27_view_scores(spark, sf):
+    _, _, c = _candidates(spark, sf)
+    return c.select("object_id", "view", rounded(F.col("overall")).alias("overall"), rounded(F.col("separation")).alias("separation"), rounded(F.col("connectivity")).alias("connectivity"), F.to_json("shown").alias("shown"))
+
+
+@query()
+def l15_chosen_views(spark, sf):
+    p, eyes, c = _candidates(spark, sf)
+    # Parts far from the others are easy to tell apart.
+    pairs = V.part_pairs(p)
+    both = pairs.select("object_id", F.col("a").alias("part"), "confusion").unionByName(pairs.select("object_id", F.col("b").alias("part"), "confusion"))
+    hard = both.groupBy("object_id", "part").agg(F.max("confusion").alias("weight"))
+    return V.chosen_views(c, eyes, hard, 4).withColumn("gain", rounded(F.col("gain")))
+
+
 @query()
 def g23_principal(spark, sf):
     got = P.principal(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", 64)

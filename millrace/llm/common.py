@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators.lineage import cut_lineage
 
-__all__ = ["crc_bucket", "cut_lineage", "hash_fraction", "join_counted", "kept", "several_texts", "slices", "table"]
+__all__ = ["crc_bucket", "cut_lineage", "hash_fraction", "join_counted", "kept", "several_texts", "slices", "table", "unused"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
@@ -20,6 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or the next longer one that no column of ``df`` has, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: A key is joined by broadcast if it has more than one row in so many.
 HOT_SHARE = 1000
 

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -61,10 +63,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Where rows repeat an id, the one that stays is told by its text as well; of
     rows that repeat both, any one stays.
     """
-    stays = _groups(docs, id_col, text_col, F.md5).select(F.col("keep_id").alias("__id"), F.col("s").alias("__s"), F.col("most").alias("__most"))
-    same_id = F.col(id_col).cast("long").eqNullSafe(F.col("__id"))
-    if docs.groupBy(id_col).count().filter("count > 1").isEmpty():
-        return docs.join(stays, same_id, "left_semi")
-    told = docs.withColumns({"__text": F.sha2(squeezed(F.col(text_col)), 256), "__n": _length(F.col(text_col))})
-    left = told.join(stays, same_id & (F.col("__text") == F.col("__s")) & (F.col("__n") == F.col("__most")), "left_semi")
-    return left.dropDuplicates(["__text"]).select(*docs.columns)
+    stays = _groups(docs, id_col, text_col, F.md5).select("keep_id", "s", "most")
+    if docs.groupBy(F.col(id_col).cast("long").alias("id")).count().filter("count > 1").isEmpty():
+        # Only the right side's columns have other names, so no column of the rows is touched.
+        keep = unused(docs, "keep_id")
+        return docs.join(stays.select(F.col("keep_id").alias(keep)), F.col(id_col).cast("long").eqNullSafe(F.col(keep)), "left_semi")
+    names = {c: unused(docs, c) for c in ("keep_id", "s", "most", "digest", "length")}
+    right = stays.select(*[F.col(c).alias(names[c]) for c in ("keep_id", "s", "most")])
+    told = docs.withColumns({names["digest"]: F.sha2(squeezed(F.col(text_col)), 256), names["length"]: _length(F.col(text_col))})
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(names["keep_id"])) & (F.col(names["digest"]) == F.col(names["s"])) & (F.col(names["length"]) == F.col(names["most"]))
+    return told.join(right, same, "left_semi").dropDuplicates([names["digest"]]).drop(names["digest"], names["length"])

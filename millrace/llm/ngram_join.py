@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, join_counted, several_texts, slices
+from .common import cut_lineage, join_counted, several_texts, slices, unused
 from .components import components
 from .tokens import mix, seeds, shingles, words
 
@@ -279,9 +279,10 @@ def keep_one(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     several = several_texts(rows)
     if several.isEmpty():
-        gone = _similar(rows, n, threshold).filter(F.col("class_id") != F.col("id")).select(F.col("id").alias("__gone"))
-        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    gone = _by_text(rows, several, n, threshold).filter(F.col("first.node") != F.col("node")).select(F.col("node").alias("__gone")).distinct()
-    marked = docs.join(several.withColumnRenamed("of", "__of"), F.col(id_col).cast("long") == F.col("__of"), "left")
-    node = F.when(F.col("__of").isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).otherwise(F.col(id_col).cast("long"))
-    return marked.withColumn("__node", node).join(gone, F.col("__node") == F.col("__gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+        gone = _similar(rows, n, threshold).filter(F.col("class_id") != F.col("id")).select(F.col("id").alias(unused(docs, "gone")))
+        return docs.join(gone, F.col(id_col).cast("long") == F.col(gone.columns[0]), "left_anti")
+    of, node, gone_name = (unused(docs, c) for c in ("of", "node", "gone"))
+    gone = _by_text(rows, several, n, threshold).filter(F.col("first.node") != F.col("node")).select(F.col("node").alias(gone_name)).distinct()
+    marked = docs.join(several.withColumnRenamed("of", of), F.col(id_col).cast("long") == F.col(of), "left")
+    number = F.when(F.col(of).isNotNull(), F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))).otherwise(F.col(id_col).cast("long"))
+    return marked.withColumn(node, number).join(gone, F.col(node) == F.col(gone_name), "left_anti").drop(of, node)

@@ -145,29 +145,62 @@ def _pairs(block: Block, w: Words, coverage: float) -> Iterator[tuple[int, int,
     """(text, item, words covered, words of the item, coverage, tiles) of the pairs that reach the coverage."""
     for k in block.sizes():
         for key in _candidates(block, w, k):
-            cuts = np.flatnonzero(np.any(key[1:, :2] != key[:-1, :2], axis=1)) + 1
-            for part in np.split(key, cuts):
-                d, i = int(part[0, 0]), int(part[0, 1])
-                size = int(block.at[i + 1] - block.at[i])
-                if min(size, block.k) != k:
-                    continue
-                places = part[:, 2]
-                bound = k + np.minimum(np.diff(places), k).sum()
-                if bound < coverage * size:
-                    continue
+            first = np.flatnonzero(np.concatenate([[True], np.any(key[1:, :2] != key[:-1, :2], axis=1)]))
+            # What the seeds of a pair can cover at most, for all pairs at once; only those that can reach the coverage are tiled.
+            gap = np.minimum(np.diff(key[:, 2], prepend=0), k)
+            gap[first] = k
+            bound = np.add.reduceat(gap, first)
+            owner = key[first, 1]
+            size = block.at[owner + 1] - block.at[owner]
+            for at in np.flatnonzero((np.minimum(size, block.k) == k) & (bound >= coverage * size)):
+                d, i = int(key[first[at], 0]), int(owner[at])
+                size_i = int(size[at])
                 test, text = block.words[block.at[i] : block.at[i + 1]], w.hash[w.at[d] : w.at[d + 1]]
                 tiles = tile(test, text, k)
                 covered = sum(t[2] for t in tiles)
-                if covered >= coverage * size:
-                    yield d, i, covered, size, covered / size, tiles
+                if covered >= coverage * size_i:
+                    yield d, i, covered, size_i, covered / size_i, tiles
 
 
-def blocks(tests: DataFrame, id_col: str, text_col: str, most: int) -> Iterator[DataFrame]:
-    """The test items in parts of about ``most`` bytes by a hash of the item; the parts are checked before they are collected."""
-    total = tests.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    parts = max(1, math.ceil(total / most))
-    for k in range(parts):
-        yield tests.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(parts)) == k) if parts > 1 else tests
+#: Parts by hash that a block is made of, about.
+PARTS = 16
+
+
+def distinct_items(tests: DataFrame, test_id: str, test_text: str) -> DataFrame:
+    """item_id, item_text, copies: each test item once; null texts are left out."""
+    items = tests.select(F.col(test_id).cast("long").alias("item_id"), F.col(test_text).alias("item_text")).filter("item_text is not null")
+    return items.groupBy("item_id", "item_text").agg(F.count(F.lit(1)).alias("copies"))
+
+
+def blocks(items: DataFrame, most: int) -> Iterator[DataFrame]:
+    """Distinct items in blocks of at most ``most`` bytes of text, or one item if that is longer.
+
+    Items are dealt into parts by a hash, the parts are measured, and a part
+    goes into the block before if both fit; a part that is too large by itself
+    is dealt again by another hash.
+    """
+    def dealt(rows: DataFrame, total: int, salt: int) -> Iterator[tuple[DataFrame, int]]:
+        parts = PARTS * math.ceil(total / most)
+        place = F.pmod(F.xxhash64("item_id", "item_text", F.lit(salt)), F.lit(parts))
+        sizes = rows.groupBy(place.alias("part")).agg(F.sum(F.octet_length("item_text")).alias("size"), F.count(F.lit(1)).alias("n")).collect()
+        held, size = [], 0
+        for r in sorted(sizes, key=lambda r: r["part"]):
+            if r["size"] > most and r["n"] > 1:
+                yield from dealt(rows.filter(place == r["part"]), r["size"], salt + 1)
+                continue
+            if held and size + r["size"] > most:
+                yield rows.filter(place.isin(held)), size
+                held, size = [], 0
+            held.append(r["part"])
+            size += r["size"]
+        if held:
+            yield rows.filter(place.isin(held)), size
+
+    total = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    if total <= most:
+        yield items
+    else:
+        yield from (part for part, _ in dealt(items, total, 0))
 
 
 def leaks(
@@ -186,17 +219,21 @@ def leaks(
     give their rows.  Extra columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    items = tests.select(F.col(test_id).cast("long").alias("item_id"), F.col(test_text).alias("item_text")).filter("item_text is not null")
+    items = distinct_items(tests, test_id, test_text)
     sc, found = docs.sparkSession.sparkContext, None
-    for part in blocks(items, "item_id", "item_text", block_bytes):
+    for part in blocks(items, block_bytes):
         got = part.orderBy("item_id", "item_text").toArrow()
-        shared = sc.broadcast((got.column("item_id").to_pylist(), got.column("item_text").to_pylist()))
+        shared = sc.broadcast(tuple(got.column(c).to_pylist() for c in ("item_id", "item_text", "copies")))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            block = Block(*shared.value, min_match)
+            *items, copies = shared.value
+            block = Block(*items, min_match)
             for b in slices(batches, "text"):
                 ids = b.column("id").to_pylist()
-                out = [(ids[d], block.ids[i], c, n, share, [{"item_at": x, "doc_at": y, "words": z} for x, y, z in sorted(tiles)]) for d, i, c, n, share, tiles in _pairs(block, words(b.column("text")), coverage)]
+                out = [
+                    (ids[d], block.ids[i], c, n, share, [{"item_at": x, "doc_at": y, "words": z} for x, y, z in sorted(tiles)])
+                    for d, i, c, n, share, tiles in _pairs(block, words(b.column("text")), coverage) for _ in range(copies[i])
+                ]
                 cols = list(zip(*out, strict=True)) or [()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _TYPES, strict=True)], ["id", "item_id", "covered", "item_words", "coverage", "spans"])
 
@@ -210,9 +247,8 @@ _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.list_
 
 def drop_leaks(docs: DataFrame, tests: DataFrame, min_match: int = MIN_MATCH, coverage: float = COVERAGE, text_col: str = "text", test_id: str = "item_id", test_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no test item, with all their columns; each block of items filters what the one before left."""
-    items = tests.select(F.col(test_id).cast("long").alias("item_id"), F.col(test_text).alias("item_text")).filter("item_text is not null")
     sc = docs.sparkSession.sparkContext
-    for part in blocks(items, "item_id", "item_text", block_bytes):
+    for part in blocks(distinct_items(tests, test_id, test_text), block_bytes):
         got = part.orderBy("item_id", "item_text").toArrow()
         shared = sc.broadcast((got.column("item_id").to_pylist(), got.column("item_text").to_pylist()))
 

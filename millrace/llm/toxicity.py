@@ -14,7 +14,7 @@ from .tokens import mix, seeds, words
 
 #: Hash space of the features.
 BITS = 20
-#: Labelled rows that the weights are learned from, about; they are chosen by a hash of their id.
+#: Labelled rows that the weights are learned from, about, and an eighth more at most; they are chosen by a hash of id and text.
 ROWS = 12000
 #: Features of those rows that reach the driver, at most; with more, fewer rows are learned from.
 FEATURES = 1 << 25
@@ -75,11 +75,14 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int =
     """Weights from about ``rows`` of the labelled documents, whole texts.
 
     ``labels`` (doc_id, toxic): rows with a null in either column teach nothing;
-    a document with several labels counts as toxic if one says so.  The rows are
-    chosen by a hash of the id among all labelled ones, so the ids that are
-    broadcast are bounded by ``rows``.  Of these, rows in the order of that hash
-    are learned from while they have ``features`` features in all, at most, so
-    what reaches the driver is bounded also when texts are very long.  Without labelled rows the weights are empty and the bias is 0.
+    a document with several labels counts as toxic if one says so.  The ids are
+    chosen by a hash among all labelled ones, so those that are broadcast are
+    bounded by ``rows``.  Each text of an id teaches once, however often it
+    stands there.  Texts are learned from in the order of a hash of id and text
+    while they are no more than an eighth over ``rows`` and have ``features``
+    features in all, so what reaches the driver is bounded also when ids repeat
+    and texts are very long.  Without labelled rows the weights are empty and
+    the bias is 0.
     """
     usable = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").alias("id"), "toxic")
     total = usable.count()
@@ -87,19 +90,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, features: int =
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
     # A bound on ids holds for the broadcast: the share is of all labelled rows.
     chosen = usable.filter(hash_fraction("id") < rows / total).groupBy("id").agg((F.max("toxic") > 0).cast("double").alias("y"))
-    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "y")
+    joined = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("id", "text", "y", F.xxhash64("text").alias("t"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             value, at = text_features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.int32()))], ["id", "y", "x"])
-
-    made = cut_lineage(joined.mapInArrow(extract, "id long, y double, x array<int>").withColumn("place", hash_fraction("id")))
-    sizes = made.select("place", F.size("x").alias("n")).toPandas().sort_values("place")
-    beyond = sizes["place"][sizes["n"].cumsum() > features]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), b.column("y"), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(value, pa.int32()))], ["id", "t", "y", "x"])
+
+    made = cut_lineage(joined.mapInArrow(extract, "id long, t long, y double, x array<int>").withColumn("place", hash_fraction("id", "t")))
+    if not made.groupBy("id", "t").count().filter("count > 1").isEmpty():
+        made = cut_lineage(made.dropDuplicates(["id", "t"]))
+    most = rows + rows // 8
+    sizes = made.select("place", "id", "t", F.size("x").alias("n")).orderBy("place", "id", "t").limit(most + 1).toPandas()
+    beyond = sizes["place"][(sizes["n"].cumsum() > features) | (sizes.index >= most)]
     if len(beyond):
         made = made.filter(F.col("place") < float(beyond.iloc[0]))
-    got = made.drop("place").toArrow().sort_by("id").combine_chunks()
+    got = made.drop("place").toArrow().sort_by([("id", "ascending"), ("t", "ascending")]).combine_chunks()
     if not got.num_rows:
         return np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0
     lists = got.column("x").combine_chunks()

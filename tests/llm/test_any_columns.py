@@ -25,3 +25,21 @@ def test_columns_with_any_name_keep_their_values(spark, stage, repeated):
     for r in got.collect():
         assert all(r[c] == f"{c}: {r['text']}" for c in NAMES)
     assert 0 < got.count() < len(pairs)
+
+
+def test_repeated_labelled_ids_stay_within_the_bounds(spark, monkeypatch):
+    from millrace.llm import toxicity
+
+    # Three ids, each with a hundred rows of four texts, and one id whose texts go beyond the features.
+    rows = [(i, f"{'bad' if i == 1 else 'good'} words number {k % 4} of {i}") for i in (1, 2, 3) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (3, 0)], "doc_id long, toxic int")
+    learned = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda x, y: learned.append((len(x), sum(map(len, x)), y.sum())) or (x, y, 0.0))
+    toxicity.train(docs, labels, rows=12)
+    assert learned[-1][0] == 12 and learned[-1][2] == 4
+    toxicity.train(docs, labels, rows=8)
+    assert learned[-1][0] <= 9
+    toxicity.train(docs, labels, rows=12, features=60)
+    # Some texts of an id go, not the id: what is left is below the bound but not empty.
+    assert 0 < learned[-1][1] <= 60

@@ -68,6 +68,20 @@ def overlap_scores(truth: pd.Series, said: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=OVERLAP_SCORES)
 
 
+@F.pandas_udf(DoubleType())
+def meteor(truth: pd.Series, said: pd.Series, synsets: pd.Series) -> pd.Series:
+    """METEOR with stems, and synonyms from an array of (word, synset); null for a null text."""
+    def one(t, s, pairs):
+        if t is None or s is None:
+            return None
+        sets: dict[str, list] = {}
+        for p in pairs if pairs is not None else ():
+            sets.setdefault(p["word"], []).append(p["synset"])
+        return kernels.meteor(t.split(), s.split(), sets)
+
+    return pd.Series([one(*x) for x in zip(truth, said, synsets, strict=True)], dtype="float64")
+
+
 _BOXES = "array<struct<bbox_2d:array<double>,label:string>>"
 
 

@@ -143,3 +143,25 @@ def answer_votes(df: DataFrame, keys: list[str], answer: str) -> DataFrame:
     distinct = df.groupBy(*keys, F.col(answer).alias("said")).agg(F.count(F.lit(1)).alias("votes"))
     forms = distinct.groupBy(*keys, scoring.math_key(F.col("said")).alias("form")).agg(F.sum("votes").alias("votes"), F.count("said").alias("spellings"))
     return forms.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("votes"), F.asc_nulls_last("form"))))
+
+
+def meteor(df: DataFrame, truth: str, said: str, synonyms: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``meteor``; ``synonyms`` (word, synset), words in lower case, is joined to the words that rows have.
+
+    Rows with equal texts are scored once.  Synsets of a row's words are
+    gathered beside its digest, so the table of synonyms may be of any size and
+    no text is exploded more than once.  A null text has no score.
+    """
+    names = {"said": "__said", "truth": "__truth"}
+    pairs = df.select(F.col(truth).alias("truth"), F.col(said).alias("said")).distinct().withColumn("key", F.sha2(F.to_json(F.struct("truth", "said")), 256))
+    none = F.lit(None).cast("array<struct<word:string,synset:string>>")
+    if synonyms is None:
+        known = pairs.withColumn("synsets", none)
+    else:
+        words = pairs.select("key", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "truth", "said")), r"\s+"))).alias("word"))
+        sets = synonyms.select("word", F.col("synset").cast("string").alias("synset")).distinct()
+        found = words.join(sets, "word").groupBy("key").agg(F.collect_list(F.struct("word", "synset")).alias("synsets"))
+        known = pairs.join(found, "key", "left")
+    scored = known.select(F.col("truth").alias(names["truth"]), F.col("said").alias(names["said"]), scoring.meteor("truth", "said", "synsets").alias("meteor"))
+    same = F.col(truth).eqNullSafe(F.col(names["truth"])) & F.col(said).eqNullSafe(F.col(names["said"]))
+    return df.join(scored, same).drop(names["truth"], names["said"])

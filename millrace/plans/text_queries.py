@@ -451,6 +451,17 @@ def r24_r25_r26_a9_overlap_metrics(spark, sf):
     return got.agg(*[rounded(F.avg(f"s.{n}"), 4).alias(n) for n in names])
 
 
+#: What was said beside its truth: the same words, or with as many other words as the turn's number behind them.
+SAID = "SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN text ELSE concat(text, repeat(' qqqq', CAST(turn AS INT))) END AS said FROM conversations"
+
+
+@query(rf"""WITH m AS (SELECT conv_id, turn, len({_words('text')}) AS m, CASE WHEN turn % 2 = 0 THEN 0 ELSE turn END AS more FROM conversations)
+SELECT conv_id, turn, round(CASE WHEN m = 0 THEN 0 ELSE (m / (m + more)) / (0.9 * (m / (m + more)) + 0.1) * (1 - 0.5 * (1 / m) ** 3) END, 6) AS meteor FROM m""")
+def r26_meteor(spark, sf):
+    got = reports.meteor(derived(spark, sf, SAID, "conversations"), "text", "said")
+    return got.select("conv_id", "turn", rounded(F.col("meteor")).alias("meteor"))
+
+
 LOGPS = "SELECT o_orderkey, list(l_tax ORDER BY l_linenumber) AS n, list(l_discount ORDER BY l_linenumber) AS o, list(l_tax * l_discount * 10 ORDER BY l_linenumber) AS r, list(CASE WHEN l_linenumber <= 3 THEN 1 ELSE 0 END ORDER BY l_linenumber) AS m FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import let
+from .lineage import cut_lineage
 
 
 def advantages(df: DataFrame, group: list[str], reward: str = "reward", epsilon: float = 1e-4) -> DataFrame:
@@ -45,14 +46,40 @@ def cyclic(df: DataFrame, group: list[str], order: list[Column], values: list[st
     return df.withColumn(name, F.element_at(F.array(*map(F.lit, values)), at + 1))
 
 
+def dealt(df: DataFrame, group: list[str], order: list[Column], bucket: str) -> DataFrame:
+    """``df`` written out in ranges of group and order, with the number of the range in ``bucket``: ranges are of about one size, so a large group has many."""
+    return cut_lineage(df.repartitionByRange(*group, *order).withColumn(bucket, F.spark_partition_id()))
+
+
+def _joined(rows: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``info``, which has one row for each value of the keys, nulls included."""
+    renamed = info.withColumnsRenamed({k: f"__k_{k}" for k in keys})
+    return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]).drop(*[f"__k_{k}" for k in keys])
+
+
 def precision_recall(df: DataFrame, group: list[str], order: list[Column], hit: str, truths: str) -> DataFrame:
-    """``tp``, ``fp``, ``recall``, ``precision`` down the ranking, and ``envelope``: the best precision from here on."""
-    down = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    """``tp``, ``fp``, ``recall``, ``precision`` down the ranking, and ``envelope``: the best precision from here on.
+
+    A scan in two levels: rows are dealt into ranges of the ranking, each range
+    is summed up, and running counts inside a range begin with the totals of
+    those before; the envelope is the best of the rest of the range and of all
+    later ones.  A group that holds most rows is so spread over many tasks, and
+    only one row for each range of a group is ordered in one place.
+    """
+    rows, keys = dealt(df, group, order, "__b"), [*group, "__b"]
+    sums = rows.groupBy(*keys).agg(F.sum(hit).alias("__tp"), F.count(F.lit(1)).alias("__n"))
+    past = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*keys, *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(f"{c}0") for c in ("__tp", "__n")])
+    down = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = _joined(rows.withColumns({"__i": F.row_number().over(down), "tp": F.sum(hit).over(down)}), before, keys)
+    out = out.withColumn("tp", F.col("tp") + F.col("__tp0")).withColumn("fp", F.col("__i") + F.col("__n0") - F.col("tp"))
+    out = cut_lineage(out.withColumns({"recall": F.try_divide(F.col("tp"), F.col(truths)), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))}).drop("__tp0", "__n0"))
+    later = W.partitionBy(*group).orderBy("__b").rowsBetween(1, W.unboundedFollowing)
+    best = out.groupBy(*keys).agg(F.max("precision").alias("__best"))
+    best = best.select(*keys, F.max("__best").over(later).alias("__later"))
     # From the end, as a frame up to the last row would be computed anew for each row.
-    up = W.partitionBy(*group).orderBy(F.desc("__n")).rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = df.withColumns({"tp": F.sum(hit).over(down), "fp": F.sum(1 - F.col(hit)).over(down)})
-    out = out.withColumns({"recall": F.try_divide(F.col("tp"), F.col(truths)), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
-    return out.withColumn("__n", F.col("tp") + F.col("fp")).withColumn("envelope", F.max("precision").over(up)).drop("__n")
+    up = W.partitionBy(*keys).orderBy(F.desc("__i")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    return _joined(out.withColumn("envelope", F.max("precision").over(up)), best, keys).withColumn("envelope", F.greatest("envelope", "__later")).drop("__b", "__i", "__later")
 
 
 def min_max(df: DataFrame, group: list[str], value: str, name: str, constant: float = 0.5, low: float = 0.0, high: float = 1.0) -> DataFrame:

@@ -12,9 +12,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
+from . import groups
+from .lineage import cut_lineage
 
 #: Images that a call of the matching kernel works on.
 IMAGES = 64
@@ -92,13 +95,17 @@ def graph_parts(points: DataFrame, group: str, index: str, k: int) -> DataFrame:
 def detection_metrics(boxes: DataFrame) -> DataFrame:
     """(category, area, most, ap, ap50, ap75, ar) from boxes (image_id, category, ord, x, y, w, h, score, is_gt, crowd).
 
-    Detections are matched image by image and class by class; what is left of an
-    image (score, matched, ignored) is grouped by class, area and number of
-    detections for the curves.
+    Detections are matched image by image and class by class.  The curve of a
+    class is a scan in two levels: what is left of the detections (score, and
+    for each threshold a bit for matched and one for ignored) is dealt into
+    ranges of the ranking, ranges are summed up, and each is gone through with
+    the sums of those before; for each threshold and recall step it keeps its
+    best precision, of which the best of all ranges counts.
     """
-    thresholds = len(kernels.IOU_STEPS)
+    steps, key = len(kernels.IOU_STEPS), ["category", "area", "most"]
+    bits = 1 << np.arange(steps)
 
-    def match(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    def match(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for (image, category), one in pdf.sort_values(["ord", "x", "y", "w", "h"]).groupby(["image_id", "category"], sort=False):
             gt, xywh = one["is_gt"].to_numpy(bool), one[["x", "y", "w", "h"]].to_numpy(float)
@@ -111,21 +118,53 @@ def detection_metrics(boxes: DataFrame) -> DataFrame:
                     k = (outside, min(most, len(scores)))
                     if k not in done:
                         s, m, i, n = kernels.coco_match(xywh[~gt], scores, xywh[gt], crowd, area, most)
-                        done[k] = (s.tolist(), m.ravel().tolist(), i.ravel().tolist(), n)
+                        done[k] = ([{"score": x, "good": int(bits @ g), "bad": int(bits @ b)} for x, g, b in zip(s.tolist(), (m & ~i).T, (~m & ~i).T, strict=True)], n)
                     out.append((image, category, name, most, *done[k]))
-        return pd.DataFrame(out, columns=["image_id", "category", "area", "most", "scores", "matched", "ignored", "truths"])
-
-    def curve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("image_id")
-        parts = [(np.array(s, float), np.array(m, bool).reshape(thresholds, -1), np.array(i, bool).reshape(thresholds, -1), n) for s, m, i, n in zip(pdf["scores"], pdf["matched"], pdf["ignored"], pdf["truths"], strict=True)]
-        p, r = kernels.coco_precision(parts)
-        mean = lambda a: float(a[a > -1].mean()) if (a > -1).any() else -1.0
-        return pd.DataFrame([(*key, mean(p), mean(p[0]), mean(p[5]), mean(r))], columns=["category", "area", "most", "ap", "ap50", "ap75", "ar"])
+        return pd.DataFrame(out, columns=["image_id", *key, "found", "truths"])
 
     rows = boxes.select(F.col("image_id").cast("long"), F.col("category").cast("string"), "ord", *[F.col(c).cast("double") for c in ("x", "y", "w", "h", "score")], "is_gt", "crowd")
     # Neighbouring images share a call; IMAGES bounds it.
-    matched = rows.groupBy(F.floor(F.col("image_id") / IMAGES)).applyInPandas(match, "image_id long, category string, area string, most int, scores array<double>, matched array<boolean>, ignored array<boolean>, truths long")
-    return matched.groupBy("category", "area", "most").applyInPandas(curve, "category string, area string, most int, ap double, ap50 double, ap75 double, ar double")
+    each = rows.groupBy(F.floor(F.col("image_id") / IMAGES)).applyInPandas(match, "image_id long, category string, area string, most int, found array<struct<score:double,good:int,bad:int>>, truths long")
+    each = cut_lineage(each)
+    truths = each.groupBy(*key).agg(F.sum("truths").alias("truths"))
+    found = each.select("image_id", *key, F.posexplode("found").alias("place", "d")).select("image_id", *key, "place", "d.*")
+    found = groups.dealt(found, key, [F.desc("score"), F.col("image_id"), F.col("place")], "range")
+    total = lambda c: [F.sum(F.shiftright(c, t).bitwiseAND(1)).alias(f"{c}{t}") for t in range(steps)]
+    names = [f"{c}{t}" for c in ("good", "bad") for t in range(steps)]
+    sums = found.groupBy(*key, "range").agg(*total("good"), *total("bad"))
+    past = W.partitionBy(*key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*key, "range", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in names])
+    before = before.join(truths.filter(F.col("truths") > 0), key).withColumnsRenamed({c: f"of_{c}" for c in (*key, "range")})
+
+    def best(_: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        if not len(start):
+            return pd.DataFrame([], columns=[*key, "best"], dtype=object)
+        pdf = pdf.sort_values(["score", "image_id", "place"], ascending=[False, True, True])
+        begin = start[names].to_numpy(float).reshape(2, steps, 1)
+        good, bad = (begin[k] + np.cumsum((pdf[c].to_numpy()[None] >> np.arange(steps)[:, None]) & 1, axis=1) for k, c in enumerate(("good", "bad")))
+        out = np.zeros((steps, len(kernels.RECALL_STEPS)))
+        step = np.searchsorted(kernels.RECALL_STEPS, good / float(start["truths"].iloc[0]), "right") - 1
+        np.maximum.at(out, (np.repeat(np.arange(steps), step.shape[1]), step.ravel()), (good / (good + bad + np.spacing(1))).ravel())
+        return pd.DataFrame([(*pdf[key].iloc[0], out.ravel().tolist())], columns=[*key, "best"])
+
+    ranges = found.groupBy(*key, "range").cogroup(before.groupBy(*[f"of_{c}" for c in (*key, "range")])).applyInPandas(best, "category string, area string, most int, best array<double>")
+    recalls = sums.groupBy(*key).agg(F.array(*[F.sum(f"good{t}").cast("double") for t in range(steps)]).alias("good"))
+
+    def curve(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        n = pdf["truths"].max()
+        if not n:
+            ap = [-1.0] * 4
+        else:
+            parts = [np.array(x).reshape(steps, -1) for x in pdf["best"] if x is not None]
+            # The best precision at a recall step or any later one.
+            p = np.maximum.accumulate(np.max(parts, axis=0)[:, ::-1], axis=1)[:, ::-1].mean(axis=1) if parts else np.zeros(steps)
+            good = [x for x in pdf["good"] if x is not None]
+            ap = [p.mean(), p[0], p[5], np.mean(good[0]) / n if good else 0.0]
+        return pd.DataFrame([(*pdf[key].iloc[0], *map(float, ap))], columns=[*key, "ap", "ap50", "ap75", "ar"])
+
+    both = truths.join(recalls, key, "left").withColumn("best", F.lit(None).cast("array<double>"))
+    both = both.unionByName(ranges, allowMissingColumns=True).withColumn("truths", F.coalesce("truths", F.lit(0)))
+    return both.groupBy(*key).applyInPandas(curve, "category string, area string, most int, ap double, ap50 double, ap75 double, ar double")
 
 
 def distinct_top(rows: DataFrame, group: str, index: str, n: int, most_alike: float = 0.6, defaults: list[list[float]] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from ..functions import scoring as S
 from ..functions import text as T
 from ..operators import calls, groups, joins, reports, sampling
 from ..operators.lineage import shared_folder
-from ..sources import io
+from ..sources import arrow_folder, io
 from .base import BOXES, COMPLETIONS, JUDGED, boxes, completions, derived, judged, query, rounded, table
 from .text_queries import CLASSED, SCORED
 
@@ -55,6 +55,15 @@ def sc4_sc5_l1_s1_source_mix(spark, sf):
     return io.mix(spark, sources, "id", "", read=lambda _, path, __: tables[path])
 
 
+@query("SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY l_returnflag")
+def sc6_arrow_folder(spark, sf):
+    path = _scratch(spark, "arrow")
+    arrow_folder.register(spark)
+    table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag", "l_quantity").write.format("arrow_folder").mode("overwrite").save(path)
+    got = spark.read.format("arrow_folder").option("columns", "l_returnflag,l_quantity").load(path)
+    return got.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
 @query("SELECT CAST(r_regionkey AS BIGINT) AS \"index\", r_name AS name FROM region")
 def sc10_categories(spark, sf):
     path = _scratch(spark, "classes")

@@ -57,6 +57,19 @@ def _joined(rows: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]).drop(*[f"__k_{k}" for k in keys])
 
 
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with the number of each row in its group, from 1 in that order, by a scan in two levels: rows are numbered inside ranges, after those of the ranges before.
+
+    No task holds a whole group, and only one row for each range of a group is ordered in one place.
+    """
+    rows, keys = dealt(df, group, order, "__b"), [*group, "__b"]
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    past = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.select(*keys, F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__n"))
+    own = rows.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return _joined(own, before, keys).withColumn(name, F.col("__i") + F.col("__n")).drop("__b", "__i", "__n")
+
+
 def precision_recall(df: DataFrame, group: list[str], order: list[Column], hit: str, truths: str) -> DataFrame:
     """``tp``, ``fp``, ``recall``, ``precision`` down the ranking, and ``envelope``: the best precision from here on.
 

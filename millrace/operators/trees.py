@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import groups
 from .lineage import cut_lineage
 
 NODES = "object_id string, node_id string, parent_id string, ord int, depth int, path array<int>, name array<string>, mask_id string"
@@ -71,12 +72,13 @@ def placed(edges: DataFrame, keys: tuple[str, str, str] = ("object_id", "node_id
 
 
 def breadth_first(nodes: DataFrame, obj: str = "object_id", name: str = "bfs") -> DataFrame:
-    return nodes.withColumn(name, F.row_number().over(W.partitionBy(obj).orderBy("depth", "path")))
+    """Level order: by depth, then by path. An object may be of any size; see ``groups.numbered``."""
+    return groups.numbered(nodes, [obj], [F.col("depth"), F.col("path")], name)
 
 
 def depth_first(nodes: DataFrame, obj: str = "object_id", name: str = "dfs") -> DataFrame:
-    """Preorder: the order of paths, in which a node comes before what is below it."""
-    return nodes.withColumn(name, F.row_number().over(W.partitionBy(obj).orderBy("path")))
+    """Preorder: the order of paths, in which a node comes before what is below it. An object may be of any size."""
+    return groups.numbered(nodes, [obj], [F.col("path")], name)
 
 
 def ancestors(nodes: DataFrame, obj: str = "object_id") -> DataFrame:
@@ -200,7 +202,8 @@ def as_text(nodes: DataFrame, obj: str = "object_id", indent: str = "  ") -> Dat
 def parts(nodes: DataFrame, most: int, leaves_only: bool = False, obj: str = "object_id") -> DataFrame:
     """The first ``most`` nodes of each object in level order, without the root and a virtual one."""
     rows = (leaves(nodes, obj) if leaves_only else nodes).filter((F.col("depth") > 0) & (F.col("node_id") != "virtual_root"))
-    return breadth_first(rows, obj, "rank").filter(F.col("rank") <= most)
+    # A rank with a limit is cut in each task before rows are exchanged.
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(obj).orderBy("depth", "path"))).filter(F.col("rank") <= most)
 
 
 def branching_level(labels: DataFrame, obj: str, level: str, point: str, cluster: str, parent_level: int) -> DataFrame:

@@ -111,9 +111,15 @@ def g30_depth_difference(spark, sf):
     return b.join(other, ["object_id", "px", "py"]).filter("d > 0 and e > 0").select("object_id", "px", "py", rounded(F.col("d") - F.col("e"), 5).alias("difference"))
 
 
-@query("SELECT CAST(i * 8 + j AS BIGINT) AS view, round(sin(pi() * (i + 1) / 5) * cos(2 * pi() * j / 8), 6) + 0.0 AS x, round(cos(pi() * (i + 1) / 5), 6) + 0.0 AS y, round(sin(pi() * (i + 1) / 5) * sin(2 * pi() * j / 8), 6) + 0.0 AS z FROM range(4) a(i), range(8) b(j) UNION ALL SELECT 32, 0, 1, 0 UNION ALL SELECT 33, 0, -1, 0")
+SPHERE = """v AS (SELECT CAST(i * 8 + j AS BIGINT) AS view, sin(pi() * (i + 1) / 5) * cos(2 * pi() * j / 8) AS x, cos(pi() * (i + 1) / 5) AS y, sin(pi() * (i + 1) / 5) * sin(2 * pi() * j / 8) AS z FROM range(4) a(i), range(8) b(j) UNION ALL SELECT 32, 0, 1, 0 UNION ALL SELECT 33, 0, -1, 0)"""
+
+
+@query(PTS + f", {SPHERE}, s AS (SELECT object_id, max(sqrt(x*x + y*y + z*z)) AS r FROM p GROUP BY object_id) SELECT object_id, view, round(2 * r * v.x, 5) + 0.0 AS x, round(2 * r * v.y, 5) + 0.0 AS y, round(2 * r * v.z, 5) + 0.0 AS z FROM s, v")
 def g16_sphere_views(spark, sf):
-    return G.sphere_views(spark, 4, 8).select("view", *[(rounded(F.col(c)) + 0.0).alias(c) for c in "xyz"])
+    """Each object from all sides, at twice its size."""
+    size = points(spark, sf).groupBy("object_id").agg(F.max(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)).alias("r"))
+    views = size.crossJoin(F.broadcast(G.sphere_views(spark, 4, 8)))
+    return views.select("object_id", "view", *[(rounded(2 * F.col("r") * F.col(c), 5) + 0.0).alias(c) for c in "xyz"])
 
 
 @query(PTS + ", a AS (SELECT *, sqrt(x*x + y*y + z*z) AS r FROM p) SELECT object_id, point_id, round(x, 4) + 0.0 AS x, round(y, 4) + 0.0 AS y, round(z, 4) + 0.0 AS z, round(degrees(asin(y / r)), 4) + 0.0 AS elevation FROM a")
@@ -334,7 +340,7 @@ WALK = f"""WITH RECURSIVE t AS ({TREE}), w AS (SELECT t.*, 0 AS depth, [ord] AS
 @query(WALK + "SELECT node_id, CAST(depth AS INTEGER) AS depth, array_to_string(path, '/') AS path, CAST(row_number() OVER (ORDER BY depth, path) AS INTEGER) AS bfs, CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS dfs FROM w")
 def h1_h2_h3_orders(spark, sf):
     t = trees.depth_first(trees.breadth_first(_tree(spark, sf)))
-    return t.select("node_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), "bfs", "dfs")
+    return t.select("node_id", "depth", F.array_join(F.col("path").cast("array<string>"), "/").alias("path"), *[F.col(c).cast("int").alias(c) for c in ("bfs", "dfs")])
 
 
 @query("SELECT 'o' || CAST(r_regionkey AS STRING) AS object_id, CAST(count(*) + 1 AS BIGINT) AS nodes, CAST(max(n_nationkey) AS BIGINT) AS last FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_regionkey")

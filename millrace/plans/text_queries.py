@@ -181,7 +181,7 @@ def t19_sections(spark, sf):
     return derived(spark, sf, SECTIONED, "documents").select("id", *[F.try_element_at(parts, F.lit(k)).alias(n) for k, n in ((1, "first_part"), (2, "second_part"), (3, "third_part"))])
 
 
-PREPARED = """SELECT conv_id * 100 + turn AS id, 'Question: ' || substr(text, 1, 30) || ' Answer: ' || CASE WHEN turn % 3 = 0 THEN '' ELSE '<think> ' || substr(text, 5, 20) || ' </think><think>b</think> <think>open' END
+PREPARED = """SELECT conv_id * 100 + turn AS id, 'Question: ' || text || ' Answer: ' || CASE WHEN turn % 3 = 0 THEN '' ELSE '<think> ' || text || ' </think><think>b</think> <think>open' END
  || CASE WHEN turn % 2 = 0 THEN '<answer>Answer:  ' || role || ' </answer>' ELSE '' END AS said FROM conversations"""
 
 

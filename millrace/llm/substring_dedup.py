@@ -145,9 +145,9 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     return _named(_unit_spans(ranked(docs, id_col, text_col), min_words), id_col)
 
 
-def _named(spans: DataFrame, id_col: str) -> DataFrame:
+def _named(spans: DataFrame, id_col: str, *more: Column) -> DataFrame:
     real = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return spans.select(real("rank").alias(id_col), "text_key", "span_start", "span_end", "n_words", real("first_doc").alias("first_doc"))
+    return spans.select(real("rank").alias(id_col), "text_key", "span_start", "span_end", "n_words", real("first_doc").alias("first_doc"), *more)
 
 
 def _unit_spans(rows: DataFrame, min_words: int) -> DataFrame:
@@ -308,18 +308,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str =
     The latter need not begin or end with a line.  A passage that overlaps its
     own earliest occurrence in a text stays as far as that reaches.  Spans that
     touch or overlap are one, with the smallest ``first_doc`` of its parts.
+    ``rule`` says what found a span: ``line``, ``passage``, or both.
     """
     rows = ranked(docs, id_col, text_col)
-    spans = _unit_spans(rows, min_words).unionByName(_passage_spans(rows))
+    spans = _unit_spans(rows, min_words).withColumn("by", F.lit(1)).unionByName(_passage_spans(rows).withColumn("by", F.lit(2)))
     spans = spans.withColumn("after", F.col("word") + F.col("n_words"))
     order = W.partitionBy("rank", "text_key").orderBy("word", "after")
     reached = F.max("after").over(order.rowsBetween(W.unboundedPreceding, -1))
     apart = spans.withColumn("apart", F.coalesce((F.col("word") > reached).cast("int"), F.lit(1)))
     one = apart.withColumn("span", F.sum("apart").over(order.rowsBetween(W.unboundedPreceding, 0)))
     joined = one.groupBy("rank", "text_key", "span").agg(
-        F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), (F.max("after") - F.min("word")).alias("n_words"), F.min("first_doc").alias("first_doc")
+        F.min("span_start").alias("span_start"), F.max("span_end").alias("span_end"), (F.max("after") - F.min("word")).alias("n_words"), F.min("first_doc").alias("first_doc"), F.bit_or("by").alias("by")
     )
-    return _named(joined, id_col)
+    return _named(joined, id_col, F.when(F.col("by") == 1, "line").when(F.col("by") == 2, "passage").otherwise("line, passage").alias("rule"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = repeated_passages) -> DataFrame:

@@ -43,3 +43,14 @@ def test_repeated_labelled_ids_stay_within_the_bounds(spark, monkeypatch):
     toxicity.train(docs, labels, rows=12, features=60)
     # Some texts of an id go, not the id: what is left is below the bound but not empty.
     assert 0 < learned[-1][1] <= 60
+
+
+def test_spans_say_which_rule_found_them(spark):
+    from millrace.llm import substring_dedup
+
+    line, passage = " ".join(f"l{i}" for i in range(35)), " ".join(f"p{i}" for i in range(55))
+    rows = [(1, f"{line}\nx {passage} y"), (2, f"first of two\n{line}\nlast of two"), (3, f"a b c {passage} d e f"), (4, f"g\n{line} {passage} zz\nmore words\n{line}"), (5, f"h\n{passage}\n{line}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["span_start"]): r["rule"] for r in substring_dedup.repeated_passages(df).collect()}
+    assert {(i, rule) for (i, _), rule in got.items()} == {(2, "line"), (3, "passage"), (4, "passage"), (4, "line"), (5, "line, passage")}
+    assert {r["doc_id"] for r in substring_dedup.repeated_spans(df).collect()} == {2, 4, 5}

@@ -57,17 +57,43 @@ def _joined(rows: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(renamed, [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]).drop(*[f"__k_{k}" for k in keys])
 
 
-def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
-    """``df`` with the number of each row in its group, from 1 in that order, by a scan in two levels: rows are numbered inside ranges, after those of the ranges before.
+def running(df: DataFrame, group: list[str], order: list[Column], amount: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows of the group up to each, by a scan in two levels: sums inside ranges, after the totals of the ranges before.
 
-    No task holds a whole group, and only one row for each range of a group is ordered in one place.
+    No task holds a whole group, and only one row for each range of a group is
+    ordered in one place.
     """
-    rows, keys = dealt(df, group, order, "__b"), [*group, "__b"]
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    rows, keys = dealt(df.withColumn("__x", amount), group, order, "__b"), [*group, "__b"]
+    sums = rows.groupBy(*keys).agg(F.sum("__x").alias("__n"))
     past = W.partitionBy(*group).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
     before = sums.select(*keys, F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__n"))
-    own = rows.withColumn("__i", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
-    return _joined(own, before, keys).withColumn(name, F.col("__i") + F.col("__n")).drop("__b", "__i", "__n")
+    own = rows.withColumn("__i", F.sum("__x").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)))
+    return _joined(own, before, keys).withColumn(name, F.col("__i") + F.col("__n")).drop("__b", "__i", "__n", "__x")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[Column], name: str) -> DataFrame:
+    """``df`` with the number of each row in its group, from 1 in that order; a group may be of any size."""
+    return running(df, group, order, F.lit(1).cast("long"), name)
+
+
+def percentiles(df: DataFrame, group: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """The exact percentiles of a value in each group, between neighbours in proportion, by name; nulls do not count.
+
+    Values are counted first, so a value that fills a third of the table is one
+    row, and counts are added up in ranges, so a group may hold most of the
+    table.  A group without values has no row.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running(counted, group, [F.col(value)], F.col("__c"), "__upto")
+    total = counted.groupBy(*group).agg(F.sum("__c").alias("__total"))
+    placed = _joined(upto, total, group)
+    first, ends = F.col("__upto") - F.col("__c"), {}
+    for name, q in shares.items():
+        at = (F.col("__total") - 1) * F.lit(float(q))
+        has = lambda k: (first <= k) & (k < F.col("__upto"))
+        ends |= {f"__lo_{name}": F.when(has(F.floor(at)), F.col(value)), f"__hi_{name}": F.when(has(F.ceil(at)), F.col(value)), f"__at_{name}": at - F.floor(at)}
+    found = placed.groupBy(*group).agg(*[F.max(c).alias(n) for n, c in ends.items()])
+    return found.select(*group, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__at_{n}")).alias(n) for n in shares])
 
 
 def precision_recall(df: DataFrame, group: list[str], order: list[Column], hit: str, truths: str) -> DataFrame:

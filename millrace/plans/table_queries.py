@@ -393,9 +393,9 @@ def a20_feature_means(spark, sf):
 
 @query("SELECT l_returnflag, min(l_quantity) AS low, max(l_quantity) AS high, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS suppliers, quantile_cont(l_extendedprice, 0.05) AS p5, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY l_returnflag")
 def a22_a23_a24_ranges(spark, sf):
-    p = lambda q: F.percentile("l_extendedprice", F.lit(q))
-    got = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.countDistinct("l_suppkey").alias("suppliers"), p(0.05).alias("p5"), p(0.5).alias("p50"), p(0.95).alias("p95"))
-    return got
+    lines = table(spark, sf, "lineitem")
+    got = lines.groupBy("l_returnflag").agg(F.min("l_quantity").alias("low"), F.max("l_quantity").alias("high"), F.countDistinct("l_suppkey").alias("suppliers"))
+    return got.join(groups.percentiles(lines, ["l_returnflag"], "l_extendedprice", {"p5": 0.05, "p50": 0.5, "p95": 0.95}), "l_returnflag")
 
 
 @query("SELECT CAST(floor(event_id / 4) AS BIGINT) AS block, CAST(count(DISTINCT event_type) AS BIGINT) AS keys, CAST(count(*) AS BIGINT) AS rows FROM events GROUP BY 1 HAVING count(DISTINCT event_type) <> 1 OR count(*) <> 4")

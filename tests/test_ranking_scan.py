@@ -36,3 +36,14 @@ def test_a_class_with_most_rows_is_dealt_into_many_ranges(spark):
 def test_empty_ranking(spark):
     df = spark.createDataFrame([], "kind string, id long, hit int, truths long")
     assert groups.precision_recall(df, ["kind"], [F.col("id")], "hit", "truths").count() == 0
+
+
+def test_percentiles_of_crowded_values(spark):
+    import numpy as np
+
+    made = random.Random(3)
+    rows = [(g, v) for g, n in (("big", 900), ("one", 1), (None, 7)) for v in [made.choice([1.0, 1.0, 5.5, made.random() * 9]) for _ in range(n)]] + [("none", None), ("big", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["g"]: (r["a"], r["b"], r["c"]) for r in groups.percentiles(df, ["g"], "v", {"a": 0.05, "b": 0.5, "c": 1.0}).collect()}
+    want = {g: tuple(np.quantile([v for k, v in rows if k == g and v is not None], [0.05, 0.5, 1.0])) for g in ("big", "one", None)}
+    assert set(got) == set(want) and all(got[g] == pytest.approx(want[g]) for g in want)

@@ -26,6 +26,8 @@ IMAGES = 64
 PAIRS = 1 << 21
 #: Points of an object beyond which its neighbours are found by cells.
 LARGE = 20_000
+#: The side of the first cells, by that at which an even cloud has a point in each.
+FIRST_SIDE = 0.25
 
 
 def farthest(points: DataFrame, group: str, index: str, n: int) -> DataFrame:
@@ -51,7 +53,8 @@ def _by_size(rows: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
 def _in_cells(points: DataFrame, k: int, itself: bool) -> DataFrame:
     """g, index, neighbour, distance2, rank for points (g, index, x, y, z) of objects of any size.
 
-    Space is cut into cells, of about one point each at first.  A point is
+    Space is cut into cells, at first of a quarter of the side at which an even
+    cloud has one point each, as crowded places have many.  A point is
     compared with those of its cell and the 26 around it, which hold everything
     up to the side of a cell away; it is done if its ``k`` nearest are that near.
     Others go on with cells of twice the side, up to the object's extent.  Of
@@ -67,7 +70,7 @@ def _in_cells(points: DataFrame, k: int, itself: bool) -> DataFrame:
     first = cut_lineage(rows.withColumn("at", F.row_number().over(place)).filter(F.col("at") <= k + 1).drop("at"))
     around = F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip(axes, (i, j, m), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
     wanted = F.least(F.lit(k), F.col("n") - (0 if itself else 1))
-    left, times, out = rows, 1, None
+    left, times, out = rows, FIRST_SIDE, None
     while True:
         cell = {f"c{c}": F.floor((F.col(c) - F.col(f"lo{c}")) / (F.col("side") * times)) for c in axes}
         asking = left.withColumns(cell).withColumn("d", F.explode(around)).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.d{c}") for c in axes}).drop("d")

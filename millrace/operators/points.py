@@ -2,7 +2,7 @@
 
 An object is one group in most operators, so its points have to fit into a task.
 Neighbours and connected parts also work on objects of more than ``LARGE``
-points, by joins over cells and edges; there nothing is grouped by object alone.
+points, by joins over blocks and edges; there nothing is grouped by object alone.
 """
 
 from __future__ import annotations
@@ -17,17 +17,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from . import graphs, groups
+from . import graphs, groups, neighbours
 from .lineage import cut_lineage
 
 #: Images that a call of the matching kernel works on.
 IMAGES = 64
-#: Distances between points that are held at once.
-PAIRS = 1 << 21
-#: Points of an object beyond which its neighbours are found by cells.
+#: Points of an object beyond which its neighbours are found by blocks.
 LARGE = 20_000
-#: The side of the first cells, by that at which an even cloud has a point in each.
-FIRST_SIDE = 0.25
 
 
 def farthest(points: DataFrame, group: str, index: str, n: int) -> DataFrame:
@@ -50,47 +46,6 @@ def _by_size(rows: DataFrame, large: int) -> tuple[DataFrame, DataFrame | None]:
     return rows.join(many, "g", "left_anti"), rows.join(many, "g", "left_semi")
 
 
-def _in_cells(points: DataFrame, k: int, itself: bool) -> DataFrame:
-    """g, index, neighbour, distance2, rank for points (g, index, x, y, z) of objects of any size.
-
-    Space is cut into cells, at first of a quarter of the side at which an even
-    cloud has one point each, as crowded places have many.  A point is
-    compared with those of its cell and the 26 around it, which hold everything
-    up to the side of a cell away; it is done if its ``k`` nearest are that near.
-    Others go on with cells of twice the side, up to the object's extent.  Of
-    points in one place only the first ``k + 1`` can be near anything, so the
-    others only ask.
-    """
-    axes = "xyz"
-    box = points.groupBy("g").agg(F.count(F.lit(1)).alias("n"), *[F.min(c).alias(f"lo{c}") for c in axes], *[F.max(c).alias(f"hi{c}") for c in axes])
-    extent = F.greatest(*[F.col(f"hi{c}") - F.col(f"lo{c}") for c in axes])
-    box = box.select("g", "n", *[f"lo{c}" for c in axes], F.when(extent > 0, extent).otherwise(1.0).alias("extent"))
-    rows = cut_lineage(points.join(box, "g").withColumn("side", F.col("extent") / F.cbrt(F.col("n").cast("double"))))
-    place = W.partitionBy("g", *axes).orderBy("index")
-    first = cut_lineage(rows.withColumn("at", F.row_number().over(place)).filter(F.col("at") <= k + 1).drop("at"))
-    around = F.array(*[F.struct(*[F.lit(d).alias(f"d{c}") for c, d in zip(axes, (i, j, m), strict=True)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)])
-    wanted = F.least(F.lit(k), F.col("n") - (0 if itself else 1))
-    left, times, out = rows, FIRST_SIDE, None
-    while True:
-        cell = {f"c{c}": F.floor((F.col(c) - F.col(f"lo{c}")) / (F.col("side") * times)) for c in axes}
-        asking = left.withColumns(cell).withColumn("d", F.explode(around)).withColumns({f"c{c}": F.col(f"c{c}") + F.col(f"d.d{c}") for c in axes}).drop("d")
-        there = first.select("g", F.col("index").alias("neighbour"), *[F.col(c).alias(f"n{c}") for c in axes], *[v.alias(c) for c, v in cell.items()])
-        near = asking.join(there, ["g", *cell])
-        near = near if itself else near.filter("index <> neighbour")
-        far = sum((((F.col(c) - F.col(f"n{c}")) ** 2) for c in axes), F.lit(0.0))
-        near = near.select("g", "index", "neighbour", far.alias("distance2"), wanted.alias("wanted"), (F.col("side") * times).alias("reach"), (F.col("side") * times >= F.col("extent")).alias("all"))
-        rank = F.row_number().over(W.partitionBy("g", "index").orderBy("distance2", "neighbour"))
-        ranked = cut_lineage(near.withColumn("rank", rank).filter(F.col("rank") <= k))
-        done = ranked.groupBy("g", "index").agg((F.first("all") | (F.count(F.lit(1)) >= F.first("wanted")) & (F.sqrt(F.max("distance2")) <= F.first("reach"))).alias("done")).filter("done").select("g", "index")
-        done = cut_lineage(done)
-        found = ranked.join(done, ["g", "index"], "left_semi").select("g", "index", "neighbour", "distance2", "rank")
-        out = found if out is None else out.unionByName(found)
-        left = cut_lineage(left.join(done, ["g", "index"], "left_anti").filter(wanted > 0).filter(F.col("side") * times < F.col("extent")))
-        if left.isEmpty():
-            return out
-        times *= 2
-
-
 def nearest(points: DataFrame, group: str, index: str, k: int, itself: bool = True, large: int = LARGE) -> DataFrame:
     """(group, index, neighbour, distance2, rank): the ``k`` nearest of each point in its object; ties by index.
 
@@ -99,29 +54,14 @@ def nearest(points: DataFrame, group: str, index: str, k: int, itself: bool = Tr
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, xyz = pdf["index"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
-        parts = []
         # Some points at a time, so that memory does not grow with the square of the object.
-        step = max(1, PAIRS // len(ids))
-        for lo in range(0, len(ids), step):
-            d2 = np.zeros((len(ids[lo : lo + step]), len(ids)))
-            for c in range(3):
-                d2 += (xyz[lo : lo + step, c, None] - xyz[None, :, c]) ** 2
-            if not itself:
-                d2[ids[lo : lo + step, None] == ids[None, :]] = np.inf
-            most = np.partition(d2, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-            i, j = np.nonzero((d2 <= most[:, None]) & np.isfinite(d2))
-            order = np.lexsort((ids[j], d2[i, j], i))
-            i, j = i[order], j[order]
-            rank = np.arange(len(i)) - np.searchsorted(i, i) + 1
-            near = rank <= k
-            i, j = i[near], j[near]
-            parts.append(pd.DataFrame({"g": key[0], "index": ids[lo + i], "neighbour": ids[j], "distance2": d2[i, j], "rank": rank[near]}))
+        parts = [pd.DataFrame({"g": key[0], "index": ids[i], "neighbour": ids[j], "distance2": d2, "rank": rank}) for i, j, d2, rank in neighbours.among(ids, xyz, ids, xyz, k, itself)]
         return pd.concat(parts)
 
     rows = points.select(F.col(group).cast("long").alias("g"), F.col(index).cast("long").alias("index"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     small, others = _by_size(rows, large)
     out = small.groupBy("g").applyInPandas(run, "g long, index long, neighbour long, distance2 double, rank int")
-    out = out if others is None else out.unionByName(_in_cells(others, k, itself))
+    out = out if others is None else out.unionByName(neighbours.in_blocks(others, k, itself))
     return out.withColumnsRenamed({"g": group, "index": index})
 
 
@@ -155,7 +95,7 @@ def graph_parts(points: DataFrame, group: str, index: str, k: int, large: int =
     small, others = _by_size(rows, large)
     out = small.groupBy("g").applyInPandas(run, "g long, index long, part long")
     if others is not None:
-        found = graphs.components(_in_cells(others, k, itself=False), "g", "index", "neighbour")
+        found = graphs.components(neighbours.in_blocks(others, k, itself=False), "g", "index", "neighbour")
         number = groups.numbered(found.select("g", "root").distinct(), ["g"], [F.col("root")], "part")
         out = out.unionByName(found.join(number, ["g", "root"]).select("g", F.col("node").alias("index"), (F.col("part") - 1).alias("part")))
     return out.withColumnsRenamed({"g": group, "index": index})

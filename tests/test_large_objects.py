@@ -1,9 +1,9 @@
-"""Neighbours by cells and parts by edges equal those of one group, also with crowded places, ties and outliers."""
+"""Neighbours by blocks and parts by edges equal those of one group, also with crowded places, ties and outliers."""
 
 import numpy as np
 import pytest
 
-from millrace.operators import graphs
+from millrace.operators import graphs, neighbours
 from millrace.operators import points as P
 
 
@@ -22,11 +22,17 @@ def cloud(spark, kind):
 
 
 @pytest.mark.parametrize("kind", ["even", "clusters", "grid", "one place", "flat", "same"])
-def test_neighbours_by_cells(spark, kind):
+def test_neighbours_by_blocks(spark, kind, monkeypatch):
+    # Blocks of a few points, so that the tree of boxes has levels, and slices of a few questions.
+    monkeypatch.setattr(neighbours, "ASKS", 20)
     df = cloud(spark, kind)
     itself = kind in ("even", "grid", "same")
-    want, got = (sorted(tuple(r) for r in P.nearest(df, "o", "i", 4, itself, large).select("o", "i", "rank", "neighbour", "distance2").collect()) for large in (10**9, 2))
-    assert got == want
+    columns = ["o", "i", "rank", "neighbour", "distance2"]
+    want = sorted(tuple(r) for r in P.nearest(df, "o", "i", 4, itself).select(columns).collect())
+    rows = neighbours.in_blocks(df.withColumnsRenamed({"o": "g", "i": "index"}), 4, itself, size=10)
+    assert sorted(tuple(r) for r in rows.withColumnsRenamed({"g": "o", "index": "i"}).select(columns).collect()) == want
+    if kind == "flat":
+        assert sorted(tuple(r) for r in P.nearest(df, "o", "i", 4, itself, 2).select(columns).collect()) == want
 
 
 def test_parts_by_edges(spark):

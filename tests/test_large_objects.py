@@ -46,3 +46,27 @@ def test_components_of_chains_and_groups(spark):
     chain = [(1, i, i + 1) for i in range(100)] + [(1, 200, 201), (2, 5, 4), (2, 4, 3), (2, 9, 9), (None, 1, 2), (2, None, 3)]
     got = {(r["g"], r["node"]): r["root"] for r in graphs.components(spark.createDataFrame(chain, "g long, a long, b long"), "g", "a", "b").collect()}
     assert got == {**{(1, i): 0 for i in range(101)}, (1, 200): 200, (1, 201): 200, (2, 3): 3, (2, 4): 3, (2, 5): 3, (2, 9): 9}
+
+
+def test_components_of_shuffled_paths_and_stars(spark):
+    # A path in random order and one in order, a star, and random edges; rounds must not grow with the length of a path.
+    rng = np.random.default_rng(2)
+    order = rng.permutation(400)
+    edges = [(1, int(x), int(y)) for x, y in zip(order, order[1:], strict=False)] + [(2, i, i + 1) for i in range(400)] + [(3, 999, i) for i in range(300)]
+    edges += [(4, int(x), int(y)) for x, y in rng.integers(0, 300, (140, 2))] + [(4, 1, 2)] * 3
+    up = {(g, n): (g, n) for g, a, b in edges for n in (a, b)}
+
+    def find(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for g, a, b in edges:
+        lo, hi = sorted((find((g, a)), find((g, b))))
+        up[hi] = lo
+    got = graphs.components(spark.createDataFrame(edges, "o long, a long, b long"), "o", "a", "b").collect()
+    assert {(r["o"], r["node"]): (r["o"], r["root"]) for r in got} == {n: find(n) for n in up} and len(got) == len(up)
+
+
+def test_components_of_no_edges(spark):
+    assert graphs.components(spark.createDataFrame([], "o long, a long, b long"), "o", "a", "b").collect() == []

@@ -26,9 +26,9 @@ BITS = 20
 FAN = 16
 
 
-def among(ids: np.ndarray, at: np.ndarray, others: np.ndarray, there: np.ndarray, k: int, itself: bool = True, most: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, ...]]:
-    """(asking row, other row, squared distance, rank) of the ``k`` nearest, ties by id, some rows at a time; ``most`` bounds the squared distance of each row."""
-    step = max(1, PAIRS // max(1, len(others)))
+def among(ids: np.ndarray, at: np.ndarray, others: np.ndarray, there: np.ndarray, k: int, itself: bool = True, most: np.ndarray | None = None, pairs: int = PAIRS) -> Iterator[tuple[np.ndarray, ...]]:
+    """(asking row, other row, squared distance, rank) of the ``k`` nearest, ties by id, rows of about ``pairs`` distances at a time; ``most`` bounds the squared distance of each row."""
+    step = max(1, pairs // max(1, len(others)))
     for lo in range(0, len(ids), step):
         d2 = np.zeros((len(ids[lo : lo + step]), len(others)))
         for c in range(3):

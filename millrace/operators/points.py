@@ -22,6 +22,8 @@ from .lineage import cut_lineage
 
 #: Images that a call of the matching kernel works on.
 IMAGES = 64
+#: Distances between points that are held at once.
+PAIRS = neighbours.PAIRS
 #: Points of an object beyond which its neighbours are found by blocks.
 LARGE = 20_000
 
@@ -55,7 +57,7 @@ def nearest(points: DataFrame, group: str, index: str, k: int, itself: bool = Tr
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         ids, xyz = pdf["index"].to_numpy(), pdf[["x", "y", "z"]].to_numpy(float)
         # Some points at a time, so that memory does not grow with the square of the object.
-        parts = [pd.DataFrame({"g": key[0], "index": ids[i], "neighbour": ids[j], "distance2": d2, "rank": rank}) for i, j, d2, rank in neighbours.among(ids, xyz, ids, xyz, k, itself)]
+        parts = [pd.DataFrame({"g": key[0], "index": ids[i], "neighbour": ids[j], "distance2": d2, "rank": rank}) for i, j, d2, rank in neighbours.among(ids, xyz, ids, xyz, k, itself, pairs=PAIRS)]
         return pd.concat(parts)
 
     rows = points.select(F.col(group).cast("long").alias("g"), F.col(index).cast("long").alias("index"), *[F.col(c).cast("double").alias(c) for c in "xyz"])

@@ -5,28 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
-
-MOST_ROUNDS = 60
+from ..operators import graphs
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """``node`` and ``root`` (the smallest node of its component) for every node of an edge.
+    """``node`` and ``root`` (the smallest node of its component) for every node of an edge; edges with a null end join nothing.
 
-    Each round takes the smallest label among a node's neighbours and then the
-    label of that label, so chains shorten by doubling.  Rounds are written to
-    the checkpoint folder and end when no label changes.
+    Edges are contracted round by round, so rounds do not grow with the length
+    of a chain of copies, and are written as tables to the shared folder.
     """
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    both = cut_lineage(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut_lineage(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
-    for _ in range(MOST_ROUNDS):
-        near = both.join(labels, both["v"] == labels["node"]).groupBy("u").agg(F.min("root").alias("near"))
-        # Written out, so that both sides of the next join are dealt anew and AQE can split a root that many nodes share.
-        better = cut_lineage(labels.join(near, labels["node"] == near["u"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
-        jump = better.select(F.col("node").alias("of"), F.col("root").alias("far"))
-        new = cut_lineage(better.join(jump, better["root"] == jump["of"]).select("node", "old", F.least("root", "far").alias("root")))
-        labels = new.select("node", "root")
-        if new.filter("old <> root").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+    rows = edges.select(F.lit(0).alias("g"), F.col(a).alias("u"), F.col(b).alias("v"))
+    return graphs.components(rows, "g", "u", "v").select("node", "root")

@@ -1,12 +1,14 @@
 """Blocks of test items stay within their bound, equal items are one entry, and a seed that many items share costs little."""
 
+import itertools
+import random
 import time
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate
+from millrace.llm import components, decontaminate
 from millrace.llm.tokens import words
 
 
@@ -52,3 +54,11 @@ def test_a_seed_that_many_items_share_is_not_walked_pair_by_pair():
         return best
 
     assert seconds(4000) < 1.5
+
+
+def test_components_of_a_long_chain_in_random_order(spark):
+    # Rounds that only pass labels to neighbours would grow with the length of the chain.
+    order = random.Random(4).sample(range(1000), 600)
+    edges = list(itertools.pairwise(order)) + [(2000, 2001), (2001, 2001), (None, 3)]
+    got = components.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {(r["node"], r["root"]) for r in got} == {(n, min(order)) for n in order} | {(2000, 2000), (2001, 2000)} and len(got) == 602

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,9 +48,13 @@ def cyclic(df: DataFrame, group: list[str], order: list[Column], values: list[st
     return df.withColumn(name, F.element_at(F.array(*map(F.lit, values)), at + 1))
 
 
-def dealt(df: DataFrame, group: list[str], order: list[Column], bucket: str) -> DataFrame:
-    """``df`` written out in ranges of group and order, with the number of the range in ``bucket``: ranges are of about one size, so a large group has many."""
-    return cut_lineage(df.repartitionByRange(*group, *order).withColumn(bucket, F.spark_partition_id()))
+def dealt(df: DataFrame, group: list[str], order: list[Column], bucket: str, size: int | None = None) -> DataFrame:
+    """``df`` written out in ranges of group and order, with the number of the range in ``bucket``: ranges are of about one size, so a large group has many.
+
+    Given ``size``, there are as many ranges as ``df``, which is counted, has that many rows.
+    """
+    many = () if size is None else (max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(df.count() / size)),)
+    return cut_lineage(df.repartitionByRange(*many, *group, *order).withColumn(bucket, F.spark_partition_id()))
 
 
 def _joined(rows: DataFrame, info: DataFrame, keys: list[str]) -> DataFrame:

@@ -21,7 +21,9 @@ from . import graphs, groups, neighbours
 from .lineage import cut_lineage
 
 #: Images that a call of the matching kernel works on.
-IMAGES = 64
+IMAGES = 1024
+#: Detections of a range of a ranking.
+RANGE = 1 << 18
 #: Distances between points that are held at once.
 PAIRS = neighbours.PAIRS
 #: Points of an object beyond which its neighbours are found by blocks.
@@ -106,60 +108,81 @@ def graph_parts(points: DataFrame, group: str, index: str, k: int, large: int =
 def detection_metrics(boxes: DataFrame) -> DataFrame:
     """(category, area, most, ap, ap50, ap75, ar) from boxes (image_id, category, ord, x, y, w, h, score, is_gt, crowd).
 
-    Detections are matched image by image and class by class.  The curve of a
-    class is a scan in two levels: what is left of the detections (score, and
-    for each threshold a bit for matched and one for ignored) is dealt into
-    ranges of the ranking, ranges are summed up, and each is gone through with
-    the sums of those before; for each threshold and recall step it keeps its
-    best precision, of which the best of all ranges counts.
+    Images are matched some at a time, groups of one image and class together;
+    a detection is one row, with a bit for each area and threshold for matched
+    and one for missed, and its place, which says for which limits it counts.
+    The curve of a class is a scan in two levels: rows are dealt into ranges of
+    the ranking, ranges are summed up, and each is gone through with the sums of
+    those before; for each threshold and recall step it keeps its best
+    precision, of which the best of all ranges counts.
     """
-    steps, key = len(kernels.IOU_STEPS), ["category", "area", "most"]
-    bits = 1 << np.arange(steps)
+    steps, areas, mosts, key = len(kernels.IOU_STEPS), list(kernels.AREAS), kernels.MOST_DETECTIONS, ["category", "area", "most"]
+    bits, size = len(areas) * steps, len(mosts) * len(areas) * steps
+    kinds = [(m, a) for m in range(len(mosts)) for a in range(len(areas))]
 
     def match(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for (image, category), one in pdf.sort_values(["ord", "x", "y", "w", "h"]).groupby(["image_id", "category"], sort=False):
-            gt, xywh = one["is_gt"].to_numpy(bool), one[["x", "y", "w", "h"]].to_numpy(float)
-            crowd, scores, size = one["crowd"].to_numpy(bool)[gt], one["score"].to_numpy(float)[~gt], xywh[:, 2] * xywh[:, 3]
-            done: dict = {}
-            for name, area in kernels.AREAS.items():
-                # Areas that hold the same boxes, and limits above the number of detections, have the same result.
-                outside = ((size < area[0]) | (size > area[1])).tobytes()
-                for most in kernels.MOST_DETECTIONS:
-                    k = (outside, min(most, len(scores)))
-                    if k not in done:
-                        s, m, i, n = kernels.coco_match(xywh[~gt], scores, xywh[gt], crowd, area, most)
-                        done[k] = ([{"score": x, "good": int(bits @ g), "bad": int(bits @ b)} for x, g, b in zip(s.tolist(), (m & ~i).T, (~m & ~i).T, strict=True)], n)
-                    out.append((image, category, name, most, *done[k]))
-        return pd.DataFrame(out, columns=["image_id", *key, "found", "truths"])
-
-    rows = boxes.select(F.col("image_id").cast("long"), F.col("category").cast("string"), "ord", *[F.col(c).cast("double") for c in ("x", "y", "w", "h", "score")], "is_gt", "crowd")
+        pdf = pdf.sort_values(["ord", "x", "y", "w", "h"])
+        (category, names), xywh, gt = pd.factorize(pdf["category"]), pdf[["x", "y", "w", "h"]].to_numpy(float), pdf["is_gt"].to_numpy(bool)
+        images, image = np.unique(pdf["image_id"].to_numpy(), return_inverse=True)
+        pairs, group = np.unique(image * len(names) + category, return_inverse=True)
+        row, place, good, bad, truths = kernels.match_groups(xywh[~gt], pdf["score"].to_numpy(float)[~gt], group[~gt], xywh[gt], pdf["crowd"].to_numpy(bool)[gt], group[gt], len(pairs), list(kernels.AREAS.values()), max(mosts))
+        packed = [sum((x[a, t].astype(np.int64) << (a * steps + t) for a in range(len(areas)) for t in range(steps)), np.zeros(len(row), np.int64)) for x in (good, bad)]
+        of = pairs[group[~gt][row]]
+        found = pd.DataFrame({"image_id": images[of // len(names)], "category": np.asarray(names)[of % len(names)], "place": place, "score": pdf["score"].to_numpy(float)[~gt][row], "good": packed[0], "bad": packed[1]})
+        # Truths of an area are a row of place -1, -2 and so on.
+        sums = [pd.DataFrame({"image_id": -1, "category": names, "place": -1 - a, "score": 0.0, "good": np.bincount(pairs % len(names), weights=n, minlength=len(names)).astype(np.int64), "bad": 0}) for a, n in enumerate(truths)]
+        return pd.concat([found, *sums])
+
+    rows = boxes.select(F.col("image_id").cast("long"), F.col("category").cast("string"), "ord", *[F.col(c).cast("double") for c in ("x", "y", "w", "h", "score")], "is_gt", "crowd").filter("image_id is not null and category is not null")
     # Neighbouring images share a call; IMAGES bounds it.
-    each = rows.groupBy(F.floor(F.col("image_id") / IMAGES)).applyInPandas(match, "image_id long, category string, area string, most int, found array<struct<score:double,good:int,bad:int>>, truths long")
-    each = cut_lineage(each)
-    truths = each.groupBy(*key).agg(F.sum("truths").alias("truths"))
-    found = each.select("image_id", *key, F.posexplode("found").alias("place", "d")).select("image_id", *key, "place", "d.*")
-    found = groups.dealt(found, key, [F.desc("score"), F.col("image_id"), F.col("place")], "range")
-    total = lambda c: [F.sum(F.shiftright(c, t).bitwiseAND(1)).alias(f"{c}{t}") for t in range(steps)]
-    names = [f"{c}{t}" for c in ("good", "bad") for t in range(steps)]
-    sums = found.groupBy(*key, "range").agg(*total("good"), *total("bad"))
-    past = W.partitionBy(*key).orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(*key, "range", *[F.coalesce(F.sum(c).over(past), F.lit(0)).alias(c) for c in names])
-    before = before.join(truths.filter(F.col("truths") > 0), key).withColumnsRenamed({c: f"of_{c}" for c in (*key, "range")})
+    each = cut_lineage(rows.groupBy(F.floor(F.col("image_id") / IMAGES)).applyInPandas(match, "image_id long, category string, place long, score double, good long, bad long"))
+    counts = each.filter("place < 0").groupBy("category", (-1 - F.col("place")).alias("a")).agg(F.sum("good").alias("truths"))
+    named = counts.select("category", F.element_at(F.array(*map(F.lit, areas)), (F.col("a") + 1).cast("int")).alias("area"), "truths")
+    truths = named.select("category", "area", F.explode(F.array(*map(F.lit, mosts))).alias("most"), "truths")
+    found = each.filter("place >= 0")
+    found = groups.dealt(found, ["category"], [F.desc("score"), F.col("image_id"), F.col("place")], "range", RANGE)
+
+    def summed(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        limit = np.searchsorted(mosts, pdf["place"].to_numpy(), "right")
+        out = np.zeros((2, len(mosts), bits), np.int64)
+        for k, c in enumerate(("good", "bad")):
+            x = pdf[c].to_numpy()
+            for b in range(bits):
+                out[k, :, b] = np.cumsum(np.bincount(limit, weights=(x >> b) & 1, minlength=len(mosts)))
+        return pd.DataFrame([(*key, out.ravel().tolist())], columns=["category", "range", "n"])
+
+    sums = found.groupBy("category", "range").applyInPandas(summed, "category string, range int, n array<long>")
+    sums = cut_lineage(sums.select("category", "range", F.posexplode("n").alias("k", "n")))
+    past = W.partitionBy("category", "k").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    before = sums.withColumn("n", F.coalesce(F.sum("n").over(past), F.lit(0))).groupBy(F.col("category").alias("of"), F.col("range").alias("at")).agg(F.sort_array(F.collect_list(F.struct("k", "n")))["n"].alias("n"))
+    wanted = counts.groupBy(F.col("category").alias("of")).agg(F.sort_array(F.collect_list(F.struct("a", "truths")))["truths"].alias("truths"))
+    before = before.join(wanted, "of")
 
     def best(_: tuple, pdf: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
-        if not len(start):
-            return pd.DataFrame([], columns=[*key, "best"], dtype=object)
         pdf = pdf.sort_values(["score", "image_id", "place"], ascending=[False, True, True])
-        begin = start[names].to_numpy(float).reshape(2, steps, 1)
-        good, bad = (begin[k] + np.cumsum((pdf[c].to_numpy()[None] >> np.arange(steps)[:, None]) & 1, axis=1) for k, c in enumerate(("good", "bad")))
-        out = np.zeros((steps, len(kernels.RECALL_STEPS)))
-        step = np.searchsorted(kernels.RECALL_STEPS, good / float(start["truths"].iloc[0]), "right") - 1
-        np.maximum.at(out, (np.repeat(np.arange(steps), step.shape[1]), step.ravel()), (good / (good + bad + np.spacing(1))).ravel())
-        return pd.DataFrame([(*pdf[key].iloc[0], out.ravel().tolist())], columns=[*key, "best"])
-
-    ranges = found.groupBy(*key, "range").cogroup(before.groupBy(*[f"of_{c}" for c in (*key, "range")])).applyInPandas(best, "category string, area string, most int, best array<double>")
-    recalls = sums.groupBy(*key).agg(F.array(*[F.sum(f"good{t}").cast("double") for t in range(steps)]).alias("good"))
+        category, truths = pdf["category"].iloc[0], start["truths"].iloc[0]
+        begin = np.array(start["n"].iloc[0], float).reshape(2, len(mosts), len(areas), steps)
+        out = []
+        for m, a in kinds:
+            if not truths[a]:
+                continue
+            rows = pdf[pdf["place"] < mosts[m]]
+            top = np.zeros((steps, len(kernels.RECALL_STEPS)))
+            for t in range(steps):
+                hit, miss = ((rows[c].to_numpy() >> (a * steps + t)) & 1 for c in ("good", "bad"))
+                # Of rows with as many matches, the one that made the last has the best precision.
+                at = np.flatnonzero(hit)
+                good, bad = begin[0, m, a, t] + np.arange(1, len(at) + 1), begin[1, m, a, t] + np.cumsum(miss)[at]
+                step = np.searchsorted(kernels.RECALL_STEPS, good / float(truths[a]), "right") - 1
+                np.maximum.at(top[t], step, good / (good + bad + np.spacing(1)))
+            out.append((category, areas[a], mosts[m], top.ravel().tolist()))
+        return pd.DataFrame(out, columns=[*key, "best"])
+
+    ranges = found.groupBy("category", "range").cogroup(before.groupBy("of", "at")).applyInPandas(best, "category string, area string, most int, best array<double>")
+    kind = F.floor(F.col("k") / steps)
+    total = sums.filter(F.col("k") < size).groupBy("category", kind.alias("kind"), "k").agg(F.sum("n").cast("double").alias("n"))
+    name = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
+    recalls = total.groupBy("category", name(areas, F.col("kind") % len(areas)).alias("area"), name(mosts, F.floor(F.col("kind") / len(areas))).alias("most")).agg(F.sort_array(F.collect_list(F.struct("k", "n")))["n"].alias("good"))
 
     def curve(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         n = pdf["truths"].max()

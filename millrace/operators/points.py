@@ -82,6 +82,13 @@ def clusters(points: DataFrame, group: str, index: str, k: int, cuts: list[float
     return rows.groupBy("g").applyInPandas(run, "g long, level long, index long, cluster_id long").withColumnsRenamed({"g": group, "index": index})
 
 
+def linked(xyz: np.ndarray, k: int) -> np.ndarray:
+    """Labels of connected parts; neighbours are found for some points at a time, so that memory does not grow with the square of the object."""
+    at = np.arange(len(xyz))
+    edges = [(i, j) for i, j, _, _ in neighbours.among(at, xyz, at, xyz, k, itself=False, pairs=PAIRS)]
+    return kernels.graph_components(len(xyz), *map(np.concatenate, zip(*edges, strict=True)))
+
+
 def graph_parts(points: DataFrame, group: str, index: str, k: int, large: int = LARGE) -> DataFrame:
     """(group, index, part): connected parts of the graph of ``k`` nearest neighbours, numbered from 0 by their smallest index.
 
@@ -91,9 +98,7 @@ def graph_parts(points: DataFrame, group: str, index: str, k: int, large: int =
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("index")
         xyz = pdf[["x", "y", "z"]].to_numpy(float)
-        m = min(k, len(xyz) - 1)
-        part = kernels.graph_components(len(xyz), np.repeat(np.arange(len(xyz)), m), kernels.nearest(xyz, m).ravel())
-        return pd.DataFrame({"g": key[0], "index": pdf["index"].to_numpy(), "part": part})
+        return pd.DataFrame({"g": key[0], "index": pdf["index"].to_numpy(), "part": linked(xyz, k)})
 
     rows = points.select(F.col(group).cast("long").alias("g"), F.col(index).cast("long").alias("index"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     small, others = _by_size(rows, large)

@@ -1,5 +1,7 @@
 """Neighbours by blocks and parts by edges equal those of one group, also with crowded places, ties and outliers."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -70,3 +72,16 @@ def test_components_of_shuffled_paths_and_stars(spark):
 
 def test_components_of_no_edges(spark):
     assert graphs.components(spark.createDataFrame([], "o long, a long, b long"), "o", "a", "b").collect() == []
+
+
+def test_parts_of_an_object_do_not_hold_all_its_distances():
+    from millrace.functions import kernels
+
+    xyz = np.random.default_rng(3).integers(0, 9, (4000, 3)).astype(float)
+    tracemalloc.start()
+    got, most = P.linked(xyz, 3), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 150e6  # the squares of all differences are 384 MB
+    few = xyz[:500]
+    assert (P.linked(few, 3) == kernels.graph_components(500, np.repeat(np.arange(500), 3), kernels.nearest(few, 3).ravel())).all()
+    assert len(got) == 4000 and P.linked(few[:1], 3).tolist() == [0]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,6 +15,8 @@ from . import groups
 
 KEY = ["object_id", "view"]
 PIXEL = [*KEY, "row", "col"]
+#: Points of a task, which become many rows: one for each view, and its disc's pixels for each of those.
+POINTS = 1 << 13
 
 
 def cameras(views: DataFrame) -> DataFrame:
@@ -35,9 +39,12 @@ def placed(points: DataFrame, views: DataFrame, focal: float, size: int) -> Data
     """The points (object_id, point_id, part, x, y, z, weight) of each object in each of its views (object_id, view, x, y, z): with ``row``, ``col``, ``depth``, null outside the image.
 
     A camera stands at the view's place and looks at the origin; ``focal`` is in
-    pixels, the image is a square of ``size`` pixels.
+    pixels, the image is a square of ``size`` pixels.  Points are counted and
+    objects dealt out first, so a task's rows do not grow with the table.
     """
-    camera = cameras(views)
+    tasks = max(points.sparkSession.sparkContext.defaultParallelism, math.ceil(points.count() / POINTS))
+    # Given a number, partitions are not put together for being small before they grow.
+    points, camera = points.repartition(tasks, "object_id"), cameras(views).repartition(tasks, "object_id")
     m = [F.col("__m")[k] for k in range(12)]
     at = [m[4 * k] * F.col("x") + m[4 * k + 1] * F.col("y") + m[4 * k + 2] * F.col("z") + m[4 * k + 3] for k in range(3)]
     seen = points.join(camera, "object_id").withColumns(dict(zip(("__right", "__up", "__ahead"), at, strict=True)))

@@ -160,3 +160,11 @@ def test_scores_of_all_views(spark, small):
         want = plain_greedy(np.array([by[v] for v in vs]), [hard[o, k] if (o, k) in hard else 1.0 for k in range(parts)], [fixed[o, v] for v in vs], np.array([at[o, v] for v in vs]), 4)
         assert [v for v, _ in mine[o]] == [vs[i] for i, _ in want]
         assert [g for _, g in mine[o]] == pytest.approx([g for _, g in want], abs=1e-5)
+
+
+def test_points_are_dealt_out_before_they_grow(spark, monkeypatch):
+    monkeypatch.setattr(V, "POINTS", 100)
+    x = ((F.col("id") % 7) / 7).alias("x")
+    points = spark.range(2000).select(F.floor(F.col("id") / 20).alias("object_id"), F.col("id").alias("point_id"), F.lit(0).alias("part"), x, F.lit(0.1).alias("y"), F.lit(0.2).alias("z"), F.lit(1.0).alias("weight"))
+    views = points.select("object_id").distinct().select("object_id", F.lit(0).alias("view"), *[F.lit(v).alias(c) for c, v in zip("xyz", (0.0, 0.0, 5.0), strict=True)])
+    assert V.placed(points, views, 60.0, 64).select(F.spark_partition_id()).distinct().count() > 10

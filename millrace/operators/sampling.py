@@ -42,14 +42,19 @@ def hash_ranked(df: DataFrame, id_col: str, seed: int = 0, name: str = "rank") -
     return ranked(df, [key, F.col(id_col)], F.floor(key / (_SPAN // BUCKETS)), name)
 
 
-def id_ranked(df: DataFrame, id_col: str, name: str = "rank", descending: bool = False) -> DataFrame:
-    """The rank in the order of a numeric id, over buckets of about as many rows each, whatever the ids."""
+def _dealt(df: DataFrame, id_col: str) -> DataFrame | None:
+    """Rows with ``__at``, the bucket of a numeric id, of about as many rows each whatever the ids; None where one bucket is all there is."""
     marked = df.withColumn("__v", F.coalesce(F.col(id_col).cast("double"), F.lit(-math.inf)))
     shares = [k / BUCKETS for k in range(1, BUCKETS)]
     cuts = sorted(x for x in set(marked.approxQuantile("__v", shares, 1 / (4 * BUCKETS))) if math.isfinite(x))
-    if not cuts:
-        return ranked(marked, [F.col(id_col).desc() if descending else F.col(id_col)], F.lit(0), name).drop("__v")
-    dealt = Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__v", outputCol="__at").transform(marked)
+    return Bucketizer(splits=[-math.inf, *cuts, math.inf], inputCol="__v", outputCol="__at").transform(marked) if cuts else None
+
+
+def id_ranked(df: DataFrame, id_col: str, name: str = "rank", descending: bool = False) -> DataFrame:
+    """The rank in the order of a numeric id, over buckets of about as many rows each, whatever the ids."""
+    dealt = _dealt(df, id_col)
+    if dealt is None:
+        return ranked(df, [F.col(id_col).desc() if descending else F.col(id_col)], F.lit(0), name)
     order, bucket = (F.col(id_col).desc(), F.lit(BUCKETS) - F.col("__at")) if descending else (F.col(id_col), F.col("__at"))
     return ranked(dealt, [order], bucket, name).drop("__v", "__at")
 
@@ -81,11 +86,31 @@ def page(df: DataFrame, start: int, most: int, id_col: str) -> DataFrame:
 
 
 def shards(df: DataFrame, world: int, id_col: str, column: str = "shard") -> DataFrame:
-    """Contiguous parts of len//world rows by id; the last takes the rest."""
+    """Contiguous parts of len//world rows by id; the last takes the rest.
+
+    A bucket of ids that lies in one part needs no ranks; only those that a
+    border crosses, one for each border at most, are sorted.
+    """
     each = df.count() // world
-    rank = id_ranked(df, id_col, "__rank")
-    part = F.least(F.floor((F.col("__rank") - 1) / each), F.lit(world - 1)) if each else F.lit(world - 1)
-    return rank.withColumn(column, part.cast("bigint")).drop("__rank")
+    part = lambda rank: min((rank - 1) // each, world - 1) if each else world - 1
+    dealt = _dealt(df, id_col) if each else None
+    if dealt is None:
+        rank = id_ranked(df, id_col, "__rank")
+        return rank.withColumn(column, F.least(F.floor((F.col("__rank") - 1) / max(each, 1)), F.lit(world - 1)).cast("bigint") if each else F.lit(world - 1).cast("bigint")).drop("__rank")
+    sizes = {int(at): n for at, n in dealt.groupBy("__at").count().collect()}  # BUCKETS at most
+    first, before, crossed, total = [], [], [], 0
+    for at in range(max(sizes) + 1):
+        n = sizes.get(at, 0)
+        first.append(part(total + 1))
+        before.append(total)
+        if n and part(total + n) != first[-1]:
+            crossed.append(at)
+        total += n
+    of = lambda values: F.element_at(F.lit(values), F.col("__at").cast("int") + 1).cast("bigint")
+    whole = dealt.filter(~F.col("__at").isin(crossed)).withColumn(column, of(first))
+    rank = F.row_number().over(W.partitionBy("__at").orderBy(id_col)) + of(before)
+    torn = dealt.filter(F.col("__at").isin(crossed)).withColumn(column, F.least(F.floor((rank - 1) / each), F.lit(world - 1)).cast("bigint"))
+    return whole.unionByName(torn).select(*df.columns, column)
 
 
 def repeated_batches(df: DataFrame, id_col: str, batch: int, each: int, repeats: int, seed: int = 0) -> DataFrame:

@@ -284,7 +284,7 @@ def j14_default(spark, sf):
 @query("SELECT event_id, event_type FROM events")
 def j15_w3_w4_gather(spark, sf):
     e = table(spark, sf, "events").select("event_id", "event_type")
-    s = sampling.shards(e, 3, "event_id").drop("event_type").join(e, "event_id")
+    s = sampling.shards(e, 3, "event_id")
     return joins.gathered([s.filter(F.col("shard") == k).drop("shard") for k in range(3)], "event_id", e.count())
 
 

@@ -178,3 +178,25 @@ def test_part_points_broadcast_nothing(spark):
     got = trees.part_points(nodes, masks, meshes, faces)
     assert [tuple(r) for r in got.collect()] == [("o", "n", 40)]
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shards_sort_only_what_a_border_crosses(spark):
+    """Contiguous parts of exact sizes, with negative ids, gaps, ties and nulls; buckets that lie in one part are not ranked."""
+    for ids, world in ((list(range(-500, 20_000, 3)), 7), ([k // 40 for k in range(9000)] + [None] * 50, 4), ([5] * 100, 3), ([1, 2], 5), ([3, 1, 2], 3)):
+        df = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+        out = sampling.shards(df, world, "id")
+        got = sorted(((r.shard, r.id is not None, r.id or 0) for r in out.collect()))
+        ranks = sorted((i is not None, i or 0) for i in ids)
+        each = len(ids) // world
+        assert got == [(min(k // each, world - 1) if each else world - 1, *v) for k, v in enumerate(ranks)]
+    plan = sampling.shards(spark.range(50_000), 3, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan.splitlines()[0]
+
+
+def test_gathered_counts_in_tasks_of_a_stated_size(spark, monkeypatch):
+    monkeypatch.setattr(joins, "COUNTED", 100)
+    parts = [spark.range(0, 600), spark.range(600, 1000)]
+    assert joins.gathered(parts, "id", 1000).count() == 1000
+    for bad in ([parts[0], parts[0]], [parts[0]]):
+        with pytest.raises(ValueError, match="600 of 1000"):
+            joins.gathered(bad, "id", 1000)

@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _BLANK = r"[\s\x1c-\x1f]"
+#: The same as characters.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same matches as of ``(?s)`` with ``ANSWER`` and ``FENCE``: whole runs up to a sign that may end them, not a try of the end at every character.
+WHOLE_ANSWER, _WHOLE_FENCE = r"<answer>([^<]*+(?:<(?!/answer>)[^<]*+)*+)</answer>", r"```json([^`]*+(?:`(?!``)[^`]*+)*+)```"
 ANSWER, THINK, FENCE = r"<answer>(.*?)</answer>", r"<think>(.*?)</think>", r"```json(.*?)```"
 
 
@@ -22,7 +26,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without blanks at both ends."""
-    return F.regexp_replace(c, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+    return F.trim(c, F.lit(_BLANKS))
 
 
 def words(c: Column) -> Column:
@@ -42,7 +46,7 @@ def last_found(c: Column, pattern: str) -> Column:
 
 def last_answer(c: Column) -> Column:
     """The last answer tag's content, else the whole text; stripped."""
-    return strip(F.coalesce(last_found(c, "(?s)" + ANSWER), c))
+    return strip(F.coalesce(last_found(c, WHOLE_ANSWER), c))
 
 
 def first_answer(c: Column, across_lines: bool = True) -> Column:
@@ -60,10 +64,10 @@ def clean_answer(c: Column) -> Column:
 
     A line end after a blank goes; any other becomes a space.
     """
-    out = F.coalesce(last_found(c, "(?s)" + ANSWER), c)
-    for end in (r"\n", r"\r"):
-        out = F.regexp_replace(out, rf"(?U)(?<={_BLANK}){end}", "")
-        out = F.regexp_replace(out, rf"(?U)(?<!{_BLANK}){end}", " ")
+    out = F.coalesce(last_found(c, WHOLE_ANSWER), c)
+    for end in ("\n", "\r"):
+        # The line end is looked for first, and what is before it then; those that stay have no blank before them.
+        out = F.replace(F.regexp_replace(out, rf"(?U){end}(?<={_BLANK}{end})", ""), F.lit(end), F.lit(" "))
     return F.lower(F.regexp_replace(strip(out), r"\.+\z", ""))
 
 
@@ -132,15 +136,24 @@ def box_anywhere(c: Column) -> Column:
 BOXES = "array<struct<bbox_2d:array<double>,label:string>>"
 
 
+def fence(c: Column, last: bool = False) -> Column:
+    """The content of the first (or last) JSON fence as it is; null without one."""
+    return F.try_element_at(F.regexp_extract_all(c, F.lit(_WHOLE_FENCE), F.lit(1)), F.lit(-1 if last else 1))
+
+
 def fenced_json(c: Column, last: bool = False) -> Column:
     """The content of the first (or last) JSON fence, stripped; null without one."""
-    return strip(last_found(c, "(?s)" + FENCE) if last else found(c, "(?s)" + FENCE))
+    return strip(fence(c, last))
 
 
 def fenced_boxes(c: Column, last: bool = False) -> Column:
     """The boxes of a JSON fence; an empty array if there are none or they do not parse."""
-    parsed = F.from_json(fenced_json(c, last), BOXES)
-    return F.coalesce(parsed, F.array().cast(BOXES))
+    return parsed_boxes(fenced_json(c, last))
+
+
+def parsed_boxes(c: Column) -> Column:
+    """The boxes of a JSON text; an empty array if it is null or does not parse."""
+    return F.coalesce(F.from_json(c, BOXES), F.array().cast(BOXES))
 
 
 def box_in_fence(c: Column) -> Column:

@@ -424,17 +424,21 @@ def r18_cosine_length(spark, sf):
     return table(spark, sf, "documents").select("doc_id", rounded(S.cosine_length(n)).alias("published"), rounded(S.cosine_length(n, F.col("doc_id") % 2 == 0)).alias("fixed"))
 
 
-def _answer(c, prefix=""):
-    names = [f"{prefix}{k}" for k in ("x1", "y1", "x2", "y2")]
-    item = F.to_json(F.struct(F.array(*names).alias("bbox_2d"), F.col("label")))
-    return F.concat(F.lit("<answer>```json\n["), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", item.alias("j")))), lambda v: v["j"]), ","), F.lit("]\n```</answer>"))
+def _box(prefix=""):
+    return F.to_json(F.struct(F.array(*[f"{prefix}{k}" for k in ("x1", "y1", "x2", "y2")]).alias("bbox_2d"), F.col("label")))
+
+
+def _answer(items, side):
+    """An answer with the boxes of a side; lines of one number stand in the order of their JSON."""
+    boxes = F.transform(F.sort_array(F.transform(items, lambda x: F.struct(x["ord"], x[side]))), lambda x: x[side])
+    return F.concat(F.lit("<answer>```json\n["), F.array_join(boxes, ","), F.lit("]\n```</answer>"))
 
 
 @query()
 def r19_r20_r21_detection(spark, sf):
-    b = boxes(spark, sf).groupBy("image_id").agg(_answer("b").alias("content"), _answer("b", "g").alias("solution"))
-    c, s = F.col("content"), F.col("solution")
-    return b.select("image_id", rounded(S.boxes_score(c, s)).alias("map"), rounded(S.detection_answer(c, s, step50=True)).alias("ap50"), rounded(S.detection_answer(c, s, by_length=True)).alias("od_length"), rounded(S.weighted_detection(c, s)).alias("weighted"))
+    items = F.collect_list(F.struct("ord", _box().alias("said"), _box("g").alias("real")))
+    b = boxes(spark, sf).groupBy("image_id").agg(items.alias("items")).select("image_id", _answer(F.col("items"), "said").alias("content"), _answer(F.col("items"), "real").alias("solution"))
+    return S.detection_scores(b, "content", "solution").select("image_id", *[rounded(F.col(x)).alias(x) for x in ("map", "ap50", "od_length", "weighted")])
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN '##' ELSE lang END AS said FROM documents")
